@@ -31,7 +31,10 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
 FEATURES, LEAST_G2 = 4096, 60.0
 LONGEST = 40
 THRESHOLD = 0.5
-PREFIXES = (4, 5)
+#: Share of toxic texts that scores assume.
+PRIOR = 0.25
+#: Bytes of word beginnings that are features, of words that go on.
+PREFIXES = (4, 5, 6, 7, 8)
 # Letters that a character may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -157,7 +160,7 @@ def feature_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
     for k in PREFIXES:
         long = np.flatnonzero(w.end - w.start > k)
         rows.append(w.row[long])
-        hashes.append(mix(w.span_hash(w.start[long], w.start[long] + k), 20 - k))
+        hashes.append(mix(w.span_hash(w.start[long], w.start[long] + k), k))
     return np.concatenate(rows), np.concatenate(hashes)
 
 
@@ -253,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     lists = got.column("k").combine_chunks()
     counts, k = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()
     row, y = np.repeat(np.arange(len(got)), counts), got.column("y").to_numpy().astype(np.float64)
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    share = np.where(y == 1, PRIOR / max(y.sum(), 1), (1 - PRIOR) / max((1 - y).sum(), 1))
     w, b, vw, vb = np.zeros(len(keys)), 0.0, np.zeros(len(keys)), 0.0
     for _ in range(400):
         z = b + np.bincount(row, weights=w[k], minlength=len(y))
