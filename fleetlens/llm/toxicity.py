@@ -5,7 +5,7 @@ or blanks) is a lattice: each character may stand for several letters, be a sepa
 decoding finds the likeliest plain word: channel costs of each reading plus a character trigram model counted over all
 documents. Restored words are scored like plain ones.
 
-Features are words and word beginnings, by hash. Those that mark toxic texts are chosen by their G2 statistic in a bounded
+Features are words and word beginnings, by hash, present once, twice, or three times and more. Those that mark toxic texts are chosen by their G2 statistic in a bounded
 sample of labelled texts that are not held out (SAMPLE_TOXIC and SAMPLE_CLEAN texts, drawn by hash), and weighted by a
 logistic regression over which of them a text has. Labels, lang, source and doc_id are never features.
 
@@ -31,8 +31,10 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
 FEATURES, LEAST_G2 = 4096, 60.0
 LONGEST = 40
 THRESHOLD = 0.5
+#: Occurrences of a feature in a text that are told apart.
+LEVELS = 3
 #: Share of toxic texts that scores assume.
-PRIOR = 0.25
+PRIOR = 0.35
 #: Bytes of word beginnings that are features, of words that go on.
 PREFIXES = (4, 5, 6, 7, 8)
 # Letters that a character may stand for.
@@ -187,22 +189,27 @@ def text_features(text: pa.Array, cost: np.ndarray, seen: dict[str, str]) -> tup
 
 @dataclass
 class Model:
+    """keys: hashes in order; weight: of each key, what its first, second and third occurrence add."""
+
     cost: np.ndarray
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros((0, LEVELS)))
     bias: float = -20.0
 
-    def has(self, row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, feature number) of the model's features, sorted by row."""
+    def found(self, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, key number and occurrences (LEVELS at most) of the keys among features, in order of rows."""
         if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 3
         table = np.zeros(1 << 16, bool)
         table[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
         some = np.flatnonzero(table[(h & np.uint64(0xFFFF)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
         good = self.keys[k] == h[some]
-        pairs = np.unique(row[some][good] * len(self.keys) + k[good])
-        return pairs // len(self.keys), pairs % len(self.keys)
+        pairs, n = np.unique(row[some][good] * len(self.keys) + k[good], return_counts=True)
+        return pairs // len(self.keys), pairs % len(self.keys), np.minimum(n, LEVELS)
+
+    def margin(self, row: np.ndarray, k: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        return self.bias + np.bincount(row, weights=np.cumsum(self.weight, axis=1)[k, times - 1] if len(k) else None, minlength=n)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -224,60 +231,71 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 row, h = text_features(part.column("text"), shared.value, seen)
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                y = part.column("y").to_numpy()[row[new]]
-                key, back = np.unique(h[new], return_inverse=True)
-                toxic = np.bincount(back, weights=y, minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(toxic), pa.array(np.bincount(back, minlength=len(key)) - toxic)], names=["h", "t", "c"])
+                y = part.column("y").to_numpy()
+                for level in range(LEVELS):  # 0: a feature's first place in a text, 1: its second, ...
+                    at = np.ones(len(h), bool)
+                    for back in range(1, level + 1):
+                        at[:back] = False
+                        at[back:] &= (h[back:] == h[:-back]) & (row[back:] == row[:-back])
+                    more = at.copy()
+                    more[: level + 1] = False
+                    more[level + 1 :] &= (h[level + 1 :] == h[: -level - 1]) & (row[level + 1 :] == row[: -level - 1])
+                    at &= ~more
+                    key, back = np.unique(h[at], return_inverse=True)
+                    toxic = np.bincount(back, weights=y[row[at]], minlength=len(key)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(len(key), level, np.int32)), pa.array(toxic), pa.array(np.bincount(back, minlength=len(key)) - toxic)], names=["h", "level", "t", "c"])
 
     total = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n0 or not n1:
         return Model(cost, bias=-20.0)
-    table = drawn.select("text", "y").mapInArrow(count, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    table = drawn.select("text", "y").mapInArrow(count, "h long, level int, t long, c long").groupBy("h", "level").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     both = F.col("t") + F.col("c")
     part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
     g2 = 2 * (part(F.col("t"), both * n1 / (n0 + n1)) + part(F.col("c"), both * n0 / (n0 + n1)) + part(n1 - F.col("t"), (n0 + n1 - both) * n1 / (n0 + n1)) + part(n0 - F.col("c"), (n0 + n1 - both) * n0 / (n0 + n1)))
-    marks = table.filter(F.col("t") * n0 > 5 * F.col("c") * n1).select("h", g2.alias("g2")).filter(F.col("g2") >= F.least(F.lit(LEAST_G2), F.lit(0.02 * (n0 + n1))))
-    keys = np.sort(marks.orderBy(F.desc("g2"), "h").limit(FEATURES).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
-    model = Model(cost, keys)
+    marks = table.filter(F.col("t") * n0 > 5 * F.col("c") * n1).select("h", "level", g2.alias("g2")).filter(F.col("g2") >= F.least(F.lit(LEAST_G2), F.lit(0.02 * (n0 + n1))))
+    marks = marks.orderBy(F.desc("g2"), "h", "level").limit(FEATURES).toPandas()
+    keys, slot = np.unique(marks["h"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+    used = np.zeros((len(keys), LEVELS))
+    used[slot, marks["level"].to_numpy()] = 1
+    model = Model(cost, keys, used)
     given = spark.sparkContext.broadcast(model)
 
     def rows(batches):
         seen: dict[str, str] = {}
         for batch in batches:
             for part in slices(batch):
-                n = len(part)
-                row, k = given.value.has(*text_features(part.column("text"), given.value.cost, seen), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y").cast(pa.int32()), ragged(k.astype(np.int32), np.bincount(row, minlength=n), pa.int32())], names=["doc_id", "y", "k"])
+                row, k, times = given.value.found(*text_features(part.column("text"), given.value.cost, seen))
+                counts = np.bincount(row, minlength=len(part))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y").cast(pa.int32()), ragged(k.astype(np.int32), counts, pa.int32()), ragged(times.astype(np.int32), counts, pa.int32())], names=["doc_id", "y", "k", "times"])
 
-    got = drawn.mapInArrow(rows, "doc_id long, y int, k array<int>").toArrow().sort_by("doc_id")
-    lists = got.column("k").combine_chunks()
-    counts, k = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()
-    row, y = np.repeat(np.arange(len(got)), counts), got.column("y").to_numpy().astype(np.float64)
+    got = drawn.mapInArrow(rows, "doc_id long, y int, k array<int>, times array<int>").toArrow().sort_by("doc_id")
+    lists, times = got.column("k").combine_chunks(), got.column("times").combine_chunks().values.to_numpy()
+    row, k, y = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy())), lists.values.to_numpy(), got.column("y").to_numpy().astype(np.float64)
     share = np.where(y == 1, PRIOR / max(y.sum(), 1), (1 - PRIOR) / max((1 - y).sum(), 1))
-    w, b, vw, vb = np.zeros(len(keys)), 0.0, np.zeros(len(keys)), 0.0
-    for _ in range(400):
-        z = b + np.bincount(row, weights=w[k], minlength=len(y))
-        e = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        vw = 0.9 * vw - 2.0 * (np.bincount(k, weights=e[row], minlength=len(w)) + 1e-4 * w)
-        vb = 0.9 * vb - 2.0 * e.sum()
-        w, b = np.maximum(w + vw, 0), b + vb
-    return Model(cost, keys, w, float(b))
+    # Each occurrence up to the one counted is an input of its own.
+    at = [np.flatnonzero(times > level) for level in range(LEVELS)]
+    model.weight, model.bias = np.zeros_like(used), 0.0
+    speed, speed_b = np.zeros_like(used), 0.0
+    for _ in range(800):
+        e = share * (1 / (1 + np.exp(-np.clip(model.margin(row, k, times, len(y)), -30, 30))) - y)
+        slope = np.stack([np.bincount(k[i], weights=e[row[i]], minlength=len(keys)) for i in at], axis=1)
+        speed = 0.9 * speed - 2.0 * (slope + 1e-4 * model.weight)
+        speed_b = 0.9 * speed_b - 2.0 * e.sum()
+        model.weight, model.bias = np.maximum(model.weight + speed, 0) * used, model.bias + speed_b
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_restored (disguised words found) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # FEATURES keys and weights
+    """doc_id, held_out, score, predicted of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # FEATURES keys at most
 
     def each(batches):
         model, seen = shared.value, {}
         for batch in batches:
             for part in slices(batch):
                 n = len(part)
-                row, k = model.has(*text_features(part.column("text"), model.cost, seen), n)
-                z = model.bias + np.bincount(row, weights=model.weight[k], minlength=n)
+                z = model.margin(*model.found(*text_features(part.column("text"), model.cost, seen)), n)
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
