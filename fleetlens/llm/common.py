@@ -73,15 +73,15 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text"):
-    """Parts of a batch with about SLICE_BYTES of text each (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
+    """Parts of a batch with about `limit` bytes of text each (one row at least)."""
     text = batch.column(column)
     sizes = np.diff(offsets_of(text))
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -17,6 +17,7 @@ written.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -33,6 +34,9 @@ END_ID = 1
 FILE_IDS = 1 << 20
 #: Ids of one task that writes files, about.
 PART_IDS = 1 << 23
+#: Bytes of text that a task encodes at once, and words whose ids a worker keeps.
+TEXT_BYTES = 16 << 20
+KEPT_WORDS = 500_000
 PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,!?;:|#$%&*]*)$"
 
 _loaded: dict[str, object] = {}
@@ -53,7 +57,8 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        self.letters = {chr(b): c for b, c in byte_letters().items()}
+        self.letters = byte_letters()
+        self.seen: dict[str, bytes] = {}
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
 
     @classmethod
@@ -62,31 +67,36 @@ class Encoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _word(self, word: str) -> list[int]:
-        letters = word.encode("utf-8").decode("latin-1")
-        return [t.id for t in self.whole.model.tokenize(letters.translate(self._table))]
-
-    @property
-    def _table(self):
-        return _loaded.setdefault("table", {ord(k): v for k, v in self.letters.items()})
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters in lower case, as little-endian 32-bit numbers; words seen lately are looked up."""
+        out = []
+        for word in words:
+            ids = self.seen.get(word)
+            if ids is None:
+                letters = word.translate(self.letters) if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+                ids = struct.pack(f"<{len(t := self.whole.model.tokenize(letters))}I", *(x.id for x in t))
+                if len(self.seen) >= KEPT_WORDS:
+                    self.seen.clear()
+                self.seen[word] = ids
+            out.append(ids)
+        return out
+
+    def whole_ids(self, pieces: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
     def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of distinct pieces one after the other, and how many each has."""
         parts = pc.extract_regex(pieces, PLAIN)
         plain = parts.is_valid().to_numpy(zero_copy_only=False)
-        out: list = [None] * len(pieces)
-        word = pc.utf8_lower(parts.field("word").filter(pa.array(plain))).dictionary_encode()
-        marks = parts.field("marks").filter(pa.array(plain)).dictionary_encode()
-        word_ids = [self._word(w) for w in word.dictionary.to_pylist()]
-        mark_ids = [e.ids for e in self.whole.encode_batch_fast(marks.dictionary.to_pylist(), add_special_tokens=False)] if len(marks) else []
-        for i, w, m in zip(np.flatnonzero(plain).tolist(), word.indices.to_pylist(), marks.indices.to_pylist()):
-            out[i] = word_ids[w] + mark_ids[m]
+        at = pa.array(np.flatnonzero(plain))
+        word, marks = (pc.utf8_lower(parts.field(f).take(at)).dictionary_encode() for f in ("word", "marks"))
+        word_ids, mark_ids = self.word_ids(word.dictionary.to_pylist()), self.whole_ids(marks.dictionary.to_pylist())
         other = np.flatnonzero(~plain)
-        if len(other):
-            for i, e in zip(other.tolist(), self.whole.encode_batch_fast(pieces.take(pa.array(other)).to_pylist(), add_special_tokens=False)):
-                out[i] = e.ids
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((x for ids in out for x in ids), np.int64, int(counts.sum())), counts
+        ids = [word_ids[w] + mark_ids[m] for w, m in zip(word.indices.to_pylist(), marks.indices.to_pylist())] + self.whole_ids(pieces.take(pa.array(other)).to_pylist())
+        order = np.empty(len(pieces), np.int64)
+        order[np.concatenate([np.flatnonzero(plain), other])] = np.arange(len(pieces))
+        ids = [ids[k] for k in order.tolist()]
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
     def texts(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, END_ID after each, and how many each text has with it."""
@@ -101,7 +111,7 @@ class Encoder:
         lengths = counts[piece] if len(piece) else np.zeros(0, np.int64)
         per_row = np.bincount(row, weights=lengths, minlength=len(text)).astype(np.int64) + 1
         ends = np.cumsum(per_row)
-        out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, np.int64)
+        out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, np.uint32)
         begin = np.cumsum(counts) - counts
         inside = np.cumsum(lengths) - lengths
         source = np.repeat(begin[piece] - inside, lengths) + np.arange(int(lengths.sum()))
@@ -147,10 +157,10 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
     def each(batches):
         coder = Encoder.of(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 ids, counts = coder.texts(part.column("text"))
                 ends = np.cumsum(counts)
-                four, short = ids.astype("<u4"), ids.astype(wide)
+                four, short = ids.astype("<u4", copy=False), ids.astype(wide)
                 spans = list(zip((ends - counts).tolist(), ends.tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([zlib.crc32(four[a:b].tobytes()) for a, b in spans], pa.int64())],
