@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import analysis, cleaning, enrichment, features, reports  # noqa: F401
 from .plans import analytics, insights, packaged  # noqa: F401
 from .plans.dialect import REGISTRY, Op
 from .sources.views import fleet_views, oracle_ctes

@@ -96,6 +96,13 @@ class Dialect:
         """A predicate on the raw column: the days before as_of."""
         return f"{column} >= {self.ts(as_of)} - INTERVAL '{days}' DAY AND {column} < {self.ts(as_of)}"
 
+    def last(self, x: str, window: str) -> str:
+        """The last value that is not null."""
+        return self._(f"last_value({x}, true) {window}", f"last_value({x} IGNORE NULLS) {window}")
+
+    def first(self, x: str, window: str) -> str:
+        return self._(f"first_value({x}, true) {window}", f"first_value({x} IGNORE NULLS) {window}")
+
     def json_int(self, x: str, key: str) -> str:
         return self._(f"CAST(get_json_object({x}, '$.{key}') AS INT)", f"CAST(json_extract({x}, '$.{key}') AS INT)")
 
@@ -125,7 +132,7 @@ class Op:
         return session.sql(bound(text, self.inputs), **{k: frames[k] for k in self.inputs})
 
     def oracle(self, ctes: str) -> str:
-        return f"WITH {ctes} SELECT * FROM (\n{self.build(ORACLE)}\n) AS result"
+        return f"{'WITH ' + ctes if ctes else ''} SELECT * FROM (\n{self.build(ORACLE)}\n) AS result"
 
 
 def bound(text: str, inputs: tuple[str, ...]) -> str:

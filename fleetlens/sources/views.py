@@ -132,7 +132,7 @@ def fleet_views(spark: SparkSession, sf_dir: str, names=tuple(VIEWS)) -> dict[st
     """The named views as DataFrames over the Parquet tables of a folder."""
     from ..plans.dialect import bound
 
-    out: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if n in TABLES}
     for n in wanted(names):
         text = VIEWS[n](SPARK)
         frames = {k: v for k, v in out.items()}
