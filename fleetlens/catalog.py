@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import analysis, cleaning, enrichment, features, reports  # noqa: F401
+from .operators import analysis, cleaning, enrichment, features, model_queries, reports  # noqa: F401
 from .plans import analytics, insights, packaged  # noqa: F401
 from .plans.dialect import REGISTRY, Op
 from .streaming import queries as stream_queries
@@ -18,7 +18,7 @@ def run(op: Op, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: (lambda spark, sf_dir, op=op: run(op, spark, sf_dir)) for key, op in REGISTRY.items()} | stream_queries.queries()
+    return {key: (lambda spark, sf_dir, op=op: run(op, spark, sf_dir)) for key, op in REGISTRY.items()} | stream_queries.queries() | model_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
