@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, ragged, slices
+from .common import Words, held_out, ragged, slices, write_shared
 
-#: Labelled texts that a model is fitted on, at most.
+#: Labelled texts that a model is fitted on, at most: three quarters of label 1, a quarter of label 0.
 SAMPLE = 3000
 WORD_SLOTS = 1 << 15
 FACTORS = 6
@@ -116,7 +116,7 @@ def fit(slot: np.ndarray, value: np.ndarray, counts: np.ndarray, label: np.ndarr
     rng = np.random.default_rng(seed)
     share = float(label.mean()) if len(label) else 0.5
     m = Machine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(SLOTS), rng.normal(0, 0.02, (SLOTS, FACTORS)))
-    if not 0 < share < 1:
+    if not len(label) or not 0 < share < 1:
         return Machine(float(np.log((share + 1e-6) / (1 - share + 1e-6))), m.weight, m.factor * 0)
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -143,12 +143,18 @@ def fit(slot: np.ndarray, value: np.ndarray, counts: np.ndarray, label: np.ndarr
     return m
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """doc_id, text, y of at most about `most` labelled rows that are not held out; drawn by hash, so reruns agree."""
-    known = labels.filter(F.col(column).isin(0, 1)).filter(~held_out()).groupBy("doc_id").agg(F.max(column).alias("y"))
-    n = known.count()
-    draw = F.pmod(F.xxhash64(F.lit(column), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1)))
-    return docs.select("doc_id", "text").join(known.filter(draw), "doc_id")
+def sample_labelled(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int]) -> DataFrame:
+    """doc_id, text, y of labelled rows that are not held out: of each label at most so many, the first in the order of a hash.
+
+    The ids drawn are bounded, so they are broadcast and documents are not shuffled.
+    """
+    known = labels.filter(F.col(column).isin(0, 1)).filter(~held_out()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    order = (F.xxhash64(F.lit(column), "doc_id"), "doc_id")
+    parts = [known.filter(F.col("y") == y).orderBy(*order).limit(n) for y, n in most.items()]
+    drawn = parts[0]
+    for p in parts[1:]:
+        drawn = drawn.unionByName(p)
+    return write_shared(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), f"{column}-sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
@@ -160,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
                 slot, value, counts = featurise(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y").cast(pa.int32()), ragged(slot.astype(np.int32), counts, pa.int32()), ragged(value.astype(np.float32), counts, pa.float32())], names=["doc_id", "y", "slot", "value"])
 
-    rows = sample_labelled(docs, labels, "quality", most).mapInArrow(each, "doc_id long, y int, slot array<int>, value array<float>").toArrow().sort_by("doc_id")
+    rows = sample_labelled(docs, labels, "quality", {1: most * 3 // 4, 0: most // 4}).mapInArrow(each, "doc_id long, y int, slot array<int>, value array<float>").toArrow().sort_by("doc_id")
     counts = np.diff(rows.column("slot").combine_chunks().offsets.to_numpy()) if len(rows) else np.zeros(0, np.int64)
     values = lambda c: rows.column(c).combine_chunks().values.to_numpy() if len(rows) else np.zeros(0)
     return fit(values("slot").astype(np.int64), values("value").astype(np.float64), counts.astype(np.int64), rows.column("y").to_numpy().astype(np.float64))

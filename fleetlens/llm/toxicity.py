@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, flat, held_out, mix, ragged, signed, slices
+from .quality_fm import sample_labelled
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
 #: Features of a model, at most; and the least G2 of one (random features of this sample stay far below).
@@ -215,13 +216,11 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     cost = costs(character_counts(docs))
-    known = labels.filter(F.col("toxic").isin(0, 1)).filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
-        return Model(cost, bias=20.0 if n.get(1) else -20.0)
-    share = F.when(F.col("y") == 1, min(1.0, SAMPLE_TOXIC / n[1])).otherwise(min(1.0, SAMPLE_CLEAN / n[0]))
-    known = known.filter(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    drawn = docs.select("doc_id", "text").join(known, "doc_id")
+    drawn = sample_labelled(docs, labels, "toxic", {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN})
+    total = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = total.get(1, 0), total.get(0, 0)
+    if not n0 or not n1:
+        return Model(cost, bias=20.0 if n1 else -20.0)
     shared = spark.sparkContext.broadcast(cost)
 
     def count(batches):
@@ -245,10 +244,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     toxic = np.bincount(back, weights=y[row[at]], minlength=len(key)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(len(key), level, np.int32)), pa.array(toxic), pa.array(np.bincount(back, minlength=len(key)) - toxic)], names=["h", "level", "t", "c"])
 
-    total = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = total.get(1, 0), total.get(0, 0)
-    if not n0 or not n1:
-        return Model(cost, bias=-20.0)
     table = drawn.select("text", "y").mapInArrow(count, "h long, level int, t long, c long").groupBy("h", "level").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     both = F.col("t") + F.col("c")
     part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
