@@ -21,8 +21,9 @@ def static(name: str):
 
 def streamed_readings(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") -> DataFrame:
     """Readings as a stream of the events file."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = jobs.file_stream(spark, sf_dir, schema, "events.parquet") if not spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()[0].endswith("part-0000.parquet") else jobs.file_stream(spark, f"{sf_dir}/events.parquet", schema)
+    static = spark.read.parquet(f"{sf_dir}/events.parquet")
+    one_file = all(f.endswith("/events.parquet") for f in static.inputFiles())  # else a folder of that name
+    events = jobs.file_stream(spark, sf_dir, static.schema, "events.parquet") if one_file else jobs.file_stream(spark, f"{sf_dir}/events.parquet", static.schema)
     return windows.with_event_time(spark.sql(bound(readings(SPARK), ("events",)), events=events), delay)
 
 
