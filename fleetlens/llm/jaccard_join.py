@@ -2,15 +2,17 @@
 
 A size-aware heavy-light join, exact up to 64-bit hashes of shingles:
 
-1. Words are counted in a fixed table of hashed counters. A shingle's rank is (rarity of its words, hash): rare first.
+1. Words are counted in a table of hashed counters, bounded in size. A shingle's rank is (rarity of its words, hash): rare first.
 2. Each text becomes its set of shingle hashes; equal sets are one class (128-bit fingerprint), named by its smallest id.
 3. Two sets of sizes a, b link only if they share o(a, b) = ceil(9 (a + b) / 19) shingles, and sizes differ by a tenth at
    most. Light sets (size up to a boundary) enumerate their subsets of those fixed sizes: partners share a subset.
    Heavy sets are scanned by inverted lists of their a - ceil(0.9 a) + 1 rarest shingles: partners share one of these.
    The boundary is where the subsets of lighter sets cost less than the scan of their lists, both counted in the data.
 4. Components need no link inside a component already found. Each list is first compared with one member (its pivot);
-   after components of those links, only pairs of different components in a list are left, and all of them are compared.
-   A pair is compared by size, then by a bound from 1024-bit parity maps of the sets (never too low), then exactly.
+   after components of those links, only pairs of different components in a list are left, and all of them are compared,
+   in tiles of a list, inside tasks.
+   A pair is compared by size, then by a bound from parity maps of the sets (never too low), then exactly. Sets are made
+   again for documents in pairs that are left; a bitmap of their ids, of a size that is bounded, spares the others.
 
 Defined results: null and empty texts have no set and are their own component; with one or two words the whole sequence is
 the one shingle; repeated rows and equal sets share a component; rows with one doc_id are one document for linking, each
@@ -30,11 +32,16 @@ from pyspark.sql import functions as F
 from .common import Words, mix, ragged, signed, slices, write_shared
 from .components import components
 
-#: Counters of hashed words; fixed, whatever the input.
-COUNTERS = 1 << 16
+#: Counters of hashed words: four for each document, within these bounds (what the driver gathers is bounded).
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 22
 #: Sets of up to so many shingles may be light; the boundary is chosen among them.
 MOST_LIGHT = 24
-MAP_BITS = 1024
+#: Bits of a set's parity map; sets of over WIDE_FROM shingles have a wide one too.
+MAP_BITS, WIDE_BITS, WIDE_FROM = 1024, 8192, 2500
+#: Bits of the bitmap of candidate ids: 16 for each id, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Sets of a list that are compared in one task with as many others.
+BLOCK = 2048
 SHINGLE = 3
 
 
@@ -53,25 +60,26 @@ def subset_sizes(a: int, most: int) -> list[int]:
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words by hash, over all documents, in COUNTERS counters."""
+    """Occurrences of words by hash, over all documents, in a power of two of counters."""
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (4 * docs.count()).bit_length()))
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.int64)
         for batch in batches:
             for part in slices(batch):
-                total += np.bincount((Words(part.column("text")).hash & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                total += np.bincount((Words(part.column("text")).hash & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
         k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["k", "n"])
 
-    out = np.zeros(COUNTERS, np.int64)
-    rows = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-    out[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out = np.zeros(counters, np.int64)
+    rows = docs.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row for each counter at most
+    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
     """How common each counter's words are, in quarters of a doubling."""
-    return np.round(4 * np.log2(counts + 1)).astype(np.uint64)
+    return np.round(4 * np.log2(counts + 1)).astype(np.uint16)
 
 
 class Sets:
@@ -81,7 +89,7 @@ class Sets:
         w = Words(text)
         n = len(text)
         h, row = w.hash, w.row
-        lev = level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] if level is not None else np.zeros(len(h), np.uint64)
+        lev = level[(h & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64) if level is not None else np.zeros(len(h), np.uint64)
         long = w.per_row >= SHINGLE
         first = np.flatnonzero(row[: len(row) - 2] == row[2:]) if len(row) > 2 else np.zeros(0, np.int64)
         A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -114,19 +122,22 @@ class Sets:
             out.append(signed(sums[self.start + self.size] - sums[self.start]))
         return out[0], out[1]
 
-    def maps(self) -> np.ndarray:
-        """A row of MAP_BITS bits for each set: the parity of how many of its hashes fall on each."""
-        n = len(self.size)
-        bits = np.bincount(self.row * MAP_BITS + (self.hash & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=n * MAP_BITS) & 1
-        return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    def maps(self, bits: int, of: np.ndarray) -> np.ndarray:
+        """A row of bits for each set in `of`: the parity of how many of its hashes fall on each."""
+        place = np.full(len(self.size), -1)
+        place[of] = np.arange(len(of))
+        use = place[self.row] >= 0
+        at = place[self.row[use]] * bits + (self.hash[use] & np.uint64(bits - 1)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(of) * bits) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-FEATURES = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, small array<long>, bits array<long>"
+FEATURES = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, small array<long>, bits array<long>, wide array<long>"
 
 
 def features(docs: DataFrame, level: np.ndarray) -> DataFrame:
     """Each text's set size, fingerprint, rarest shingles, all shingles if it may be light, and parity map."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)  # COUNTERS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(level)  # MOST_COUNTERS small numbers at most
 
     def each(batches):
         for batch in batches:
@@ -139,14 +150,15 @@ def features(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").cast(pa.int64()), pa.array(s.size.astype(np.int64)), pa.array(fp1), pa.array(fp2),
                     ragged(signed(mix(s.rank[head])), p, pa.int64()), ragged(signed(s.hash[small]), np.where(s.size <= MOST_LIGHT, s.size, 0), pa.int64()),
-                    ragged(s.maps(), np.full(len(part), MAP_BITS // 64), pa.int64()),
-                ], names=["doc_id", "n", "fp1", "fp2", "prefix", "small", "bits"])
+                    ragged(s.maps(MAP_BITS, np.arange(len(part))), np.full(len(part), MAP_BITS // 64), pa.int64()),
+                    ragged(s.maps(WIDE_BITS, np.flatnonzero(s.size > WIDE_FROM)), np.where(s.size > WIDE_FROM, WIDE_BITS // 64, 0), pa.int64()),
+                ], names=["doc_id", "n", "fp1", "fp2", "prefix", "small", "bits", "wide"])
 
     return docs.select("doc_id", "text").mapInArrow(each, FEATURES)
 
 
 def subsets(sets: DataFrame, most: int) -> DataFrame:
-    """tok, rep, n: a hash of each fixed-size subset that the light sets of up to `most` shingles share with partners."""
+    """tok, rep, n, pos: a hash of each fixed-size subset that the light sets of up to `most` shingles share with partners."""
     deleted = {a: [(c, np.array(list(combinations(range(a), a - c)), np.int64).reshape(comb(a, c), a - c)) for c in subset_sizes(a, most)] for a in range(1, most + 1)}
 
     def each(batches):
@@ -160,9 +172,9 @@ def subsets(sets: DataFrame, most: int) -> DataFrame:
                     rep.append(np.full(len(gone), r, np.int64))
                     size.append(np.full(len(gone), n, np.int64))
             if tok:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tok))), pa.array(np.concatenate(rep)), pa.array(np.concatenate(size))], names=["tok", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tok))), pa.array(np.concatenate(rep)), pa.array(np.concatenate(size)), pa.array(np.zeros(sum(map(len, tok)), np.int32))], names=["tok", "rep", "n", "pos"])
 
-    return sets.filter(F.col("n") <= most).select("rep", "n", "small").mapInArrow(each, "tok long, rep long, n long")
+    return sets.filter(F.col("n") <= most).select("rep", "n", "small").mapInArrow(each, "tok long, rep long, n long, pos int")
 
 
 def boundary(sets: DataFrame) -> int:
@@ -183,25 +195,95 @@ def similar_sizes(a: str, b: str):
     return 10 * F.least(a, b) >= 9 * F.greatest(a, b)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among the pairs (a, b)."""
-    side = sets.select("rep", "n", "bits")
-    pairs = pairs.join(side.toDF("a", "na", "bits_a"), "a").join(side.toDF("b", "nb", "bits_b"), "b").filter(similar_sizes("na", "nb"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    pairs = pairs.filter(190 * ((F.col("na") + F.col("nb") - apart) / 2) >= 90 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
-    pairs = write_shared(pairs, "pairs")
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, set (sorted hashes) of the documents whose doc_id is in ids, and of a few others."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1)) + 1
+    marks = ids.select(slot("doc_id").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
+    seen = np.zeros(bits // 8, np.uint8)
+    for r in marks.collect():  # MOST_BITS bits at most
+        seen[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["b"], np.uint8)[: len(seen)]
+    shared = docs.sparkSession.sparkContext.broadcast(seen)
 
     def each(batches):
         for batch in batches:
+            s = batch.column("slot").to_numpy() - 1
+            batch = batch.filter(pa.array((shared.value[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch):
                 s = Sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(s.size.astype(np.int64)), ragged(signed(s.hash), s.size, pa.int64())], names=["id", "n", "set"])
 
-    whole = write_shared(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(each, "id long, n long, set array<long>").withColumn("print", F.xxhash64("set")).dropDuplicates(["id", "n", "print"]).drop("print"), "sets")
+    known = docs.filter("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
+    return write_shared(known.mapInArrow(each, "id long, n long, set array<long>"), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among the pairs (a, b)."""
+    side = sets.select("rep", "n", "bits", "wide")
+    pairs = pairs.join(side.toDF("a", "na", "bits_a", "wide_a"), "a")
+    pairs = pairs.join(side.toDF("b", "nb", "bits_b", "wide_b"), "b").filter(similar_sizes("na", "nb"))
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    total = F.col("na") + F.col("nb")
+    both_wide = (F.size("wide_a") > 0) & (F.size("wide_b") > 0)
+    apart = F.when(both_wide, apart("wide_a", "wide_b")).otherwise(apart("bits_a", "bits_b"))
+    pairs = write_shared(pairs.filter(190 * ((total - apart) / 2) >= 90 * total).select("a", "b", "na", "nb").distinct(), "pairs")
+    whole = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     both = pairs.join(whole.toDF("a", "na", "set_a"), ["a", "na"]).join(whole.toDF("b", "nb", "set_b"), ["b", "nb"])
     overlap = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(100 * overlap >= 90 * (F.col("na") + F.col("nb") - overlap)).select("a", "b").distinct()
+    return both.filter(100 * overlap >= 90 * (total - overlap)).select("a", "b").distinct()
+
+
+def compare_lists(batches):
+    """Pairs of a tile's sets in different components that size, place and parity map let be links; tiles come one after the other."""
+
+    def pairs(t: pa.Table):
+        col = lambda c: t.column(c).combine_chunks().to_numpy()
+        tok, i, j, rep, n, pos, part, block = (col(c) for c in ("tok", "i", "j", "rep", "n", "pos", "part", "block"))
+        bits = t.column("bits").combine_chunks().flatten().to_numpy().reshape(len(tok), -1)
+        first = np.ones(len(tok), bool)
+        first[1:] = (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        start = np.flatnonzero(first)
+        end = np.repeat(np.append(start[1:], len(tok)), np.diff(np.append(start, len(tok))))
+        x, d = np.arange(len(tok)), 0
+        while len(x):
+            d += 1
+            x = x[x + d < end[x]]
+            y = x + d
+            ok = (rep[x] != rep[y]) & (part[x] != part[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (10 * np.minimum(n[x], n[y]) >= 9 * np.maximum(n[x], n[y]))
+            # From the first shingle that two sets share on, they share no more than what follows it in either.
+            ok &= 19 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 9 * (n[x] + n[y])
+            a, b = x[ok], y[ok]
+            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            near = 95 * (n[a] + n[b] - apart) >= 90 * (n[a] + n[b])
+            a, b = rep[a[near]], rep[b[near]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        keys = [t.column(c).combine_chunks().to_numpy() for c in ("tok", "i", "j")]
+        same = np.ones(len(t), bool)
+        for k in keys:
+            same &= k == k[-1]
+        whole = int(np.flatnonzero(~same).max(initial=-1)) + 1  # rows of tiles that have ended
+        if whole:
+            yield from pairs(t.slice(0, whole))
+        held = t.slice(whole)
+    if held is not None and len(held):
+        yield from pairs(held)
+
+
+def list_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the pairs in lists that may be links, compared inside tasks; a list of over BLOCK sets is dealt out in tiles of two blocks."""
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    rows = lists.join(sets.select("rep", "n", "bits"), ["rep", "n"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("tok", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "rep", "n", F.col("pos").cast("long").alias("pos"), "part", "block", "bits")
+    tiles = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
+    return tiles.mapInArrow(compare_lists, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -210,10 +292,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     known = every.filter("n > 0 and doc_id is not null")
     classes = write_shared(known.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     # The row that names a class carries its set; a class whose name is another class's too keeps both.
-    sets = known.join(classes, ["n", "fp1", "fp2"]).filter("doc_id = rep").dropDuplicates(["rep", "n", "fp1", "fp2"]).select("rep", "n", "prefix", "small", "bits")
+    sets = known.join(classes, ["n", "fp1", "fp2"]).filter("doc_id = rep").dropDuplicates(["rep", "n", "fp1", "fp2"]).select("rep", "n", "prefix", "small", "bits", "wide")
     sets = write_shared(sets, "classes-with-sets")
     light = boundary(sets)
-    heavy = sets.filter(F.col("n") >= smallest_partner(light + 1)).select(F.explode("prefix").alias("tok"), "rep", "n")
+    heavy = sets.filter(F.col("n") >= smallest_partner(light + 1)).select(F.posexplode("prefix").alias("pos", "tok"), "rep", "n").select("tok", "rep", "n", "pos")
     posts = heavy.union(subsets(sets, light))
     several = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("length"), F.min("rep").alias("pivot")).filter("length > 1").drop("length")
     lists = write_shared(posts.join(several, "tok"), "lists")
@@ -221,13 +303,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = write_shared(verify(star, sets, docs), "links")
     first = write_shared(components(links), "first-components")
     # What is left: pairs of one list in different components, neither of them the pivot (those are done).
-    part = lists.join(first, lists.rep == first.node, "left").select("tok", "rep", "n", "pivot", F.coalesce("component", "rep").alias("part"))
+    part = lists.join(first, lists.rep == first.node, "left").select("tok", "rep", "n", "pos", "pivot", F.coalesce("component", "rep").alias("part"))
     part = write_shared(part.filter("rep <> pivot"), "parts")
-    open_ = part.groupBy("tok").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("tok")
-    left = part.join(open_, "tok").select("tok", "rep", "n", "part")
-    other = left.toDF("tok", "rep2", "n2", "part2")
-    rest = left.join(other, "tok").filter((F.col("part") != F.col("part2")) & (F.col("rep") < F.col("rep2")) & similar_sizes("n", "n2"))
-    more = verify(rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), sets, docs)
+    open_ = part.groupBy("tok").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("length")).filter("low <> high").select("tok", "length")
+    more = verify(list_pairs(part.join(open_, "tok"), sets), sets, docs)
     # Rows with one id in several classes join these classes.
     twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     same = known.join(twice, "doc_id").join(classes, ["n", "fp1", "fp2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
