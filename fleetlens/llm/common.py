@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once in numpy; rows are never cut.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, bool)
