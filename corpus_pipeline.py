@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.llm import decontaminate, jaccard_join, mixing, quality_rules, token_ids
 from fleetlens.llm.common import new_path
 
+#: Near duplicates: words of a shingle, and the least similarity in percent (op9 by itself has 3 and 90).
+SHINGLE, PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

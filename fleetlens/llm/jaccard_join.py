@@ -1,12 +1,15 @@
-"""N-gram Jaccard join: documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more.
+"""N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of `percent` / 100 or more.
+
+Shingle length and percent are arguments. op9's contract is 3 words and 90, which are the defaults; the corpus pipeline
+takes 5 words and 80.
 
 A size-aware heavy-light join, exact up to 64-bit hashes of shingles:
 
 1. Words are counted in a table of hashed counters, bounded in size. A shingle's rank is (rarity of its words, hash): rare first.
 2. Each text becomes its set of shingle hashes; equal sets are one class (128-bit fingerprint), named by its smallest id.
-3. Two sets of sizes a, b link only if they share o(a, b) = ceil(9 (a + b) / 19) shingles, and sizes differ by a tenth at
-   most. Light sets (size up to a boundary) enumerate their subsets of those fixed sizes: partners share a subset.
-   Heavy sets are scanned by inverted lists of their a - ceil(0.9 a) + 1 rarest shingles: partners share one of these.
+3. Two sets of sizes a, b link only if they share o(a, b) = ceil(p (a + b) / (100 + p)) shingles, p = percent, and the
+   smaller has p percent of the larger's size. Light sets (size up to a boundary) enumerate their subsets of those fixed sizes: partners share a subset.
+   Heavy sets are scanned by inverted lists of their a - ceil(p a / 100) + 1 rarest shingles: partners share one of these.
    The boundary is where the subsets of lighter sets cost less than the scan of their lists, both counted in the data.
 4. Components need no link inside a component already found. Each list is first compared with one member (its pivot);
    after components of those links, only pairs of different components in a list are left, and all of them are compared,
@@ -14,8 +17,8 @@ A size-aware heavy-light join, exact up to 64-bit hashes of shingles:
    A pair is compared by size, then by a bound from parity maps of the sets (never too low), then exactly. Sets are made
    again for documents in pairs that are left; a bitmap of their ids, of a size that is bounded, spares the others.
 
-Defined results: null and empty texts have no set and are their own component; with one or two words the whole sequence is
-the one shingle; repeated rows and equal sets share a component; rows with one doc_id are one document for linking, each
+Defined results: null and empty texts have no set and are their own component; with fewer words than a shingle the whole
+sequence is the one shingle; repeated rows and equal sets share a component; rows with one doc_id are one document for linking, each
 with its own n_shingles; a null doc_id is linked with nothing and has a null component; an empty table gives no rows.
 """
 
@@ -42,21 +45,22 @@ MAP_BITS, WIDE_BITS, WIDE_FROM = 1024, 8192, 2500
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Sets of a list that are compared in one task with as many others.
 BLOCK = 2048
-SHINGLE = 3
+#: op9's contract: words of a shingle, and the least similarity of a link in percent.
+SHINGLE, PERCENT = 3, 90
 
 
-def least_overlap(a: int, b: int) -> int:
-    """The smallest overlap with 100 * overlap >= 90 * union."""
-    return -(-9 * (a + b) // 19)
+def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
+    """The smallest overlap with 100 * overlap >= percent * union."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def smallest_partner(a):
-    return -(-9 * a // 10)
+def smallest_partner(a, percent: int = PERCENT):
+    return -(-percent * a // 100)
 
 
-def subset_sizes(a: int, most: int) -> list[int]:
+def subset_sizes(a: int, most: int, percent: int = PERCENT) -> list[int]:
     """Sizes of the subsets that a set of a shingles shares with its partners of up to `most` shingles."""
-    return sorted({c for b in range(smallest_partner(a), min(most, 10 * a // 9) + 1) if (c := least_overlap(a, b)) <= min(a, b)})
+    return sorted({c for b in range(smallest_partner(a, percent), min(most, 100 * a // percent) + 1) if (c := least_overlap(a, b, percent)) <= min(a, b)})
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
@@ -85,21 +89,23 @@ def levels(counts: np.ndarray) -> np.ndarray:
 class Sets:
     """The shingle sets of some texts: `hash` and `rank` sorted by rank in each row, and `size` of each row."""
 
-    def __init__(self, text: pa.Array, level: np.ndarray | None = None):
+    def __init__(self, text: pa.Array, level: np.ndarray | None = None, shingle: int = SHINGLE):
         w = Words(text)
         n = len(text)
         h, row = w.hash, w.row
         lev = level[(h & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64) if level is not None else np.zeros(len(h), np.uint64)
-        long = w.per_row >= SHINGLE
-        first = np.flatnonzero(row[: len(row) - 2] == row[2:]) if len(row) > 2 else np.zeros(0, np.int64)
-        A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-        sh = mix(h[first] * A + mix(h[first + 1]) * B + mix(h[first + 2], 5) * C)
-        sl, sr = lev[first] + lev[first + 1] + lev[first + 2], row[first]
-        few = np.flatnonzero(~long & (w.per_row > 0))
+        first = np.flatnonzero(row[: len(row) - shingle + 1] == row[shingle - 1 :]) if len(row) >= shingle else np.zeros(0, np.int64)
+        A = np.uint64(0x9E3779B97F4A7C15)
+        sh, sl, sr = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64), row[first]
+        for j in range(shingle):
+            sh = mix(sh * A + h[first + j], j)
+            sl += lev[first + j]
+        few = np.flatnonzero((w.per_row < shingle) & (w.per_row > 0))
         if len(few):  # the whole sequence is the one shingle
-            at = np.cumsum(w.per_row) - w.per_row
-            one = mix(h[at[few]] * A, 11) + np.where(w.per_row[few] == 2, mix(h[np.minimum(at[few] + 1, len(h) - 1)], 12), np.uint64(1))
-            sh, sl, sr = np.concatenate([sh, mix(one, 13)]), np.concatenate([sl, lev[at[few]]]), np.concatenate([sr, few])
+            at, one = (np.cumsum(w.per_row) - w.per_row)[few], np.zeros(len(few), np.uint64)
+            for j in range(shingle - 1):
+                one = np.where(w.per_row[few] > j, mix(one * A + h[np.minimum(at + j, len(h) - 1)], 11 + j), one)
+            sh, sl, sr = np.concatenate([sh, mix(one, 13)]), np.concatenate([sl, lev[at]]), np.concatenate([sr, few])
             order = np.argsort(sr, kind="stable")
             sh, sl, sr = sh[order], sl[order], sr[order]
         rank = (sl << np.uint64(50)) | (sh >> np.uint64(14))
@@ -135,15 +141,15 @@ class Sets:
 FEATURES = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, small array<long>, bits array<long>, wide array<long>"
 
 
-def features(docs: DataFrame, level: np.ndarray) -> DataFrame:
+def features(docs: DataFrame, level: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """Each text's set size, fingerprint, rarest shingles, all shingles if it may be light, and parity map."""
     shared = docs.sparkSession.sparkContext.broadcast(level)  # MOST_COUNTERS small numbers at most
 
     def each(batches):
         for batch in batches:
             for part in slices(batch):
-                s = Sets(part.column("text"), shared.value)
-                p = np.where(s.size > 0, s.size - smallest_partner(s.size) + 1, 0)
+                s = Sets(part.column("text"), shared.value, shingle)
+                p = np.where(s.size > 0, s.size - smallest_partner(s.size, percent) + 1, 0)
                 place = np.arange(len(s.row)) - s.start[s.row]
                 head, small = place < p[s.row], s.size[s.row] <= MOST_LIGHT
                 fp1, fp2 = s.prints()
@@ -157,9 +163,9 @@ def features(docs: DataFrame, level: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, FEATURES)
 
 
-def subsets(sets: DataFrame, most: int) -> DataFrame:
+def subsets(sets: DataFrame, most: int, percent: int) -> DataFrame:
     """tok, rep, n, pos: a hash of each fixed-size subset that the light sets of up to `most` shingles share with partners."""
-    deleted = {a: [(c, np.array(list(combinations(range(a), a - c)), np.int64).reshape(comb(a, c), a - c)) for c in subset_sizes(a, most)] for a in range(1, most + 1)}
+    deleted = {a: [(c, np.array(list(combinations(range(a), a - c)), np.int64).reshape(comb(a, c), a - c)) for c in subset_sizes(a, most, percent)] for a in range(1, most + 1)}
 
     def each(batches):
         for batch in batches:
@@ -177,25 +183,25 @@ def subsets(sets: DataFrame, most: int) -> DataFrame:
     return sets.filter(F.col("n") <= most).select("rep", "n", "small").mapInArrow(each, "tok long, rep long, n long, pos int")
 
 
-def boundary(sets: DataFrame) -> int:
+def boundary(sets: DataFrame, percent: int) -> int:
     """The size up to which enumerating subsets costs less than scanning lists, by counts in the data."""
-    few = sets.filter(F.col("n").between(1, 10 * MOST_LIGHT // 9))
+    few = sets.filter(F.col("n").between(1, 100 * MOST_LIGHT // percent))
     lists = few.select("rep", "n", F.explode("prefix").alias("tok"))
     read = lists.join(lists.groupBy("tok").agg(F.count(F.lit(1)).alias("length")), "tok").groupBy("n").agg(F.sum("length").alias("read"))
     rows = few.groupBy("n").agg(F.count(F.lit(1)).alias("sets")).join(read, "n", "left").collect()  # a row for each small size
     held, scan = {r["n"]: r["sets"] for r in rows}, {r["n"]: r["read"] or 0 for r in rows}
     cost = {}
     for x in range(9, MOST_LIGHT + 1):
-        enumerated = sum(held.get(a, 0) * sum(comb(a, c) for c in subset_sizes(a, x)) for a in range(1, x + 1))
-        cost[x] = enumerated + sum(scan.get(a, 0) for a in range(smallest_partner(x + 1), MOST_LIGHT + 1))
+        enumerated = sum(held.get(a, 0) * sum(comb(a, c) for c in subset_sizes(a, x, percent)) for a in range(1, x + 1))
+        cost[x] = enumerated + sum(scan.get(a, 0) for a in range(smallest_partner(x + 1, percent), MOST_LIGHT + 1))
     return min(cost, key=lambda x: (cost[x], x))
 
 
-def similar_sizes(a: str, b: str):
-    return 10 * F.least(a, b) >= 9 * F.greatest(a, b)
+def similar_sizes(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """id, n, set (sorted hashes) of the documents whose doc_id is in ids, and of a few others."""
     n = ids.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
@@ -211,30 +217,30 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             s = batch.column("slot").to_numpy() - 1
             batch = batch.filter(pa.array((shared.value[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch):
-                s = Sets(part.column("text"))
+                s = Sets(part.column("text"), shingle=shingle)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(s.size.astype(np.int64)), ragged(signed(s.hash), s.size, pa.int64())], names=["id", "n", "set"])
 
     known = docs.filter("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot"))
     return write_shared(known.mapInArrow(each, "id long, n long, set array<long>"), "sets")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The links among the pairs (a, b)."""
     side = sets.select("rep", "n", "bits", "wide")
     pairs = pairs.join(side.toDF("a", "na", "bits_a", "wide_a"), "a")
-    pairs = pairs.join(side.toDF("b", "nb", "bits_b", "wide_b"), "b").filter(similar_sizes("na", "nb"))
+    pairs = pairs.join(side.toDF("b", "nb", "bits_b", "wide_b"), "b").filter(similar_sizes("na", "nb", percent))
     apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     total = F.col("na") + F.col("nb")
     both_wide = (F.size("wide_a") > 0) & (F.size("wide_b") > 0)
     apart = F.when(both_wide, apart("wide_a", "wide_b")).otherwise(apart("bits_a", "bits_b"))
-    pairs = write_shared(pairs.filter(190 * ((total - apart) / 2) >= 90 * total).select("a", "b", "na", "nb").distinct(), "pairs")
-    whole = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    pairs = write_shared(pairs.filter((100 + percent) * ((total - apart) / 2) >= percent * total).select("a", "b", "na", "nb").distinct(), "pairs")
+    whole = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), shingle)
     both = pairs.join(whole.toDF("a", "na", "set_a"), ["a", "na"]).join(whole.toDF("b", "nb", "set_b"), ["b", "nb"])
     overlap = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(100 * overlap >= 90 * (total - overlap)).select("a", "b").distinct()
+    return both.filter(100 * overlap >= percent * (total - overlap)).select("a", "b").distinct()
 
 
-def compare_lists(batches):
+def compare_lists(batches, percent: int):
     """Pairs of a tile's sets in different components that size, place and parity map let be links; tiles come one after the other."""
 
     def pairs(t: pa.Table):
@@ -250,12 +256,12 @@ def compare_lists(batches):
             d += 1
             x = x[x + d < end[x]]
             y = x + d
-            ok = (rep[x] != rep[y]) & (part[x] != part[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (10 * np.minimum(n[x], n[y]) >= 9 * np.maximum(n[x], n[y]))
+            ok = (rep[x] != rep[y]) & (part[x] != part[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             # From the first shingle that two sets share on, they share no more than what follows it in either.
-            ok &= 19 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 9 * (n[x] + n[y])
+            ok &= (100 + percent) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= percent * (n[x] + n[y])
             a, b = x[ok], y[ok]
             apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            near = 95 * (n[a] + n[b] - apart) >= 90 * (n[a] + n[b])
+            near = (100 + percent) * (n[a] + n[b] - apart) >= 2 * percent * (n[a] + n[b])
             a, b = rep[a[near]], rep[b[near]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -276,37 +282,37 @@ def compare_lists(batches):
         yield from pairs(held)
 
 
-def list_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def list_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs in lists that may be links, compared inside tasks; a list of over BLOCK sets is dealt out in tiles of two blocks."""
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     rows = lists.join(sets.select("rep", "n", "bits"), ["rep", "n"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("tok", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "rep", "n", F.col("pos").cast("long").alias("pos"), "part", "block", "bits")
     tiles = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
-    return tiles.mapInArrow(compare_lists, "a long, b long").distinct()
+    return tiles.mapInArrow(lambda batches: compare_lists(batches, percent), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs."""
-    every = write_shared(features(docs, levels(word_counts(docs))), "features")
+    every = write_shared(features(docs, levels(word_counts(docs)), shingle, percent), "features")
     known = every.filter("n > 0 and doc_id is not null")
     classes = write_shared(known.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     # The row that names a class carries its set; a class whose name is another class's too keeps both.
     sets = known.join(classes, ["n", "fp1", "fp2"]).filter("doc_id = rep").dropDuplicates(["rep", "n", "fp1", "fp2"]).select("rep", "n", "prefix", "small", "bits", "wide")
     sets = write_shared(sets, "classes-with-sets")
-    light = boundary(sets)
-    heavy = sets.filter(F.col("n") >= smallest_partner(light + 1)).select(F.posexplode("prefix").alias("pos", "tok"), "rep", "n").select("tok", "rep", "n", "pos")
-    posts = heavy.union(subsets(sets, light))
+    light = boundary(sets, percent)
+    heavy = sets.filter(F.col("n") >= smallest_partner(light + 1, percent)).select(F.posexplode("prefix").alias("pos", "tok"), "rep", "n").select("tok", "rep", "n", "pos")
+    posts = heavy.union(subsets(sets, light, percent))
     several = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("length"), F.min("rep").alias("pivot")).filter("length > 1").drop("length")
     lists = write_shared(posts.join(several, "tok"), "lists")
     star = lists.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = write_shared(verify(star, sets, docs), "links")
+    links = write_shared(verify(star, sets, docs, shingle, percent), "links")
     first = write_shared(components(links), "first-components")
     # What is left: pairs of one list in different components, neither of them the pivot (those are done).
     part = lists.join(first, lists.rep == first.node, "left").select("tok", "rep", "n", "pos", "pivot", F.coalesce("component", "rep").alias("part"))
     part = write_shared(part.filter("rep <> pivot"), "parts")
     open_ = part.groupBy("tok").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("length")).filter("low <> high").select("tok", "length")
-    more = verify(list_pairs(part.join(open_, "tok"), sets), sets, docs)
+    more = verify(list_pairs(part.join(open_, "tok"), sets, percent), sets, docs, shingle, percent)
     # Rows with one id in several classes join these classes.
     twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     same = known.join(twice, "doc_id").join(classes, ["n", "fp1", "fp2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -316,9 +322,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "rep"))).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: that with the component's smallest id (its first row, if repeated)."""
-    keep = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = jaccard_components(docs, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
     null = docs.filter("doc_id is null")
     once = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(*docs.columns).unionByName(null)

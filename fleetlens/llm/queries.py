@@ -51,7 +51,7 @@ def op8_token_ids(spark, sf_dir):
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
 def op10_language_id(spark, sf_dir):

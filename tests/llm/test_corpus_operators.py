@@ -304,6 +304,30 @@ def test_jaccard_join(frame):
     assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == sorted({x["component_id"] for x in out if x["component_id"] is not None})
 
 
+def test_jaccard_join_on_five_words(frame):
+    r = random.Random(12)
+    rows, doc = list(ODD), 100
+    for _ in range(25):
+        words = prose(r.choice([2, 3, 4, 5, 6, 9, 14, 18, 22, 25, 40, 80, 300]), r).split()
+        for _ in range(r.randint(2, 6)):
+            rows.append((doc, " ".join(words)))
+            doc += 1
+            words = list(words)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                k = r.choice([0, len(words) - 1, r.randrange(len(words))])
+                words[k : k + 1] = r.choice([[], ["new" + str(r.randrange(99))], [words[k], "more"]])
+                words = words or ["left"]
+    sets = [frozenset([tuple(w)] if 0 < len(w := WORD.findall(lower(x[1]))) < 5 else zip(*(w[j:] for j in range(5)))) for x in rows]
+    part = {x[0]: x[0] for x in rows if x[0] is not None}
+    links = [(x[0], y[0]) for x, s in zip(rows, sets) for y, t in zip(rows, sets) if None not in (x[0], y[0]) and s and 100 * len(s & t) >= 80 * len(s | t)]
+    while any(part[a] != part[b] for a, b in links):
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    out = jaccard_join.jaccard_components(extra(frame(rows)), 5, 80).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(map(key, out)) == sorted(key((x[0], len(s), part.get(x[0]))) for x, s in zip(rows, sets))
+
+
 def test_subset_sizes_meet_every_threshold():
     for a in range(1, 25):
         for b in range(a, 25):

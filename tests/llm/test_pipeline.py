@@ -29,3 +29,17 @@ def test_pipeline(spark, frame):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
     ends = sorted((x["start"], x["n_tokens"]) for x in docs.collect())
     assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+
+
+def test_pipeline_drops_copies_with_changed_words(spark, frame):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghijklm", k=r.randint(3, 8))) for _ in range(3000)]
+    rows = []
+    for k, (n, changed) in enumerate([(50, [25]), (100, [30, 60]), (200, [40, 80, 120, 160])]):  # 0.80 to 0.82 on 5 words, 0.88 to 0.89 on 3
+        text = r.sample(words, n)
+        other = [f"new{j}" if j in changed else w for j, w in enumerate(text)]
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join(other))]
+    text = r.sample(words, 50)
+    rows += [(90, " ".join(text)), (91, " ".join(f"new{j}" if j in (15, 35) else w for j, w in enumerate(text)))]  # 0.64
+    stage = dict(corpus_pipeline.STAGES)["n-gram jaccard join"]
+    assert {x["doc_id"] for x in stage(spark, frame(rows), "").collect()} == {0, 10, 20, 90, 91}
