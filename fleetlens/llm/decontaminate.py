@@ -2,9 +2,9 @@
 
 A mask names the positions of a window that count; the others may hold any word. Every window of every benchmark item is
 hashed under each mask, and so is every window of every document. Windows whose hashes meet are hits; around a hit the item
-is laid along the document at the hit's offset, and the best segment by +1 for an equal word and -2 for another is taken.
-A document is contaminated if a segment has MIN_MATCHED equal words (or all but a tenth of a shorter item) and a share of
-MIN_SHARE of equal words. Words are lower-cased runs of letters and digits, so marks between words do not hide a passage.
+is laid along the document at the hit's offset. A document is contaminated if any segment has MIN_MATCHED equal words (or
+all but a tenth of a shorter item) and a share of MIN_SHARE of equal words. The segment that is reported is the best by +1
+for an equal word and -2 for another if it meets both limits, else the one with most equal words of those with the share. Words are lower-cased runs of letters and digits, so marks between words do not hide a passage.
 
 Documents look their hashes up in the benchmark's sorted hashes before anything is shuffled, as long as these are at most
 BROADCAST_HASHES (8 bytes each); beyond that the same hashes are joined by a shuffle. Either way hits are then joined.
@@ -120,6 +120,18 @@ def best_segment(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def widest_segment(same: np.ndarray) -> tuple[int, int, int]:
+    """Start, end and equal words of the segment with most equal words among those with a share of MIN_SHARE."""
+    share = round(100 * MIN_SHARE)
+    score = np.concatenate([[0], np.cumsum(np.where(same, 100 - share, -share))])  # a segment has the share if its sum is not negative
+    high = np.maximum.accumulate(score[::-1])[::-1]  # the highest score from each place on, falling
+    end = np.searchsorted(-high, -score, "right") - 1  # the last place with no lower score
+    equal = np.concatenate([[0], np.cumsum(same)])
+    start = int((equal[end] - equal).argmax())
+    at = np.flatnonzero(same[start : end[start]]) + start
+    return (int(at[0]), int(at[-1]) + 1, len(at)) if len(at) else (0, 0, 0)
+
+
 def aligned(batches):
     for batch in batches:
         out = []
@@ -127,8 +139,12 @@ def aligned(batches):
         for i, (doc, item, shift) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), batch.column("shift").to_pylist())):
             d, b = words[i].values.to_numpy(), items[i].values.to_numpy()
             low, high = max(0, -shift), min(len(b), len(d) - shift)
-            start, end, equal = best_segment(d[low + shift : high + shift] == b[low:high])
-            if equal >= min(MIN_MATCHED, np.ceil(0.9 * len(b))) and equal >= MIN_SHARE * (end - start):
+            same = d[low + shift : high + shift] == b[low:high]
+            least = min(MIN_MATCHED, np.ceil(0.9 * len(b)))
+            start, end, equal = best_segment(same)
+            if equal < least or equal < MIN_SHARE * (end - start):
+                start, end, equal = widest_segment(same)
+            if equal >= least:
                 out.append((doc, item, equal, end - start, len(b), low + shift + start))
         if out:
             names = ["doc_id", "item_id", "matched", "aligned", "item_words", "first_word"]

@@ -229,6 +229,24 @@ def test_decontamination(frame, spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bench).count()
 
 
+def test_decontamination_of_several_passages(frame, spark):
+    words = [f"w{k}" for k in range(200)]
+    copied = lambda block, gap, n, tag: " ".join(w if k % (block + gap) < block else f"{tag}{k}" for k, w in enumerate(words[: n * (block + gap) - gap]))
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(1, copied(12, 5, 1, "a")), (2, copied(12, 5, 2, "b")), (3, copied(12, 5, 3, "c")), (4, copied(20, 8, 4, "d")), (5, copied(11, 9, 5, "e")), (6, prose(100))]
+    out = {r["doc_id"]: (r["matched"], r["aligned"], r["first_word"]) for r in decontaminate.contaminated(frame(rows), bench).collect()}
+    assert out == {1: (12, 12, 0), 2: (24, 29, 0), 3: (24, 29, 0), 4: (40, 48, 0)}
+
+
+def test_widest_segment_against_all():
+    r = random.Random(4)
+    for _ in range(300):
+        same = np.array([r.random() < 0.75 for _ in range(r.randint(0, 40))], bool)
+        want = max((int(same[i:j].sum()) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i)), default=0)
+        start, end, equal = decontaminate.widest_segment(same)
+        assert equal == want == same[start:end].sum() and 5 * equal >= 4 * (end - start)
+
+
 def test_variable_length_coding():
     v = np.array([0, 1, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1] * 7, np.uint32)
     for n in range(len(v)):
