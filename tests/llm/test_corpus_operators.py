@@ -122,6 +122,14 @@ def test_quality_rules_empty(spark):
     assert quality_rules.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_quality_rules_with_much_junk(frame):
+    """A source of which two fifths are junk, and which is most of its language and of the corpus."""
+    junk = lambda: " ".join(w + "*" * 2 for w in prose(40).split())
+    rows = [(k, junk() if k % 5 < 2 else prose(60), "en", "hot") for k in range(300)] + [(1000 + k, prose(60), "en", "calm") for k in range(100)]
+    kept = {r["doc_id"] for r in quality_rules.judge(frame(rows)).collect() if r["kept"]}
+    assert kept == {k for k in range(300) if k % 5 >= 2} | set(range(1000, 1100))
+
+
 def labelled(frame, spark, good, bad, column):
     rows = [(k, good() if k % 2 else bad(), "en", "a") for k in range(400)]
     labels = spark.createDataFrame([(k, k % 2 if column == "quality" else 1 - k % 2) for k, *_ in rows], f"doc_id long, {column} int")
