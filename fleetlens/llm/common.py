@@ -1,17 +1,18 @@
-"""Shared helpers of the corpus operators: shared folders, counting seen values, and numpy views of Arrow text."""
+"""Shared helpers of the corpus operators: joins with hot groups, and numpy views of Arrow text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import new_path, scratch, write_shared  # noqa: F401
+
 #: Bytes of text that a task handles at once in numpy; rows are never cut.
 SLICE_BYTES = 1 << 20
+#: Groups of which one small row each is sent to all tasks, at most.
+BROADCAST_GROUPS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, bool)
@@ -29,25 +30,23 @@ _BACK = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with groups, a written table of one row for each value of the keys, with n_rows, its number of rows.
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fleetlens-{uuid.uuid4().hex}/{name}"
+    Up to BROADCAST_GROUPS groups are sent to all tasks. Of more, those with most rows are; each of the others has at most a
+    BROADCAST_GROUPS-th of all rows, and these are joined by a shuffle. So no hot group is one task. Keys are never null.
+    """
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), keys, how)
+    hot = write_shared(groups.orderBy(F.desc("n_rows"), *keys).limit(BROADCAST_GROUPS), "hot-groups")
+    names = F.broadcast(hot.select(*keys))
+    rest = rows.join(names, keys, "left_anti").join(groups.join(names, keys, "left_anti"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def packed() -> Column:
+    """All columns of a row in one, so that names of helper columns beside it clash with none of them."""
+    return F.struct("*")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -73,15 +72,15 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
-    """Parts of a batch with about `limit` bytes of text each (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30):
+    """Parts of a batch with about `limit` bytes of text each (one row at least), and at most so many rows."""
     text = batch.column(column)
     sizes = np.diff(offsets_of(text))
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + limit, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

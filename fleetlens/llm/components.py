@@ -13,6 +13,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     In each round every node hooks onto the neighbour (or itself) that comes first in an order drawn anew for the round;
     links are renamed, and those inside one hook go. A hub with many links is pre-aggregated by Spark's partial sums.
+    Names are written each round, so that the last plan does not hold those of all rounds.
     """
     edges = write_shared(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "links")
     names = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("at", F.col("node"))
@@ -26,8 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         renamed = edges.join(hook, edges.a == hook.old).select(F.col("new").alias("a"), "b")
         renamed = renamed.join(hook, renamed.b == hook.old).select("a", F.col("new").alias("b")).filter("a <> b")
         edges = write_shared(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        names = names.join(hook, names.at == hook.old, "left").select("node", F.coalesce("new", "at").alias("at"))
+        names = write_shared(names.join(hook, names.at == hook.old, "left").select("node", F.coalesce("new", "at").alias("at")), "names")
         k += 1
-    names = write_shared(names, "names")
     smallest = names.groupBy("at").agg(F.min("node").alias("component"))
     return names.join(smallest, "at").select("node", "component")
