@@ -1,22 +1,32 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A token that looks disguised (letters mixed with look-alike digits and marks, letters held down, letters set apart by marks
-or blanks) is a lattice: each character may stand for several letters, be a separator, or repeat the one before it. Viterbi
-decoding finds the likeliest plain word: channel costs of each reading plus a character trigram model counted over all
-documents. Restored words are scored like plain ones.
-
-Features are words and word beginnings, by hash, present once, twice, or three times and more. Those that mark toxic texts are chosen by their G2 statistic in a bounded
-sample of labelled texts that are not held out (SAMPLE_TOXIC and SAMPLE_CLEAN texts, drawn by hash), and weighted by a
-logistic regression over which of them a text has. Labels, lang, source and doc_id are never features.
+A token that looks disguised (letters mixed with look-alike digits and marks, or set apart by marks or blanks, or held down)
+is a lattice: each character may stand for several letters, be a separator or the end of a word, or repeat the one before
+it. Viterbi decoding finds the likeliest plain words: channel costs of each reading plus a character trigram model counted
+over all documents. Restored words are scored like plain ones. Letters with accents and doubled letters are common in clean
+text, so they are no sign of a disguise by themselves: every word that has some is also scored with plain single letters.
+
+Features are words and word beginnings, by hash, present once, twice, or three times and more. Those that mark toxic texts
+are chosen by their G2 statistic in a bounded sample of labelled texts that are not held out (SAMPLE_TOXIC and SAMPLE_CLEAN
+texts, drawn by hash), and weighted by a logistic regression over which of them a text has. Labels, lang, source and doc_id
+are never features.
+
+What opens the lattice: two marks or digits that look like letters beside a letter, or one beside two; a separator between
+letters; a letter three times on end; up to two look-alike marks at the end; a letter outside Latin-1 beside ASCII ones; three
+or more words of one character on end. Tokens without any letter (numbers) are none. Characters held down count three times
+at most, so tokens of any length are decoded in linear time. A run set apart by blanks is cut into words by the language
+model; as that may cut wrong, all its stretches of 3 to STRETCH letters are features besides.
 
 Defined results: null and empty texts have no features and get the base score; without labelled texts of both classes all
-scores are the share of ones (0 without rows); tokens over LONGEST bytes are no disguised words; repeated rows get equal
+scores are the share of ones (0 without rows); of several labels of one doc_id the largest counts; repeated rows get equal
 scores; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,10 +40,13 @@ from .quality_fm import sample_labelled
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
 #: Features of a model, at most; and the least G2 of one (random features of this sample stay far below).
 FEATURES, LEAST_G2 = 4096, 60.0
-LONGEST = 40
 THRESHOLD = 0.5
 #: Occurrences of a feature in a text that are told apart.
 LEVELS = 3
+#: Letters of the stretches of a spaced-out run that are looked at besides its words.
+STRETCH = 16
+#: Decoded tokens that a worker keeps.
+KEPT_TOKENS = 200_000
 #: Share of toxic texts that scores assume.
 PRIOR = 0.35
 #: Bytes of word beginnings that are features, of words that go on.
@@ -44,7 +57,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "&": "a",
 }
 SEPARATORS = " .-_*~'/\\:,;=#^"
-KEEP_COST, SWAP_COST, DROP_COST, REPEAT_COST, WRONG_REPEAT_COST = 0.0, 0.7, 0.4, 0.3, 1.5
+KEEP_COST, SWAP_COST, DROP_COST, BREAK_COST, REPEAT_COST, WRONG_REPEAT_COST = 0.0, 0.7, 0.4, 1.0, 0.3, 1.5
 
 #: Classes of the character model: 0 what ends a word, 1-26 letters, 27 other letters.
 _CLASS = np.zeros(256, np.int64)
@@ -56,6 +69,12 @@ _flag = lambda chars: np.isin(np.arange(256), [ord(c) for c in chars])  # noqa:
 _IS_LOOKALIKE, _IS_SEPARATOR = _flag("".join(LOOKALIKES)), _flag(SEPARATORS)
 _IS_LETTER = (_CLASS > 0) & (_CLASS < 27)
 _IS_ALNUM = _IS_LETTER | _flag("0123456789") | (np.arange(256) >= 0x80)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: The plain letter of the Latin-1 letters that UTF-8 writes as 0xC3 and this byte; 0 where there is none.
+_PLAIN_LETTER = np.array([ord(c) if b >= 0x80 and "a" <= (c := unicodedata.normalize("NFKD", chr(b + 0x40))[0].lower()) <= "z" and b < 0xC0 else 0 for b in range(256)], np.uint8)
+HELD = re.compile(r"(.)\1{3,}", re.DOTALL)
+WORD_ENDS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
@@ -87,105 +106,189 @@ def costs(counts: np.ndarray) -> np.ndarray:
     return -np.log2(p)
 
 
-def readings(token: str) -> list[list[tuple[str, float]]]:
-    """For each character of a token: what it may stand for ("" for nothing), and what that costs."""
-    out, before = [], ""
-    for c in token.lower():
-        plain = unicodedata.normalize("NFKD", c)[0] if ord(c) > 127 else c
+def readings(token: str) -> Iterator[list[tuple[str, float]]]:
+    """For each character of a token: what it may stand for ("" for nothing, a blank for the end of a word), and what that costs."""
+    before = ""
+    for c in HELD.sub(r"\1\1\1", token.lower()):
+        plain = unicodedata.normalize("NFKD", c)[0].lower() if ord(c) > 127 else c
         each: dict[str, float] = {}
         if "a" <= plain <= "z":
             each[plain] = KEEP_COST if plain == c else SWAP_COST
         for letter in LOOKALIKES.get(c, ""):
             each[letter] = SWAP_COST
         if c in SEPARATORS or not each:
-            each[""] = DROP_COST
+            each[""], each[" "] = DROP_COST, BREAK_COST
         elif c == before:
             each[""] = REPEAT_COST
             each = {k: v + (WRONG_REPEAT_COST if k else 0) for k, v in each.items()}
-        elif c in "!|&<(+" :
+        elif c in "!|&<(+":
             each[""] = DROP_COST * 4
-        out.append(list(each.items()))
+        yield list(each.items())
         before = c
-    return out
-
-
-def decode(token: str, cost: np.ndarray) -> str:
-    """The likeliest plain word behind a token, by Viterbi over the last two letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in readings(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, word) in states.items():
-            for letter, extra in options:
-                c = ord(letter) - 96 if letter else b
-                key = (b, c) if letter else (a, b)
-                total = so_far + extra + (cost[a, b, c] if letter else 0.0)
-                if key not in new or total < new[key][0]:
-                    new[key] = (total, word + letter)
-        states = new
-    return min(((s + cost[a, b, 0], w) for (a, b), (s, w) in states.items()), default=(0.0, ""))[1]
-
-
-def disguised(text: pa.Array) -> list[tuple[int, str, bool]]:
-    """(row, token, spaced) of tokens that may hide a word; spaced: joined from single characters set apart by blanks."""
-    w = Words(text, "space")
+
+
+class Decoder:
+    """The plain words behind disguised tokens, by Viterbi over the last two letters; tokens seen lately are kept."""
+
+    def __init__(self, cost: np.ndarray):
+        self.cost = cost.tolist()
+        self.seen: dict[str, list[str]] = {}
+
+    def decode(self, token: str) -> str:
+        """The likeliest words, a blank between them. Paths are linked lists of letters, shared where they have a common start."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in readings(token):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (so_far, path) in states.items():
+                after = self.cost[a][b]
+                for letter, extra in options:
+                    if not letter or (letter == " " and not b):
+                        key, total, way = (a, b), so_far + extra, path
+                    else:
+                        c = ord(letter) - 96 if letter != " " else 0
+                        key, total, way = (b, c), so_far + extra + after[c], (path, letter)
+                    if key not in new or total < new[key][0]:
+                        new[key] = (total, way)
+            states = new
+        path = min(((s + (self.cost[a][b][0] if b else 0.0), k) for k, ((a, b), (s, _)) in enumerate(states.items())))[1]
+        path, letters = list(states.values())[path][1], []
+        while path:
+            path, letter = path
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+    def words(self, token: str) -> list[str]:
+        """The restored words that the token does not show plainly."""
+        found = self.seen.get(token)
+        if found is None:
+            found = sorted(set(self.decode(token).split()) - set(WORD_ENDS.split(token.lower())))
+            if len(self.seen) >= KEPT_TOKENS:
+                self.seen.clear()
+            if len(token) < 200:
+                self.seen[token] = found
+        return found
+
+
+def run_hashes(words: list[str]) -> np.ndarray:
+    """Feature hashes of a decoded run: of its words, and of each distinct stretch of 3 to STRETCH letters."""
+    _, h = feature_hashes(Words(pa.array(words, pa.string()), "plain"))
+    w = Words(pa.array(["".join(words)]), "plain")
+    n, out = len(w.bytes), [h]
+    for size in range(3, min(STRETCH, n) + 1):
+        i = np.arange(n - size + 1)
+        h = w.span_hash(i, i + size)
+        out.append(np.unique(mix(h, 21)))
+        if size in PREFIXES:
+            out.append(np.unique(mix(h[:-1], size)))
+    return np.concatenate(out)
+
+
+def disguised(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last byte, and whether it is spaced out, of what may hide a word; w: words between blanks."""
     b = w.bytes
     if not len(w.start):
-        return []
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
     at = np.arange(len(b))
     last = np.maximum.accumulate(np.where(_IS_ALNUM[b], at, -1))[w.end - 1]
     end = np.maximum(last + 1, w.start)
     sums = lambda flag: np.concatenate([[0], np.cumsum(flag)])
     inside = lambda total, a, e: total[np.maximum(e, a)] - total[a]
+    low = _LOWER[b]
     held = np.zeros(len(b), bool)
-    held[2:] = (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & _IS_LETTER[b[2:]]
-    letters = inside(sums(_IS_LETTER[b]), w.start, end)
-    alike = inside(sums(_IS_LOOKALIKE[b]), w.start, end)
-    apart = inside(sums(_IS_SEPARATOR[b]), w.start, end)
+    held[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _IS_LETTER[low[2:]]
+    letter_sums, alike_sums = sums(_IS_LETTER[b]), sums(_IS_LOOKALIKE[b])
+    tail = w.end - end
+    open_end = (tail >= 1) & (tail <= 2) & (inside(alike_sums, end, w.end) == tail)
+    end = np.where(open_end, w.end, end)
+    letters, alike = inside(letter_sums, w.start, end), inside(alike_sums, w.start, end)
+    # Separators with a letter (or what looks like one) on both sides.
+    like = _IS_ALNUM[b] | _IS_LOOKALIKE[b]
+    between = np.zeros(len(b), bool)
+    between[1:-1] = _IS_SEPARATOR[b[1:-1]] & like[:-2] & like[2:]
+    apart = inside(sums(between), np.minimum(w.start + 1, end), np.maximum(end - 1, w.start))
     triple = inside(sums(held), np.minimum(w.start + 2, end), end)
-    size = end - w.start
-    odd = (letters >= 1) & (letters + alike >= 3) & (size <= LONGEST) & (((alike >= 1) & (letters >= 2)) | (triple >= 1) | ((apart >= 2) & (letters + alike <= apart + 1)))
-    out = [(int(w.row[i]), b[w.start[i] : end[i]].tobytes().decode("utf-8", "replace"), False) for i in np.flatnonzero(odd).tolist()]
+    foreign = inside(sums(b >= 0xC4), w.start, end)
+    odd = (letters >= 1) & (letters + alike >= 3) & ((alike >= 2) | ((alike >= 1) & (letters >= 2)) | (triple >= 1) | (apart >= 1))
+    odd |= (foreign >= 1) & (letters + foreign >= 3)
+    odd |= (b[w.start] == 0xEF) & (foreign >= 3)  # full-width letters
+    pick = np.flatnonzero(odd)
     # Runs of three or more words of one character each, in one text.
     one = (w.end - w.start == 1) & (_IS_LETTER | _IS_LOOKALIKE)[b[w.start]]
     joins = np.zeros(len(one) + 1, bool)
     joins[1:-1] = one[1:] & one[:-1] & (w.row[1:] == w.row[:-1])
     begins = np.flatnonzero(one & ~joins[:-1])
-    ends = np.flatnonzero(one & ~joins[1:]) + 1
-    for i, j in zip(begins.tolist(), ends.tolist()):
-        if j - i >= 3:
-            out.append((int(w.row[i]), b[w.start[i:j]].tobytes().decode("ascii"), True))
-    return out
+    ends = np.flatnonzero(one & ~joins[1:])
+    long = ends - begins >= 2
+    begins, ends = begins[long], ends[long]
+    return np.concatenate([w.row[pick], w.row[begins]]), np.concatenate([w.start[pick], w.start[begins]]), np.concatenate([end[pick], w.end[ends]]), np.repeat([False, True], [len(pick), len(begins)])
 
 
-def feature_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of words and word beginnings."""
-    rows, hashes = [w.row], [mix(w.hash, 21)]
+def feature_hashes(w: Words, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of words (those in `of`) and word beginnings."""
+    of = np.arange(len(w.start)) if of is None else of
+    start, end, row = w.start[of], w.end[of], w.row[of]
+    rows, hashes = [row], [mix(w.hash[of], 21)]
     for k in PREFIXES:
-        long = np.flatnonzero(w.end - w.start > k)
-        rows.append(w.row[long])
-        hashes.append(mix(w.span_hash(w.start[long], w.start[long] + k), k))
+        long = np.flatnonzero(end - start > k)
+        rows.append(row[long])
+        hashes.append(mix(w.span_hash(start[long], start[long] + k), k))
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def text_features(text: pa.Array, cost: np.ndarray, seen: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+def single_letters(w: Words) -> tuple[Words, np.ndarray]:
+    """The same words with Latin-1 letters as plain ones and each letter once in a run; and the numbers of those that this changes."""
+    b = w.bytes
+    g = _LOWER[b]
+    lead = np.zeros(len(b), bool)
+    if len(b) > 1:
+        base = _PLAIN_LETTER[b[1:]]
+        lead[:-1] = (b[:-1] == 0xC3) & (base > 0)
+        g[1:] = np.where(lead[:-1], base, g[1:])
+    kept = np.flatnonzero(~lead)
+    first = np.zeros(len(b) + 1, bool)
+    first[w.offsets] = True
+    begins = first[kept]
+    begins[1:] |= first[kept[1:] - 1] & lead[kept[1:] - 1]
+    again = np.zeros(len(kept), bool)
+    again[1:] = (g[kept[1:]] == g[kept[:-1]]) & _IS_LETTER[g[kept[1:]]] & ~begins[1:]
+    keep = ~lead
+    keep[kept[again]] = False
+    total = np.concatenate([[0], np.cumsum(keep)])
+    text = pa.Array.from_buffers(pa.large_binary(), len(w.offsets) - 1, [None, pa.py_buffer(total[w.offsets].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(g[keep]))])
+    size = w.end - w.start
+    return Words(text, "plain"), np.flatnonzero(total[w.end] - total[w.start] < size)
+
+
+def text_features(text: pa.Array, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the features of texts, disguised words restored."""
-    row, h = feature_hashes(Words(text, "plain"))
-    found, at = [], []
-    for r, token, spaced in disguised(text):
-        word = seen.get(token)
-        if word is None:
-            if len(seen) > 100_000:
-                seen.clear()
-            word = seen[token] = decode(token, cost)
-        # A run of blanks may hold more than the word: every stretch of it is looked at.
-        parts = {word[i:j] for i in range(len(word)) for j in range(i + 3, min(len(word), i + 16) + 1)} if spaced else {word}
-        found += [p for p in parts if p]
-        at += [r] * len([p for p in parts if p])
-    if found:
-        more = Words(pa.array(found), "plain")
-        extra_row, extra = feature_hashes(more)
-        row, h = np.concatenate([row, np.array(at, np.int64)[extra_row]]), np.concatenate([h, extra])
-    return row, h
+    plain = Words(text, "plain")
+    row, h = feature_hashes(plain)
+    rows, hashes = [row], [h]
+    single, changed = single_letters(plain)
+    if len(changed):
+        row, h = feature_hashes(single, changed)
+        rows.append(row)
+        hashes.append(h)
+    w = Words(text, "space")
+    at, start, end, spaced = disguised(w)
+    if len(at):
+        _, first, which = np.unique(w.span_hash(start, end) ^ spaced.astype(np.uint64), return_index=True, return_inverse=True)
+        tokens = [w.bytes[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in first.tolist()]
+        found = [[] if s else decoder.words(t) for t, s in zip(tokens, spaced[first].tolist())]
+        # Features of each distinct token, then those of every place where it stands.
+        of, h = feature_hashes(Words(pa.array([x for f in found for x in f], pa.string()), "plain"))
+        of, h = [np.repeat(np.arange(len(found)), [len(f) for f in found])[of]], [h]
+        for k in np.flatnonzero(spaced[first]).tolist():
+            h.append(run_hashes(decoder.decode(tokens[k]).split()))
+            of.append(np.full(len(h[-1]), k))
+        of, h = np.concatenate(of), np.concatenate(h)
+        h, per = h[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(found))
+        counts = per[which]
+        begin = (np.cumsum(per) - per)[which]
+        inside = np.cumsum(counts) - counts
+        rows.append(np.repeat(at, counts))
+        hashes.append(h[np.repeat(begin - inside, counts) + np.arange(int(counts.sum()))])
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 @dataclass
@@ -224,10 +327,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(cost)
 
     def count(batches):
-        seen: dict[str, str] = {}
+        decoder = Decoder(shared.value)
         for batch in batches:
             for part in slices(batch):
-                row, h = text_features(part.column("text"), shared.value, seen)
+                row, h = text_features(part.column("text"), decoder)
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
                 y = part.column("y").to_numpy()
@@ -257,10 +360,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     given = spark.sparkContext.broadcast(model)
 
     def rows(batches):
-        seen: dict[str, str] = {}
+        decoder = Decoder(given.value.cost)
         for batch in batches:
             for part in slices(batch):
-                row, k, times = given.value.found(*text_features(part.column("text"), given.value.cost, seen))
+                row, k, times = given.value.found(*text_features(part.column("text"), decoder))
                 counts = np.bincount(row, minlength=len(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("y").cast(pa.int32()), ragged(k.astype(np.int32), counts, pa.int32()), ragged(times.astype(np.int32), counts, pa.int32())], names=["doc_id", "y", "k", "times"])
 
@@ -286,11 +389,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # FEATURES keys at most
 
     def each(batches):
-        model, seen = shared.value, {}
+        model, decoder = shared.value, Decoder(shared.value.cost)
         for batch in batches:
             for part in slices(batch):
                 n = len(part)
-                z = model.margin(*model.found(*text_features(part.column("text"), model.cost, seen)), n)
+                z = model.margin(*model.found(*text_features(part.column("text"), decoder)), n)
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
