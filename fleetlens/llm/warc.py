@@ -7,27 +7,33 @@ recomputes every stored payload's digest and length and fails on one that is not
 
 Defined results: null html is an empty payload; payloads shorter than MIN_REVISIT bytes are always responses (but are
 stored once too); rows repeated with one page_id are records each, all responses if theirs is the smallest id of the
-payload; a null page_id ranks after all others, and its revisits refer to the smallest id; an empty table gives an
-empty archive; columns other than page_id, url and html are not archived.
+payload; a null page_id ranks after all others, and its revisits refer to the smallest id; line ends of any kind in a url
+(also those of Unicode) are stored as blanks, so that no url adds a header line; an empty table gives an empty archive;
+columns other than page_id, url and html are not archived.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_REVISIT = 100
 END = "\r\n"
+#: Everything that some reader takes for the end of a line.
+LINE_END = r"[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
 
-def header_of() -> F.Column:
+def header_of(date: str) -> F.Column:
     """The record's header lines, from page_id, url, record_type, payload_digest, payload_bytes and refers_to."""
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
-    clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
+    clean = F.regexp_replace(F.coalesce("url", F.lit("")), LINE_END, " ")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: "), name("page_id")),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), clean),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
@@ -45,8 +51,9 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"))
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
-    """Write path/headers and path/payloads."""
+def write_archive(pages: DataFrame, path: str, date: datetime | None = None) -> None:
+    """Write path/headers and path/payloads. date: when the pages were fetched (now), for WARC-Date."""
+    stamp = (date or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     page = records(pages)
     light = page.drop("html")
     first = light.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
@@ -54,8 +61,9 @@ def write_archive(pages: DataFrame, path: str) -> None:
         "record_type", F.when((F.col("payload_bytes") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first_id")), "revisit").otherwise("response")
     )
     typed = typed.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("first_id")))
-    typed.select("page_id", "payload_digest", header_of().alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # One row for each payload: the first id's, so that copies are not shuffled; one if that row is repeated.
+    typed.select("page_id", "payload_digest", header_of(stamp).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    # One row for each payload: the first id's, and one if that row is repeated. A hot payload's digest is no join key by
+    # itself: its copies have ids of their own, so they are dealt over all tasks.
     holder = first.select("payload_digest", F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("holder"))
     own = page.select("payload_digest", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("holder"), F.col("html").cast("binary").alias("payload"))
     own.join(holder, ["payload_digest", "holder"], "left_semi").dropDuplicates(["payload_digest", "holder"]).select("payload_digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
@@ -64,7 +72,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """The headers with their fields parsed from the header's text."""
     headers = spark.read.schema("page_id long, payload_digest string, header string").parquet(f"{path}/headers").withColumnRenamed("payload_digest", "stored_under")
-    line = lambda name: F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1)
+    line = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
     return headers.select(
         "stored_under", "header",
         F.regexp_extract(line("WARC-Record-ID"), "<urn:page:(.*)>", 1).try_cast("long").alias("page_id"),
