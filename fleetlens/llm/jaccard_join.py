@@ -17,6 +17,11 @@ A size-aware heavy-light join, exact up to 64-bit hashes of shingles:
    A pair is compared by size, then by a bound from parity maps of the sets (never too low), then exactly. Sets are made
    again for documents in pairs that are left; a bitmap of their ids, of a size that is bounded, spares the others.
 
+What grows: a list of L sets is compared in (L / BLOCK)^2 tiles, so the comparisons of one very long list grow with its
+square; they are spread over tasks, and leave out pairs inside one component. Beyond MOST_BITS / 16 candidate documents
+(8 million) the bitmap fills up, and sets of most documents are written again; results do not change. Counters sent to the
+driver stop growing at MOST_COUNTERS (some 50 MB).
+
 Defined results: null and empty texts have no set and are their own component; with fewer words than a shingle the whole
 sequence is the one shingle; repeated rows and equal sets share a component; rows with one doc_id are one document for linking, each
 with its own n_shingles; a null doc_id is linked with nothing and has a null component; an empty table gives no rows.
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, ragged, signed, slices, write_shared
+from .common import Words, join_groups, mix, packed, ragged, signed, slices, write_shared
 from .components import components
 
 #: Counters of hashed words: four for each document, within these bounds (what the driver gathers is bounded).
@@ -296,9 +301,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs."""
     every = write_shared(features(docs, levels(word_counts(docs)), shingle, percent), "features")
     known = every.filter("n > 0 and doc_id is not null")
-    classes = write_shared(known.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    # The row that names a class carries its set; a class whose name is another class's too keeps both.
-    sets = known.join(classes, ["n", "fp1", "fp2"]).filter("doc_id = rep").dropDuplicates(["rep", "n", "fp1", "fp2"]).select("rep", "n", "prefix", "small", "bits", "wide")
+    classes = write_shared(known.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "classes")
+    # The row that names a class carries its set; a class whose name is another class's too keeps both. The id is part of
+    # the key, so copies of one text are not one task.
+    sets = known.withColumnRenamed("doc_id", "rep").join(classes.drop("n_rows"), ["rep", "n", "fp1", "fp2"], "left_semi").dropDuplicates(["rep", "n", "fp1", "fp2"]).select("rep", "n", "prefix", "small", "bits", "wide")
     sets = write_shared(sets, "classes-with-sets")
     light = boundary(sets, percent)
     heavy = sets.filter(F.col("n") >= smallest_partner(light + 1, percent)).select(F.posexplode("prefix").alias("pos", "tok"), "rep", "n").select("tok", "rep", "n", "pos")
@@ -315,17 +321,23 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     more = verify(list_pairs(part.join(open_, "tok"), sets, percent), sets, docs, shingle, percent)
     # Rows with one id in several classes join these classes.
     twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
-    same = known.join(twice, "doc_id").join(classes, ["n", "fp1", "fp2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same = known.select("doc_id", "n", "fp1", "fp2").join(twice, "doc_id").join(classes, ["n", "fp1", "fp2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.union(more).union(same))
-    out = every.select("doc_id", "n", "fp1", "fp2").join(classes, ["n", "fp1", "fp2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = join_groups(every.select("doc_id", "n", "fp1", "fp2"), classes, ["n", "fp1", "fp2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(final, out.rep == final.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "rep"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: that with the component's smallest id (its first row, if repeated)."""
-    keep = jaccard_components(docs, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    null = docs.filter("doc_id is null")
-    once = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(null)
-
+    """One row of each group of linked rows, with its columns.
+
+    Rows are linked as rows, whatever their doc_id: rows that share an id, or have none, are documents each. Of a group the
+    row with the smallest doc_id stays (null last), then that with the smallest hash of its text, then of the whole row.
+    """
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "text", packed().alias("row"), F.xxhash64("text").alias("th"), F.xxhash64(*hashed).alias("rh"))
+    rows = write_shared(rows, "rows")
+    found = write_shared(jaccard_components(rows.select(F.col("rid").alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("rid"), "component_id"), "row-components")
+    named = found.join(rows.select("rid", F.col("row.doc_id").alias("id"), "th", "rh"), "rid")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rh", "rid")).alias("best")).select("best.rid")
+    return rows.select("rid", "row").join(best, "rid", "left_semi").select("row.*")
