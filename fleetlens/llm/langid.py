@@ -1,13 +1,14 @@
 """Language identification by error-correcting output codes.
 
-Every language has a codeword of BITS bits; words of the code are far apart. One binary classifier a bit, logistic
-regression over hashed character n-grams (byte trigrams inside words, and word beginnings and endings), predicts the bit.
+Every language has a codeword; codewords get longer with the number of languages, so that they stay far apart. One binary
+classifier a bit, logistic regression over hashed character n-grams (byte trigrams inside words, and word beginnings and endings), predicts the bit.
 A text's language is that whose codeword has the least loss, sum_b weight_b * log(1 + exp(-margin_b * code_b)); a bit
 weighs what its classifier's training accuracy is above chance. score is the softmax of the negative losses, and ambiguous
 marks texts whose two best codewords are close.
 
-Classifiers are fitted on at most SAMPLE texts with a lang (a bound of the model, drawn by hash); lang, source and doc_id
-are never features.
+Classifiers are fitted on about SAMPLE texts with a lang (a bound of the model, drawn by hash, one text at least for each
+language), of the MOST_LANGS languages with most texts (a bound of the code, which stray values of lang do not stretch);
+lang, source and doc_id are never features. Texts are counted in dense rows of n-grams, BLOCK texts at once.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0; without any language to learn, all are
 `und`; with one language, all texts with letters get it; repeated rows get equal results; extra columns are ignored.
@@ -22,10 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, flat, held_out, slices
+from .common import SEPARATORS, flat, held_out, slices, write_shared
 
 SAMPLE = 2500
+#: Languages of a model, at most: those with most texts.
+MOST_LANGS = 256
+#: Bits of a codeword of up to four languages; six more for each doubling.
 BITS = 15
+#: Texts whose n-grams are counted at once.
+BLOCK = 256
 SLOTS = 1 << 12
 UND = "und"
 
@@ -37,9 +43,13 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def codebook(n: int, bits: int = BITS, seed: int = 3) -> np.ndarray:
+def code_bits(n: int) -> int:
+    return BITS + 6 * max(0, (n - 1).bit_length() - 2)
+
+
+def codebook(n: int, seed: int = 3) -> np.ndarray:
     """n codewords of +1 and -1, far apart: the best of many random codes by least distance between words and between bits."""
-    rng = np.random.default_rng(seed)
+    rng, bits = np.random.default_rng(seed), code_bits(n)
     best, far = None, -1
     for _ in range(300 if n > 1 else 1):
         code = rng.choice([-1, 1], (n, bits))
@@ -100,11 +110,11 @@ def fit(x: np.ndarray, lang: list[str]) -> Coder:
     langs = sorted(set(lang))
     code = codebook(max(len(langs), 1))
     if not langs:
-        return Coder([], code, np.zeros((SLOTS, BITS), np.float32), np.zeros(BITS, np.float32), np.ones(BITS))
+        return Coder([], code, np.zeros((SLOTS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.ones(code.shape[1]))
     which = np.array([langs.index(v) for v in lang])
     y = code[which].astype(np.float32)
     balance = (len(which) / np.bincount(which) / len(langs))[which].astype(np.float32)[:, None]
-    w, b = np.zeros((SLOTS, BITS), np.float32), np.zeros(BITS, np.float32)
+    w, b = np.zeros((SLOTS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(250):
         slope = -y * balance / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))
@@ -115,18 +125,17 @@ def fit(x: np.ndarray, lang: list[str]) -> Coder:
     return Coder(langs, code, w.astype(np.float32), b.astype(np.float32), np.maximum(right - 0.5, 0.01) * 2)
 
 
-def train(docs: DataFrame, most: int = SAMPLE) -> Coder:
+def train(docs: DataFrame, most: int = SAMPLE, most_langs: int = MOST_LANGS) -> Coder:
     known = docs.filter("lang is not null and text is not null").filter(~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    each_lang = max(1, most // max(len(counts), 1))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, min(1.0, each_lang / n)).otherwise(share)
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "lang", "text")
+    counts = write_shared(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs), "languages")
+    each_lang = max(1, most // max(counts.count(), 1))
+    share = F.least(F.lit(1.0), each_lang / F.col("n"))
+    drawn = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang")  # MOST_LANGS rows
+    drawn = drawn.filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "lang", "text")
 
     def each(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=BLOCK):
                 x = grams(part.column("text"))
                 rows = [(np.flatnonzero(v), v) for v in x]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang").cast(pa.string()), pa.array([k.astype(np.int32) for k, _ in rows], pa.list_(pa.int32())), pa.array([v[k] for k, v in rows], pa.list_(pa.float32()))], names=["doc_id", "lang", "k", "v"])
@@ -145,7 +154,7 @@ def languages(docs: DataFrame) -> DataFrame:
     def each(batches):
         coder = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=BLOCK):
                 text = part.column("text")
                 fine = has_letter(text) & text.is_valid().to_numpy(zero_copy_only=False) & bool(coder.langs)
                 loss = coder.losses(grams(text))

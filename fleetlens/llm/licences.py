@@ -1,12 +1,17 @@
 """License scans: an Aho-Corasick automaton finds notice phrases and identifier tags; a shunting-yard parser evaluates tags.
 
-Texts are lower-cased (A-Z) and cut into words of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; phrases are looked for in the words
-joined by single spaces, so marks and line ends between words do not hide them. `SPDX-License-Identifier:` tags are looked
-for in the text itself; the expression behind one (AND, OR, WITH, brackets) is parsed to reverse Polish and evaluated to the
-licences that it names, and to whether it can be met by permissive licences alone.
-
-Defined results: null and empty texts have no words, no places, empty label strings and score 0; a tag whose expression
-does not parse counts its readable names only; repeated rows are scanned each; an empty table gives no rows.
+Texts are lower-cased (A-Z) and cut into words of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. One automaton runs over the words
+joined by single spaces, so marks and line ends between words do not hide a phrase; the words of the identifier tag are one
+of its phrases. Where these stand as `SPDX-License-Identifier:` in the text, the expression behind them (AND, OR, WITH,
+brackets; to the end of the line or the next tag) is parsed to reverse Polish and evaluated to the licences that it names,
+and to whether permissive licences alone can meet it.
+
+score: 1 for a tag that parses; else 1 - the product of 2 / (2 + w) over the distinct phrases found, w their numbers of
+words (long phrases hardly occur by chance), and of 1/2 for each name in a tag that does not parse; 0 without a sign.
+
+Defined results: null and empty texts have no words, no places, empty label strings, score 0 and a null `permissive`; a tag
+whose expression does not parse counts its readable names only and is not permissive; rows that are repeated, or have a
+null doc_id, are scanned each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,9 +51,9 @@ PHRASES = {
     "permission is hereby granted free of charge": "mit-text",
     "redistribution and use in source and binary forms": "bsd-text",
 }
-# Starts of names of permissive licences, as in identifier tags.
-PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-4", "cc-by-3", "unlicense", "zlib", "bsl", "0bsd", "python", "psf")
-TAG = "spdx-license-identifier:"
+# Names of permissive licences, as in identifier tags; a version or clause may follow after a hyphen.
+PERMISSIVE = {"mit", "mit-0", "apache", "bsd", "0bsd", "isc", "cc0", "cc-by-3.0", "cc-by-4.0", "unlicense", "zlib", "bsl-1.0", "python", "psf"}
+TAG, TAG_WORDS = b"spdx-license-identifier:", "spdx license identifier"
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 PLAIN = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -83,21 +88,25 @@ def to_postfix(text: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
+def is_permissive(name: str) -> bool:
+    """Whether a name is in PERMISSIVE, or is one of these with a version or number of clauses (apache-2.0, bsd-3-clause)."""
+    return name in PERMISSIVE or re.sub(r"-[0-9][0-9.]*(-clause(-[a-z]+)?)?\+?$", "", name) in PERMISSIVE
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     """The licences that an expression names (exceptions left out), and whether permissive ones alone can meet it."""
     stack: list[tuple[set[str], bool]] = []
     for token in postfix:
         if token not in RANK:
-            stack.append(({token}, token.startswith(PERMISSIVE)))
+            stack.append(({token}, is_permissive(token)))
             continue
         (b, fine_b), (a, fine_a) = stack.pop(), stack.pop()
         stack.append((a, fine_a) if token == "with" else (a | b, fine_a or fine_b if token == "or" else fine_a and fine_b))
     return stack[0]
 
 
-def expression_at(text: str) -> str:
-    """The expression that a tag's line begins with: names joined by operators, to where they no longer go on."""
-    line = text.split("\n", 1)[0]
+def expression_at(line: str) -> str:
+    """The expression that the rest of a tag's line begins with: names joined by operators, to where they no longer go on."""
     end, depth, operand = 0, 0, True
     for m in TOKEN.finditer(line):
         word = m[0].lower()
@@ -121,41 +130,59 @@ def automaton():
     import ahocorasick
 
     auto = ahocorasick.Automaton()
-    for phrase in {**BASE, **PHRASES}:
+    for phrase in [*BASE, *PHRASES, TAG_WORDS]:
         auto.add_word(f" {phrase} ", phrase)
     auto.make_automaton()
     return auto
 
 
-def scan(text: bytes, auto) -> tuple[int, list[tuple[int, str]], list[tuple[set[str], bool]]]:
+def tags_at(text: bytes, plain: bytes, numbers: list[int]) -> list[tuple[set[str], bool, bool]]:
+    """Names, whether permissive ones meet it, and whether it parses, of each tag; numbers: of the words that tags begin with."""
+    wanted, starts = set(numbers), []
+    for k, m in enumerate(re.finditer(rb"[^ ]+", plain)):
+        if k in wanted and text[m.start() : m.start() + len(TAG)].translate(LOWER) == TAG:
+            starts.append(m.start())
+    out = []
+    for start, following in zip(starts, [*starts[1:], len(text)]):  # parts do not overlap, so this is linear
+        start += len(TAG)
+        end = text.find(b"\n", start, following)
+        expression = expression_at(text[start : end if end >= 0 else following].translate(LOWER).decode("utf-8", "replace"))
+        postfix = to_postfix(expression)
+        out.append((*evaluate(postfix), True) if postfix else ({t for t in TOKEN.findall(expression) if t not in RANK and t not in "()"}, False, False))
+    return out
+
+
+def scan(text: bytes, auto) -> tuple[int, list[tuple[int, str]], list[tuple[set[str], bool, bool]]]:
     """Number of words; (first word, phrase) of every place; what each identifier tag says."""
-    words = text.translate(PLAIN).split()
-    joined = b" %b " % b" ".join(words)
-    line = joined.decode("utf-8", "surrogateescape")
-    places = []
+    plain = text.translate(PLAIN)
+    words = plain.split()
+    line = (b" %b " % b" ".join(words)).decode("utf-8", "surrogateescape")
+    places, tags = [], []
     counted, upto = 0, 0  # blanks seen so far
-    hits = [(end - len(phrase) - 1, phrase) for end, phrase in auto.iter(line)]
-    for start, phrase in sorted(hits):
+    for start, phrase in sorted((end - len(phrase) - 1, phrase) for end, phrase in auto.iter(line)):
         counted += line.count(" ", upto, start)
         upto = start
-        places.append((counted, phrase))
-    tags = []
-    if b"spdx-" in (low := text.translate(LOWER)):
-        low = low.decode("utf-8", "surrogateescape")
-        at = low.find(TAG)
-        while at >= 0:
-            expression = expression_at(low[at + len(TAG) :].lstrip(" \t"))
-            postfix = to_postfix(expression)
-            tags.append(evaluate(postfix) if postfix else ({t for t in TOKEN.findall(expression) if t not in RANK and t not in "()"}, False))
-            at = low.find(TAG, at + 1)
-    return len(words), places, tags
+        if phrase == TAG_WORDS:
+            tags.append(counted)
+        else:
+            places.append((counted, phrase))
+    return len(words), places, tags_at(text, plain, tags) if tags else []
+
+
+def score_of(phrases: set[str], tags: list[tuple[set[str], bool, bool]]) -> float:
+    if any(parsed for _, _, parsed in tags):
+        return 1.0
+    doubt = 0.5 ** len(set().union(*(names for names, _, _ in tags)))
+    for phrase in phrases:
+        doubt *= 2 / (2 + len(phrase.split()))
+    return 1 - doubt
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression_licences array<string>, permissive boolean"
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
-    """Words, places and labels of every text. score: 0 without a sign, 1 for an identifier tag that parses, else more with each label."""
+    """Words, places and labels of every text, the licences that its tags name, and whether permissive ones meet all its tags."""
 
     def each(batches):
         auto = automaton()
@@ -165,11 +192,11 @@ def licence_scan(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary())):
                     n, places, tags = scan(text.as_py() or b"", auto)
                     base = [(k, p) for k, p in places if p in BASE]
-                    named = set().union(*(names for names, _ in tags))
+                    named = set().union(*(names for names, _, _ in tags))
                     base_labels = sorted({BASE[p] for _, p in base})
                     labels = sorted({*base_labels, *(PHRASES[p] for _, p in places if p in PHRASES), *named})
-                    score = 1.0 if named else 1 - 0.5 ** len(labels)
-                    fine = all(f for _, f in tags) if tags else None
+                    score = score_of({p for _, p in places}, tags)
+                    fine = all(f for _, f, _ in tags) if tags else None
                     first = min((k for k, _ in base), default=None), max((k for k, _ in base), default=None)
                     out.append((doc, n, len(base), *first, ",".join(base_labels), ",".join(labels), score, sorted(named), fine))
                 kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string()), pa.bool_()]

@@ -26,8 +26,7 @@ def op3_quality_fm(spark, sf_dir):
 
 
 def op4_licence_scan(spark, sf_dir):
-    out = licences.licence_scan(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark, sf_dir):
@@ -55,7 +54,7 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def op10_language_id(spark, sf_dir):
-    return langid.languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.languages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = [op1_mix_sources, op2_quality_rules, op3_quality_fm, op4_licence_scan, op5_toxicity, op6_warc_archive, op7_decontaminate, op8_token_ids, op9_jaccard_join, op10_language_id]
