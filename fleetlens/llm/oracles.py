@@ -2,7 +2,34 @@
 
 from __future__ import annotations
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH doc AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src FROM documents),
+keyed AS (SELECT *, CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || src), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS unit FROM doc),
+per AS (SELECT src, CAST(SUM(size) AS DOUBLE) AS source_size, (row_number() OVER (ORDER BY src = 'n', src) - 1) % 3 AS turn FROM keyed GROUP BY src),
+weighed AS (SELECT *, CASE turn WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3 * source_size AS cap FROM per WHERE source_size > 0),
+-- Sources that are filled up first come first; each is asked what it would get if all before it are full.
+asked AS (SELECT *, row_number() OVER o AS place, ((SELECT SUM(source_size) FROM weighed) - coalesce(SUM(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / SUM(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM weighed WINDOW o AS (ORDER BY cap / weight, src = 'n', src)),
+last AS (SELECT place, rate FROM asked WHERE rate * weight <= cap ORDER BY place LIMIT 1),
+shares AS (SELECT src, source_size, CASE WHEN asked.place < last.place THEN cap ELSE least(last.rate * weight, cap) END AS target FROM asked, last UNION ALL SELECT src, 0, 0 FROM per WHERE source_size = 0),
+placed AS (SELECT doc_id, size, source_size, target, floor(target) AS budget, coalesce(floor(floor(target) / nullif(source_size, 0)), 0) AS epochs, coalesce(SUM(size) OVER (PARTITION BY src ORDER BY unit, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM keyed JOIN shares USING (src))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - ahead)) AS BIGINT) AS taken FROM placed""",
+    "base_quality_statistics": r"""
+WITH doc AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT k, i, array_to_string(w[i:i + 4], ' ') AS five FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM doc)),
+repeated AS (SELECT k, i FROM windows WHERE (k, five) IN (SELECT (k, five) FROM windows GROUP BY k, five HAVING COUNT(*) > 1)),
+covered AS (SELECT k, COUNT(DISTINCT place) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS place FROM repeated) GROUP BY k),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM doc LEFT JOIN covered ON doc.k = covered.k)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base""",
+    "base_licence_places": rf"""
+WITH doc AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) AS p(phrase, label)),
+starts AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM doc),
+places AS (SELECT k, i - 1 AS place, label FROM starts JOIN phrases ON w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase),
+found AS (SELECT k, COUNT(*) AS n, MIN(place) AS low, MAX(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels FROM doc LEFT JOIN found ON doc.k = found.k""",
     "op6_warc_archive": """
 WITH page AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 first AS (SELECT payload_digest, MIN(page_id) AS first_id FROM page GROUP BY payload_digest)

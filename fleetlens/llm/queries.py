@@ -57,7 +57,17 @@ def op10_language_id(spark, sf_dir):
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_mix_sources, op2_quality_rules, op3_quality_fm, op4_licence_scan, op5_toxicity, op6_warc_archive, op7_decontaminate, op8_token_ids, op9_jaccard_join, op10_language_id]
+def base_quality_statistics(spark, sf_dir):
+    """What of op2 SQL can express."""
+    return op2_quality_rules(spark, sf_dir).drop("kept")
+
+
+def base_licence_places(spark, sf_dir):
+    """What of op4 SQL can express."""
+    return op4_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+QUERIES = [op1_mix_sources, op2_quality_rules, op3_quality_fm, op4_licence_scan, op5_toxicity, op6_warc_archive, op7_decontaminate, op8_token_ids, op9_jaccard_join, op10_language_id, base_quality_statistics, base_licence_places]
 
 
 def queries() -> dict:
