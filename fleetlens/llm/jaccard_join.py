@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, join_groups, mix, packed, ragged, signed, slices, write_shared
+from .common import Words, join_groups, mix, new_path, packed, ragged, scratch, signed, slices, write_shared
 from .components import components
 
 #: Counters of hashed words: four for each document, within these bounds (what the driver gathers is bounded).
@@ -335,9 +335,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     row with the smallest doc_id stays (null last), then that with the smallest hash of its text, then of the whole row.
     """
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "text", packed().alias("row"), F.xxhash64("text").alias("th"), F.xxhash64(*hashed).alias("rh"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), packed().alias("row"), F.xxhash64("text").alias("th"), F.xxhash64(*hashed).alias("rh"))
     rows = write_shared(rows, "rows")
-    found = write_shared(jaccard_components(rows.select(F.col("rid").alias("doc_id"), "text"), shingle, percent).select(F.col("doc_id").alias("rid"), "component_id"), "row-components")
+    path = new_path(docs.sparkSession, "row-components")
+    with scratch(docs.sparkSession):
+        found = jaccard_components(rows.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), shingle, percent)
+        found.select(F.col("doc_id").alias("rid"), "component_id").write.parquet(path)
+    found = docs.sparkSession.read.schema("rid long, component_id long").parquet(path)
     named = found.join(rows.select("rid", F.col("row.doc_id").alias("id"), "th", "rh"), "rid")
     best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rh", "rid")).alias("best")).select("best.rid")
     return rows.select("rid", "row").join(best, "rid", "left_semi").select("row.*")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fleetlens.llm.common import new_path
 
@@ -43,3 +45,38 @@ def test_pipeline_drops_copies_with_changed_words(spark, frame):
     rows += [(90, " ".join(text)), (91, " ".join(f"new{j}" if j in (15, 35) else w for j, w in enumerate(text)))]  # 0.64
     stage = dict(corpus_pipeline.STAGES)["n-gram jaccard join"]
     assert {x["doc_id"] for x in stage(spark, frame(rows), "").collect()} == {0, 10, 20, 90, 91}
+
+
+def through(spark, docs, folder):
+    """The documents that each stage gives, written and read again."""
+    out = []
+    for _, stage in corpus_pipeline.STAGES:
+        path = new_path(spark, "stage")
+        stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def test_pipeline_of_rows_without_an_id_or_with_a_shared_one(spark, frame):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghijklm", k=5)) for _ in range(n))
+    item, copied, once = prose(25), prose(60), prose(60)
+    rows = [(None, copied), (None, copied), (3, copied), (None, once), (7, prose(60)), (7, prose(60)), (None, f"{prose(30)} {item}"), (8, None), (None, ""), (None, None, None, None)] + [(100 + k, prose(60), None, None) for k in range(8)]
+    folder = new_path(spark, "tables")
+    frame(rows).withColumn("row", F.concat(F.lit("r"), F.col("doc_id"))).withColumn("text_hash", F.lit(1.5)).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    stages = through(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    key = lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["text"])
+    kept = [sorted(s.collect(), key=key) for s in stages[:4]]
+    assert [len(k) for k in kept[:3]] == [15, 13, 12] and all(s.columns == stages[0].columns for s in stages[:4])
+    assert [x["doc_id"] for x in kept[1]] == [3, 7, 7, *range(100, 108), None, None] and once in {x["text"] for x in kept[2]}
+    assert all(x["row"] == (None if x["doc_id"] is None else f"r{x['doc_id']}") and x["text_hash"] == 1.5 for k in kept for x in k)
+    assert stages[4].count() == len(kept[3])
+
+
+def test_pipeline_of_an_empty_table(spark, frame):
+    folder = new_path(spark, "tables")
+    frame([(1, "x")]).limit(0).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert [s.count() for s in through(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)] == [0] * 5
