@@ -2,35 +2,69 @@
 
 Each stage gets all that its predecessor kept, as Parquet read again, and its decisions take effect. The last one returns
 doc_id, start, n_tokens and ids_crc32 of every document of the token files that it wrote.
+
+Stages go by rows. A null or empty text fails the quality rules. Rows that repeat a text, or nearly, are one group whatever
+their ids, of which the one with the smallest id stays (null last); rows with one id and unlike texts stay both. A null id
+is no reason to go; it comes first in the token files. Columns besides those of documents pass through all stages but the
+last, whatever their names. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.folders import noted, remove
 from fleetlens.llm import decontaminate, jaccard_join, mixing, quality_rules, token_ids
 from fleetlens.llm.common import new_path
 
 #: Near duplicates: words of a shingle, and the least similarity in percent (op9 by itself has 3 and 90).
 SHINGLE, PERCENT = 5, 80
 
+#: Intermediate folders of stages that have run, and the files that the last of them read.
+_made: list[str] = []
+_read: list[str] = []
+
+
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first removes the intermediate tables of the one before: its result is written if docs is another table."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = sorted(docs.inputFiles())
+        if files != _read:
+            remove(spark, [f for f in _made if not any(f.rsplit("/", 1)[1] in file for file in files)])
+            _made.clear()
+        _read[:] = files
+        with noted(_made):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
+@tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@tidy
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+@tidy
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_path(spark, "corpus")
     token_ids.write_ids(docs, path)
@@ -45,7 +79,7 @@ STAGES = [
     ("token-id output", token_output),
 ]
 
-#: Tokenizers and component search have no SQL form; tests/llm hold run() against a brute-force version.
+#: Tokenizers and quantile sketches have no SQL form; tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
