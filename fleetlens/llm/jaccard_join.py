@@ -13,7 +13,9 @@ A size-aware heavy-light join, exact up to 64-bit hashes of shingles:
    The boundary is where the subsets of lighter sets cost less than the scan of their lists, both counted in the data.
 4. Components need no link inside a component already found. Each list is first compared with one member (its pivot);
    after components of those links, only pairs of different components in a list are left, and all of them are compared,
-   in tiles of a list, inside tasks.
+   in tiles of a list, inside tasks. That is done twice: first each set of a tile gives the pair with its nearest one only
+   (copies of one text are nearest to that text, so these pairs, few as they are, join most groups), then, with the
+   components that these make, every pair that is left.
    A pair is compared by size, then by a bound from parity maps of the sets (never too low), then exactly. Sets are made
    again for documents in pairs that are left; a bitmap of their ids, of a size that is bounded, spares the others.
 
@@ -245,8 +247,11 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, per
     return both.filter(100 * overlap >= percent * (total - overlap)).select("a", "b").distinct()
 
 
-def compare_lists(batches, percent: int):
-    """Pairs of a tile's sets in different components that size, place and parity map let be links; tiles come one after the other."""
+def compare_lists(batches, percent: int, nearest: bool):
+    """Pairs of a tile's sets in different components that size, place and parity map let be links; tiles come one after the other.
+
+    nearest: only the pair of each set with that one whose parity map is nearest.
+    """
 
     def pairs(t: pa.Table):
         col = lambda c: t.column(c).combine_chunks().to_numpy()
@@ -257,6 +262,7 @@ def compare_lists(batches, percent: int):
         start = np.flatnonzero(first)
         end = np.repeat(np.append(start[1:], len(tok)), np.diff(np.append(start, len(tok))))
         x, d = np.arange(len(tok)), 0
+        least, other = np.full(len(tok), np.iinfo(np.int64).max), np.full(len(tok), -1)
         while len(x):
             d += 1
             x = x[x + d < end[x]]
@@ -267,9 +273,18 @@ def compare_lists(batches, percent: int):
             a, b = x[ok], y[ok]
             apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
             near = (100 + percent) * (n[a] + n[b] - apart) >= 2 * percent * (n[a] + n[b])
-            a, b = rep[a[near]], rep[b[near]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            a, b, apart = a[near], b[near], apart[near]
+            if not nearest:
+                yield batch_of(rep[a], rep[b])
+                continue
+            for one, two in ((a, b), (b, a)):
+                better = apart < least[one]
+                least[one[better]], other[one[better]] = apart[better], two[better]
+        found = np.flatnonzero(other >= 0)
+        yield batch_of(rep[found], rep[other[found]])
+
+    def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     held = None
     for batch in batches:
@@ -287,14 +302,14 @@ def compare_lists(batches, percent: int):
         yield from pairs(held)
 
 
-def list_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def list_pairs(lists: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """a, b: the pairs in lists that may be links, compared inside tasks; a list of over BLOCK sets is dealt out in tiles of two blocks."""
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     rows = lists.join(sets.select("rep", "n", "bits"), ["rep", "n"]).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("tok", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "rep", "n", F.col("pos").cast("long").alias("pos"), "part", "block", "bits")
     tiles = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
-    return tiles.mapInArrow(lambda batches: compare_lists(batches, percent), "a long, b long").distinct()
+    return tiles.mapInArrow(lambda batches: compare_lists(batches, percent, nearest), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -313,16 +328,18 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     lists = write_shared(posts.join(several, "tok"), "lists")
     star = lists.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = write_shared(verify(star, sets, docs, shingle, percent), "links")
-    first = write_shared(components(links), "first-components")
     # What is left: pairs of one list in different components, neither of them the pivot (those are done).
-    part = lists.join(first, lists.rep == first.node, "left").select("tok", "rep", "n", "pos", "pivot", F.coalesce("component", "rep").alias("part"))
-    part = write_shared(part.filter("rep <> pivot"), "parts")
-    open_ = part.groupBy("tok").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("length")).filter("low <> high").select("tok", "length")
-    more = verify(list_pairs(part.join(open_, "tok"), sets, percent), sets, docs, shingle, percent)
+    for nearest in (True, False):
+        so_far = write_shared(components(links), "components-so-far")
+        part = lists.join(so_far, lists.rep == so_far.node, "left").select("tok", "rep", "n", "pos", "pivot", F.coalesce("component", "rep").alias("part"))
+        part = write_shared(part.filter("rep <> pivot"), "parts")
+        open_ = part.groupBy("tok").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("length")).filter("low <> high").select("tok", "length")
+        more = verify(list_pairs(part.join(open_, "tok"), sets, percent, nearest), sets, docs, shingle, percent)
+        links = links.union(write_shared(more, "more-links"))
     # Rows with one id in several classes join these classes.
     twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     same = known.select("doc_id", "n", "fp1", "fp2").join(twice, "doc_id").join(classes, ["n", "fp1", "fp2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(links.union(more).union(same))
+    final = components(links.union(same))
     out = join_groups(every.select("doc_id", "n", "fp1", "fp2"), classes, ["n", "fp1", "fp2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(final, out.rep == final.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "rep"))).alias("component_id"))
