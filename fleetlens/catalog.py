@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import analysis, cleaning, enrichment, features, model_queries, reports  # noqa: F401
-from .plans import analytics, insights, packaged  # noqa: F401
+from .plans import analytics, insights, packaged, stated  # noqa: F401
 from .plans.dialect import REGISTRY, Op
 from .sources import table_queries
 from .sources.views import fleet_views, oracle_ctes
@@ -15,7 +15,7 @@ from .streaming import queries as stream_queries
 
 
 def run(op: Op, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op(**fleet_views(spark, sf_dir, op.inputs))
+    return op(**fleet_views(spark, sf_dir, op.inputs), **op.given)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: op.oracle(oracle_ctes(op.inputs)) for key, op in REGISTRY.items() if op.has_oracle} | stream_queries.oracle_sql() | table_queries.oracle_sql()
+    return {key: op.oracle(oracle_ctes(op.inputs)) for key, op in REGISTRY.items() if op.has_oracle} | stream_queries.oracle_sql() | model_queries.oracle_sql() | table_queries.oracle_sql() | stated.oracle_sql()

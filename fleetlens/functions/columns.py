@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..rules import CO2_KG_PER_LITRE, CRITICAL_FAULTS, WARNING_FAULTS
+from ..rules import CO2_KG_PER_LITRE, CRITICAL_FAULTS, URGENCY_LEVELS, URGENCY_LOWEST, URGENCY_POINTS, WARNING_FAULTS
 
 
 def fault_severity(codes: Column, worst: bool = False) -> Column:
@@ -17,8 +17,13 @@ def fault_severity(codes: Column, worst: bool = False) -> Column:
 
 
 def maintenance_urgency(faults: Column, loss: Column, idle: Column) -> Column:
-    """Urgency from faults, percent of lost efficiency and percent of idling."""
-    return F.when((faults > 5) | (loss > 20), "CRITICAL").when((faults > 2) | (loss > 15) | (idle > 30), "HIGH").when((faults > 0) | (loss > 10) | (idle > 20), "MEDIUM").otherwise("LOW")
+    """Urgency from faults, percent of lost efficiency and minutes of idling: points for each, then the first level that they pass."""
+    above = lambda x, part: F.greatest(F.lit(0.0), x - URGENCY_POINTS[part][0]) * URGENCY_POINTS[part][1]
+    points = F.greatest(F.lit(0), faults) * URGENCY_POINTS["fault"] + above(loss, "loss") + above(idle, "idle")
+    out = F.lit(URGENCY_LOWEST)
+    for least, name in reversed(URGENCY_LEVELS):
+        out = F.when(points > least, name).otherwise(out)
+    return out
 
 
 def co2_kg(litres: Column, engine: Column) -> Column:
@@ -37,8 +42,8 @@ def detect_anomaly(value: Column, history: Column, limit: float = 3.0, least: in
     """struct(is_anomaly, z_score, severity) of a value against a list of earlier values."""
     n = F.size(history).cast("double")
     mean = F.try_divide(F.aggregate(history, F.lit(0.0), lambda a, x: a + x), n)
-    square = F.try_divide(F.aggregate(history, F.lit(0.0), lambda a, x: a + x * x), n)
-    std = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    away = F.aggregate(F.transform(history, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)  # a second pass keeps the digits of large values
+    std = F.sqrt(F.try_divide(away, n))
     z = F.when(n >= least, F.try_divide(F.abs(value - mean), F.nullif(std, F.lit(0.0))))
     severity = F.when(z > 5, "critical").when(z > 4, "high").when(z > limit, "medium").otherwise("none")
     return F.struct(F.coalesce(z > limit, F.lit(False)).alias("is_anomaly"), z.alias("z_score"), severity.alias("severity"))

@@ -52,10 +52,10 @@ def efficiency_outliers(d, limit=3):
 
 
 def pairs(d, names) -> str:
-    """Each pair's correlation, from one pass of sums."""
-    wide = ", ".join(f"{d.corr(a, b)} AS c{k}" for k, (a, b) in enumerate(combinations(names, 2)))
-    cases = " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, c{k} AS r FROM w" for k, (a, b) in enumerate(combinations(names, 2)))
-    return f"WITH w AS (SELECT {wide} FROM telemetry) {cases}"
+    """Each pair's correlation, from one pass of sums: an array of all pairs, then a row for each."""
+    item = lambda a, b: d._(f"named_struct('column_a', '{a}', 'column_b', '{b}', 'r', {d.corr(a, b)})", f"{{'column_a': '{a}', 'column_b': '{b}', 'r': {d.corr(a, b)}}}")
+    items = ", ".join(item(a, b) for a, b in combinations(names, 2))
+    return f"SELECT p.column_a, p.column_b, p.r FROM (SELECT {d._(f'explode(array({items}))', f'unnest([{items}])')} AS p FROM telemetry) AS w"
 
 
 @op("a6_correlation_matrix", "telemetry")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..plans.dialect import Dialect, cut, op
+from ..plans.dialect import Dialect, banded, cut, op
 from ..plans.parts import co2, lookup, lookup2, n_if
-from ..rules import DEPOT, EXPECTED_EFFICIENCY, FUEL_PRICE, IDLE_LITRES_PER_HOUR, KWH_PER_LITRE, ROAD_FACTOR, WEATHER_FACTOR, WEIGHT_KG
+from ..rules import CRITICAL_FAULTS, DEPOT, EXPECTED_EFFICIENCY, FUEL_PRICE, IDLE_LITRES_PER_HOUR, KWH_PER_LITRE, ROAD_FACTOR, URGENCY_LEVELS, URGENCY_LOWEST, URGENCY_POINTS, WARNING_FAULTS, WEATHER_FACTOR, WEIGHT_KG
 
 KEYS = "l_orderkey, l_linenumber, l_partkey, vehid, ts"
 ORDER = "ts, l_orderkey, l_linenumber, l_partkey"
@@ -203,8 +203,9 @@ def enrich_all(d):
 def enrichment_summary(d):
     """Features of each category, and how many of their values are not null."""
     parts = {"basic": basic(d), "temporal": temporal(d), "driver": driver(d), "idle": idle(d), "maintenance": maintenance(d), "environment": environment(d), "location": location(d), "cost": cost(d)}
-    rows = [f"SELECT '{g}' AS category, {len(c)} AS features, CAST(SUM({' + '.join(f'CASE WHEN {k} IS NOT NULL THEN 1 ELSE 0 END' for k in c)}) AS BIGINT) AS values_present FROM ({enrich_all.build(d)}) AS {g}_features" for g, c in parts.items()]
-    return " UNION ALL ".join(rows)
+    present = {g: f"CAST(SUM({' + '.join(f'CASE WHEN {k} IS NOT NULL THEN 1 ELSE 0 END' for k in c)}) AS BIGINT)" for g, c in parts.items()}
+    one = ", ".join(d._(f"named_struct('category', '{g}', 'features', {len(parts[g])}, 'values_present', {x})", f"{{'category': '{g}', 'features': {len(parts[g])}, 'values_present': {x}}}") for g, x in present.items())
+    return f"SELECT r.category, r.features, r.values_present FROM (SELECT {d._(f'explode(array({one}))', f'unnest([{one}])')} AS r FROM ({enrich_all.build(d)}) AS e) AS x"
 
 
 @op("e16_fuel_efficiency_units", "telemetry")
@@ -216,22 +217,24 @@ def fuel_efficiency_units(d):
 
 @op("u1_fault_severity", "telemetry")
 def fault_severity(d):
-    """Severity by the first code that is critical or a warning, and the worst of all codes."""
-    from ..rules import CRITICAL_FAULTS, WARNING_FAULTS
-
-    kind = "CASE " + " ".join(f"WHEN code IN ({', '.join(repr(c) for c in codes)}) THEN {p}" for codes, p in ((CRITICAL_FAULTS, 3), (WARNING_FAULTS, 2))) + " ELSE 1 END"
-    first = "SPLIT_PART(fault_codes, ',', 1)", "SPLIT_PART(fault_codes, ',', 2)"
-    a, b = (f"(CASE WHEN COALESCE({x}, '') = '' THEN 0 ELSE {kind.replace('code', x)} END)" for x in first)
-    name = lambda x: f"CASE {x} WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'WARNING' WHEN 1 THEN 'INFO' ELSE 'NONE' END"
-    return f"SELECT {KEYS}, fault_codes, {name(f'CASE WHEN {a} >= 2 THEN {a} ELSE GREATEST({a}, {b}) END')} AS first_match, {name(f'GREATEST({a}, {b})')} AS worst FROM telemetry"
+    """Severity by the first code of the list that is critical or a warning, and by the worst of all codes."""
+    quoted = lambda codes: ", ".join(f"'{c}'" for c in codes)
+    known = lambda codes: d._(f"filter(split(fault_codes, ','), c -> c IN ({quoted(codes)}))", f"list_filter(string_split(fault_codes, ','), lambda c: c IN ({quoted(codes)}))")
+    count = lambda codes: f"COALESCE({d._('size', 'len')}({known(codes)}), 0)"
+    first = d._(f"get({known(CRITICAL_FAULTS + WARNING_FAULTS)}, 0)", f"({known(CRITICAL_FAULTS + WARNING_FAULTS)})[1]")
+    level = lambda critical: f"CASE WHEN COALESCE(fault_codes, '') = '' THEN 'NONE' WHEN {critical} THEN 'CRITICAL' WHEN {count(CRITICAL_FAULTS + WARNING_FAULTS)} > 0 THEN 'WARNING' ELSE 'INFO' END"
+    return f"SELECT {KEYS}, fault_codes, {level(f'{first} IN ({quoted(CRITICAL_FAULTS)})')} AS first_match, {level(f'{count(CRITICAL_FAULTS)} > 0')} AS worst FROM telemetry"
 
 
 @op("u2_maintenance_urgency", "telemetry")
 def maintenance_urgency(d):
-    """Urgency of a vehicle from its faults, loss of efficiency and idling."""
-    return f"""SELECT vehid, faults, {d.r6('loss')} AS efficiency_degradation, {d.r6('idle')} AS idle_percentage, CASE WHEN faults > 500 OR loss > 20 THEN 'CRITICAL' WHEN faults > 50 OR loss > 15 OR idle > 30 THEN 'HIGH' WHEN faults > 0 OR loss > 10 OR idle > 20 THEN 'MEDIUM' ELSE 'LOW' END AS urgency
-FROM (SELECT vehid, {n_if('has_fault')} AS faults, (MIN_BY(fuel_efficiency_kmpl, nth) - MAX_BY(fuel_efficiency_kmpl, nth)) / MIN_BY(fuel_efficiency_kmpl, nth) * 100 AS loss, {d.div('SUM(idle_time_min)', 'SUM(trip_duration_min)')} * 100 AS idle
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehid ORDER BY {ORDER}, fuel_efficiency_kmpl) AS nth FROM telemetry) AS o GROUP BY vehid) AS v"""
+    """Urgency of a vehicle's day from its faults, its loss of efficiency against the vehicle's mean, and a trip's mean minutes of idling."""
+    (loss_from, loss_weight), (idle_from, idle_weight) = URGENCY_POINTS["loss"], URGENCY_POINTS["idle"]
+    points = f"faults * {URGENCY_POINTS['fault']} + GREATEST(loss - {loss_from}, 0) * {loss_weight} + GREATEST(idle - {idle_from}, 0) * {idle_weight}"
+    return f"""SELECT vehid, usage_date, faults, loss AS efficiency_degradation, idle AS idle_minutes, {banded(d.r6(points), [(f'> {least}', f"'{name}'") for least, name in URGENCY_LEVELS], f"'{URGENCY_LOWEST}'")} AS urgency
+FROM (SELECT g.vehid, usage_date, faults, {d.r6('(m.efficiency - g.efficiency) / NULLIF(m.efficiency, 0) * 100')} AS loss, {d.r6('idle')} AS idle
+  FROM (SELECT vehid, CAST(ts AS DATE) AS usage_date, {n_if('has_fault')} AS faults, AVG(fuel_efficiency_kmpl) AS efficiency, AVG(idle_time_min) AS idle FROM telemetry GROUP BY vehid, CAST(ts AS DATE)) AS g
+  JOIN (SELECT vehid, AVG(fuel_efficiency_kmpl) AS efficiency FROM telemetry GROUP BY vehid) AS m ON g.vehid = m.vehid) AS v"""
 
 
 @op("u3_co2_emissions", "telemetry", "vehicles")

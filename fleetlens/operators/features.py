@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from ..plans.dialect import AS_OF_READINGS, banded, cut, op
 from ..plans.parts import n_if
 from .analysis import INSTANT, STRESS
@@ -168,11 +171,30 @@ def series_features(d):
 FROM (SELECT *, {peak} AS peak, AVG(x) OVER (PARTITION BY vehicle_id) AS m FROM (SELECT vehicle_id, speed_kmh AS x, ROW_NUMBER() OVER ({BY_TIME}) AS nth FROM readings) AS r) AS p GROUP BY vehicle_id HAVING COUNT(*) > 4"""
 
 
-@op("n12_encode_categoricals", "readings")
-def encode_categoricals(d):
-    """Event types one-hot, drivers by their share of rows, vehicles by number."""
-    kinds = ("view", "click", "purchase", "error", "login")
-    return f"SELECT event_id, {', '.join(f'CASE WHEN event_type = {chr(39)}{k}{chr(39)} THEN 1 ELSE 0 END AS is_{k}' for k in kinds)}, {d.r6('CAST(COUNT(*) OVER (PARTITION BY driver_id) AS DOUBLE) / COUNT(*) OVER ()')} AS driver_frequency, DENSE_RANK() OVER (ORDER BY vehicle_id) - 1 AS vehicle_label FROM readings"
+def encode_categoricals(df: DataFrame, columns: list[str], key: str, few: int = 10, some: int = 50) -> DataFrame:
+    """key and the columns encoded by how many values they have: up to `few` one-hot, up to `some` their share of rows, else a number in order.
+
+    Values are counted first, so that shares and numbers are small tables that are joined back; a null has its own share and
+    no number, and is no value of one-hot columns.
+    """
+    out = df.select(key, *columns)
+    names = [key]
+    for c in columns:
+        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("rows"))
+        values = [r[0] for r in counts.filter(F.col(c).isNotNull()).select(c).orderBy(c).limit(some + 1).collect()]  # some + 1 values at most
+        if len(values) <= few:
+            out = out.withColumns({f"{c}_{v}": F.coalesce(F.col(c).eqNullSafe(F.lit(v)), F.lit(False)).cast("double") for v in values})
+            names += [f"{c}_{v}" for v in values]
+            continue
+        if len(values) <= some:
+            coded, name = counts.crossJoin(df.agg(F.count(F.lit(1)).alias("all"))).select(c, (F.col("rows") / F.col("all")).alias(f"{c}_frequency")), f"{c}_frequency"
+        else:
+            known = counts.filter(F.col(c).isNotNull())
+            coded, name = known.select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).cast("double").alias(f"{c}_label")), f"{c}_label"
+        coded = coded.withColumnRenamed(c, "value_of_column")
+        out = out.join(coded, F.col(c).eqNullSafe(F.col("value_of_column")), "left").drop("value_of_column")
+        names.append(name)
+    return out.select(*names)
 
 
 @op("n13_scale", "readings")
@@ -303,15 +325,21 @@ SUSTAINED = (
     ("HighEngineTemperature", "engine_temperature_c", "> 120", 300), ("CriticalEngineTemperature", "engine_temperature_c", "> 140", 120), ("LowFuelLevel", "fuel_level_percent", "< 15", 600),
     ("CriticalFuelLevel", "fuel_level_percent", "< 5", 300), ("LowBatteryVoltage", "battery_voltage", "< 12.0", 300), ("CriticalBatteryVoltage", "battery_voltage", "< 11.0", 120),
     ("LowOilPressure", "oil_pressure_kpa", "< 150", 180), ("CriticalOilPressure", "oil_pressure_kpa", "< 100", 60), ("PoorFuelEfficiency", "speed_kmh / fuel_consumption_lph", "< 8", 1800),
+    ("HighFaultRate", "faults / 300.0", "> 0.1", 120), ("MultipleCriticalFaults", "faults", "> 5", 60),
 )
 
 
-@op("w24_sustained_alerts", "readings")
-def sustained_alerts(d, stale_s=300, time_scale=60):
-    """Conditions that hold for a time: runs of readings without a break, or a pause over `stale_s`; readings stand `time_scale` times closer."""
-    rows = " UNION ALL ".join(f"SELECT vehicle_id, event_id, ts, '{n}' AS alert, {x} {t} AS holds, {s} AS need FROM readings" for n, x, t, s in SUSTAINED)
+@op("w24_sustained_alerts", "readings", given={"time_scale": 60})
+def sustained_alerts(d, stale_s=300, time_scale=1):
+    """Conditions that hold for a time: runs of readings without a break, or a pause over `stale_s`; readings stand `time_scale` times closer.
+
+    Faults are the error events of the last five minutes (by the same scale): over 0.1 a second, or over five, is an alert too.
+    """
+    rows = " UNION ALL ".join(f"SELECT vehicle_id, event_id, ts, '{n}' AS alert, {x} {t} AS holds, {s} AS need FROM counted" for n, x, t, s in SUSTAINED)
+    at = d._("unix_seconds(CAST(ts AS TIMESTAMP))", "CAST(floor(epoch(ts)) AS BIGINT)")
+    counted = f"SELECT *, COUNT(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY vehicle_id ORDER BY at_s RANGE BETWEEN {300 * time_scale} PRECEDING AND CURRENT ROW) AS faults FROM (SELECT *, {at} AS at_s FROM readings) AS r"
     gap = f"{d.seconds('before', 'ts')} / {time_scale}"
-    return f"""SELECT vehicle_id, alert, MIN(ts) AS since, MAX(ts) AS until, COUNT(*) AS readings, MAX(need) AS required_s FROM (SELECT *, SUM(CASE WHEN was AND {gap} <= {stale_s} THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id, alert ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM
+    return f"""WITH counted AS ({counted}) SELECT vehicle_id, alert, MIN(ts) AS since, MAX(ts) AS until, COUNT(*) AS readings, MAX(need) AS required_s FROM (SELECT *, SUM(CASE WHEN was AND {gap} <= {stale_s} THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id, alert ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM
 (SELECT *, LAG(ts) OVER (PARTITION BY vehicle_id, alert ORDER BY ts, event_id) AS before, LAG(holds) OVER (PARTITION BY vehicle_id, alert ORDER BY ts, event_id) AS was FROM ({rows}) AS u) AS l WHERE holds) AS i GROUP BY vehicle_id, alert, island HAVING {d.seconds('MIN(ts)', 'MAX(ts)')} / {time_scale} >= MAX(need)"""
 
 

@@ -1,10 +1,11 @@
-"""Model operators over the test tables (results depend on random draws, so there is no oracle SQL)."""
+"""Model operators over the test tables. Where results depend on random draws there is no oracle SQL."""
 
 from __future__ import annotations
 
-from ..sources.views import fleet_views
-from ..streaming import windows
-from . import analysis, models
+from pyspark.sql import functions as F
+
+from ..sources.views import fleet_views, oracle_ctes
+from . import analysis, features, models
 
 R = models.READING_FEATURES
 
@@ -24,6 +25,12 @@ def predicted(spark, sf_dir):
     return models.predict_maintenance(model, frame, vehicles)
 
 
+def encoded(spark, sf_dir):
+    """Encoded columns in long form, so that the columns do not depend on the data."""
+    wide = features.encode_categoricals(readings(spark, sf_dir), ["event_type", "driver_id", "vehicle_id"], "event_id")
+    return wide.unpivot(["event_id"], wide.columns[1:], "feature", "value").withColumn("value", F.round(F.col("value") + 1.3e-9, 6))
+
+
 def anomaly_profile(spark, sf_dir):
     r = readings(spark, sf_dir)
     return models.anomaly_profile(models.isolation_forest(r, R, "event_id"), r)
@@ -37,11 +44,24 @@ def queries() -> dict:
         "m2_importances": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0])[2],
         "m3_predict_maintenance": predicted,
         "w17_kmeans_anomaly": lambda s, d: models.kmeans_anomaly(readings(s, d), R, "event_id"),
-        "w27_maintenance_regression": lambda s, d: models.maintenance_regression(windows.vehicle_agg(windows.with_event_time(readings(s, d)), "1 day")),
+        "w27_maintenance_regression": lambda s, d: models.maintenance_regression(models.vehicle_periods(fleet_views(s, d, ("telemetry",))["telemetry"])),
+        "n12_encode_categoricals": encoded,
         "n14_select_features": lambda s, d: models.select_features(maintenance(s, d)[0], models.FEATURES, "label", 5),
         "n15_pca": lambda s, d: models.pca(readings(s, d), R, len(R)),
+        "n15_svd": lambda s, d: models.svd(readings(s, d), R),
         "n17_cluster_features": lambda s, d: models.cluster_features(readings(s, d), R),
         "n18_feature_pipeline": lambda s, d: models.FeaturePipeline(R).fit(readings(s, d)).transform(readings(s, d), "event_id"),
         "n20_compare_models": lambda s, d: models.compare_models(maintenance(s, d)[0], models.FEATURES),
         "n22_consensus_anomaly": lambda s, d: models.consensus_anomaly(readings(s, d), R, "event_id"),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    frequency = lambda c: f"CAST(COUNT(*) OVER (PARTITION BY {c}) AS DOUBLE) / COUNT(*) OVER ()"
+    coded = lambda c: f"SELECT event_id, CASE WHEN n_{c} > 50 THEN '{c}_label' ELSE '{c}_frequency' END AS feature, CASE WHEN n_{c} > 50 THEN DENSE_RANK() OVER (ORDER BY {c}) - 1 ELSE {frequency(c)} END AS value FROM readings, sizes"
+    return {
+        "n12_encode_categoricals": f"""WITH {oracle_ctes(["readings"])},
+sizes AS (SELECT COUNT(DISTINCT driver_id) AS n_driver_id, COUNT(DISTINCT vehicle_id) AS n_vehicle_id FROM readings),
+all_rows AS (SELECT event_id, 'event_type_' || k AS feature, CASE WHEN event_type = k THEN 1.0::DOUBLE ELSE 0 END AS value FROM readings, (SELECT DISTINCT event_type AS k FROM readings) AS kinds UNION ALL {coded("driver_id")} UNION ALL {coded("vehicle_id")})
+SELECT event_id, feature, ROUND(value + 1.3e-9, 6) AS value FROM all_rows""",
+    }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -14,6 +16,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import write_shared
+
 FEATURES = ["engine_stress", "efficiency_ma", "efficiency_degradation", "rpm_variance", "brake_wear_indicator", "fault_history", "hour_of_day", "day_of_week", "trip_intensity", "driver_impact"]
 READING_FEATURES = ["speed_kmh", "engine_temperature_c", "fuel_level_percent", "rpm", "battery_voltage", "fuel_consumption_lph"]
 TREES, SAMPLE = 100, 256
@@ -31,7 +35,7 @@ def maintenance_frame(features: DataFrame, trips: DataFrame) -> DataFrame:
     return features.join(label, keys).fillna(0, FEATURES)
 
 
-def train_maintenance_model(df: DataFrame, trees: int = 20, depth: int = 8, seed: int = 42):
+def train_maintenance_model(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42):
     """A balanced random forest on four fifths; (model, one-row metrics, importances)."""
     train, test = df.randomSplit([0.8, 0.2], seed)
     share = train.agg(F.avg("label")).first()[0] or 0.0
@@ -90,25 +94,21 @@ def isolation_forest(df: DataFrame, columns: list[str], key: str, contamination:
     sample = df.select(*columns, F.explode(draws).alias("tree"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
-
         x = pdf[columns].fillna(0).to_numpy(float)
         return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])], "shape": [json.dumps(grow(x, np.random.default_rng(int(pdf["tree"].iloc[0])), 0, int(np.ceil(np.log2(max(len(x), 2))))))]})
 
     grown = [r["shape"] for r in sample.groupBy("tree").applyInPandas(fit, "tree int, shape string").orderBy("tree").collect()]
-    shared = df.sparkSession.sparkContext.broadcast(grown)
+    shared = df.sparkSession.sparkContext.broadcast([json.loads(t) for t in grown])
     size = max(min(n, SAMPLE), 3)
     usual = 2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size
 
     @F.pandas_udf("double")
     def score(cols: pd.DataFrame) -> pd.Series:
-        import json
-
         x = cols.fillna(0).to_numpy(float)
-        total = sum(paths(json.loads(t), x) for t in shared.value) / max(len(shared.value), 1)
+        total = sum(paths(t, x) for t in shared.value) / max(len(shared.value), 1)
         return pd.Series(2.0 ** (-total / usual))
 
-    scored = df.select(key, score(F.struct(*columns)).alias("score"))
+    scored = write_shared(df.select(key, score(F.struct(*columns)).alias("score")), "scores")
     limit = scored.agg(F.percentile_approx("score", 1 - contamination, 10000).alias("limit"))
     return scored.crossJoin(limit).select(key, F.round("score", 6).alias("score"), (F.col("score") > F.col("limit")).alias("is_anomaly"))
 
@@ -130,7 +130,7 @@ def kmeans_anomaly(df: DataFrame, columns: list[str], key: str, k: int = 3, limi
     return out.crossJoin(far).select(key, "cluster", F.round("distance", 6).alias("distance"), (F.try_divide("distance", "far") > limit).alias("is_anomaly"))
 
 
-def cluster_features(df: DataFrame, columns: list[str], most: int = 5, seed: int = 1) -> DataFrame:
+def cluster_features(df: DataFrame, columns: list[str], most: int = 10, seed: int = 1) -> DataFrame:
     """k, silhouette and cost of each number of clusters."""
     prepared = Pipeline(stages=assembled(df, columns)).fit(df).transform(df).select("features").persist()
     rows = []
@@ -203,12 +203,40 @@ def consensus_anomaly(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return out.withColumn("votes", votes).withColumn("is_anomaly", F.col("votes") >= 2)
 
 
-def maintenance_regression(windows: DataFrame) -> DataFrame:
-    """Elastic-net regression of a vehicle's next maintenance distance on its window figures: the predictions."""
-    columns = ["avg_speed", "max_speed", "avg_temperature", "avg_fuel", "avg_voltage"]
-    data = windows.fillna(0, columns).withColumn("label", 10000 - F.col("readings") * 10 - F.col("avg_temperature"))
-    model = Pipeline(stages=[*assembled(data, columns), LinearRegression(regParam=0.3, elasticNetParam=0.8)]).fit(data)
-    return model.transform(data).select("vehicle_id", "window_start", F.round("prediction", 4).alias("next_maintenance_km"))
+NEED_FEATURES = ("total_distance_km", "total_fuel_consumed_l", "avg_fuel_efficiency", "total_idle_min", "fault_count", "avg_driver_score")
+
+
+def vehicle_periods(trips: DataFrame, period: str = "month") -> DataFrame:
+    """A vehicle's figures of each period, with how often maintenance was flagged."""
+    return trips.groupBy("vehid", F.date_trunc(period, F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("period")).agg(
+        F.sum("trip_distance_km").alias("total_distance_km"), F.sum("fuel_consumed_l").alias("total_fuel_consumed_l"), F.avg("fuel_efficiency_kmpl").alias("avg_fuel_efficiency"), F.sum("idle_time_min").alias("total_idle_min"),
+        F.count_if("has_fault").alias("fault_count"), F.count_if("maintenance_flag").alias("maintenance_count"), F.avg("driver_behavior_score").alias("avg_driver_score"))
+
+
+def maintenance_regression(periods: DataFrame, keys: tuple[str, ...] = ("vehid", "period")) -> DataFrame:
+    """Elastic-net regression of maintenance_count on NEED_FEATURES: need and next maintenance of the fifth that is held out (by hash of the keys)."""
+    data = periods.fillna(0, list(NEED_FEATURES)).withColumn("fifth", F.pmod(F.xxhash64(*keys), F.lit(5)))
+    learner = LinearRegression(labelCol="maintenance_count", maxIter=10, regParam=0.3, elasticNetParam=0.8)
+    model = Pipeline(stages=[*assembled(data, list(NEED_FEATURES), scale=False), learner]).fit(data.filter("fifth <> 0"))
+    need = F.col("prediction")
+    return model.transform(data.filter("fifth = 0")).select(*keys, F.round("total_distance_km", 4).alias("total_distance_km"), "maintenance_count", F.round(need, 6).alias("predicted_maintenance_need"),
+        F.round(F.col("total_distance_km") * F.when(need > 0.5, 1.2).otherwise(1.5), 4).alias("next_maintenance_km"))
+
+
+def svd(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Singular values of the standardised columns, their share of the squared sum, and each one's direction.
+
+    The products of all pairs of columns are summed in one pass; only this small square is decomposed on the driver.
+    """
+    mean = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    away = {c: F.coalesce(F.col(c) - F.lit(mean[c]), F.lit(0.0)) for c in columns}
+    sums = df.agg(*(F.sum(away[a] * away[b]).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i), F.count(F.lit(1)).alias("n")).first()
+    square = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(columns))] for i in range(len(columns))])
+    scale = np.sqrt(np.maximum(np.diag(square) / max(sums["n"] - 1, 1), 1e-300))
+    values, directions = np.linalg.eigh(square / np.outer(scale, scale))
+    values, directions = np.maximum(values[::-1], 0), directions[:, ::-1]
+    rows = [(i + 1, float(np.sqrt(v)), float(v / max(values.sum(), 1e-300)), [float(x) for x in directions[:, i] * np.sign(directions[np.abs(directions[:, i]).argmax(), i])]) for i, v in enumerate(values)]
+    return df.sparkSession.createDataFrame(rows, "component int, singular_value double, share double, direction array<double>")
 
 
 class FeaturePipeline:

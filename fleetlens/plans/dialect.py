@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Trips end on 2001-11-04 and readings on 2024-01-30 in the test tables; "today" is a parameter everywhere.
 AS_OF = "2001-11-05"
@@ -93,8 +94,9 @@ class Dialect:
         return self._(f"CAST(try_to_timestamp({x}) AS TIMESTAMP_NTZ)", f"TRY_CAST({x} AS TIMESTAMP)")
 
     def since(self, days: int, as_of: str, column: str = "ts") -> str:
-        """A predicate on the raw column: the days before as_of."""
-        return f"{column} >= {self.ts(as_of)} - INTERVAL '{days}' DAY AND {column} < {self.ts(as_of)}"
+        """Trips of the days before as_of. The bound on `shipped`, the stored date that ts lies within a day of, reaches the Parquet scan."""
+        stored = column.removesuffix("ts") + "shipped"
+        return f"{column} >= {self.ts(as_of)} - INTERVAL '{days}' DAY AND {column} < {self.ts(as_of)} AND {stored} >= {self.ts(as_of)} - INTERVAL '{days + 1}' DAY AND {stored} <= {self.ts(as_of)}"
 
     def last(self, x: str, window: str) -> str:
         """The last value that is not null."""
@@ -118,8 +120,8 @@ SPARK, ORACLE = Dialect("spark"), Dialect("oracle")
 class Op:
     """A registered operator."""
 
-    def __init__(self, key: str, inputs: tuple[str, ...], build: Callable, oracle: bool):
-        self.key, self.inputs, self.build, self.has_oracle = key, inputs, build, oracle
+    def __init__(self, key: str, inputs: tuple[str, ...], build: Callable, oracle: bool, given: dict):
+        self.key, self.inputs, self.build, self.has_oracle, self.given = key, inputs, build, oracle, given  # given: arguments of the registered query
         self.__doc__, self.__name__ = build.__doc__, build.__name__
 
     def __call__(self, **given) -> DataFrame:
@@ -129,10 +131,12 @@ class Op:
         if missing:
             raise TypeError(f"{self.key} needs {', '.join(missing)}")
         session = next(iter(frames.values())).sparkSession
+        if "telemetry" in frames and "shipped" not in frames["telemetry"].columns and "shipped" in text:
+            frames["telemetry"] = frames["telemetry"].withColumn("shipped", F.col("ts"))
         return session.sql(bound(text, self.inputs), **{k: frames[k] for k in self.inputs})
 
     def oracle(self, ctes: str) -> str:
-        return f"{'WITH ' + ctes if ctes else ''} SELECT * FROM (\n{self.build(ORACLE)}\n) AS result"
+        return f"{'WITH ' + ctes if ctes else ''} SELECT * FROM (\n{self.build(ORACLE, **self.given)}\n) AS result"
 
 
 def bound(text: str, inputs: tuple[str, ...]) -> str:
@@ -143,9 +147,9 @@ def bound(text: str, inputs: tuple[str, ...]) -> str:
 REGISTRY: dict[str, Op] = {}
 
 
-def op(key: str, *inputs: str, oracle: bool = True):
+def op(key: str, *inputs: str, oracle: bool = True, given: dict | None = None):
     def add(build: Callable) -> Op:
-        REGISTRY[key] = Op(key, inputs, build, oracle)
+        REGISTRY[key] = Op(key, inputs, build, oracle, given or {})
         return REGISTRY[key]
 
     return add

@@ -13,14 +13,15 @@ IDLE_SHARE = "idle_time_min / NULLIF(trip_duration_min, 0) * 100"
 def daily_usage_by_class(d):
     """Every day's trips by type and class, without rows that sum up others."""
     return f"""SELECT CAST(ts AS DATE) AS usage_date, vehicle_type, vehicle_class, COUNT(DISTINCT vehid) AS active_vehicles, COUNT(*) AS total_trips, {d.r4('SUM(trip_distance_km)')} AS total_distance_km, {d.r6('AVG(trip_distance_km)')} AS avg_trip_distance, {d.r4('SUM(trip_duration_min)')} AS total_minutes
-FROM (SELECT *, CONCAT('T', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS trip_id FROM telemetry) AS t WHERE trip_id NOT LIKE '%SUMMARY' GROUP BY CAST(ts AS DATE), vehicle_type, vehicle_class"""
+FROM telemetry WHERE trip_id NOT LIKE '%SUMMARY' GROUP BY CAST(ts AS DATE), vehicle_type, vehicle_class"""
 
 
 @op("p2_efficiency_by_configuration", "telemetry", "vehicles")
 def efficiency_by_configuration(d):
-    """Efficiency by engine, turbo, weight and displacement."""
-    return f"""SELECT v.vehicle_type, v.vehicle_class, v.engine_type, v.is_turbo, v.weight_category, v.displacement_l, COUNT(DISTINCT v.vehid) AS vehicle_count, {d.r6('AVG(t.fuel_efficiency_kmpl)')} AS avg_efficiency, {d.r6(d.pct('t.fuel_efficiency_kmpl', 0.5))} AS median_efficiency,
-  {d.r6('STDDEV_SAMP(t.fuel_efficiency_kmpl)')} AS efficiency_stddev, {d.r4('SUM(t.fuel_consumed_l)')} AS total_fuel_l FROM telemetry t JOIN vehicles v ON t.vehid = v.vehid WHERE t.fuel_efficiency_kmpl > 0 GROUP BY v.vehicle_type, v.vehicle_class, v.engine_type, v.is_turbo, v.weight_category, v.displacement_l"""
+    """Efficiency of trips by type, class, engine, turbo and weight, without rows that sum up others."""
+    keys, x = "v.vehicle_type, v.vehicle_class, v.engine_type, v.is_turbo, v.weight_category", "t.fuel_efficiency_kmpl"
+    return f"""SELECT {keys}, COUNT(*) AS trip_count, {d.r6(f'AVG({x})')} AS avg_efficiency, {d.r6(d.pct(x, 0.5))} AS median_efficiency, {d.r6(f'MIN({x})')} AS min_efficiency, {d.r6(f'MAX({x})')} AS max_efficiency, {d.r6(f'STDDEV_SAMP({x})')} AS efficiency_stddev
+FROM telemetry t JOIN vehicles v ON t.vehid = v.vehid WHERE {x} > 0 AND t.trip_id NOT LIKE '%SUMMARY' GROUP BY {keys}"""
 
 
 @op("p3_maintenance_by_group", "telemetry", "vehicles")

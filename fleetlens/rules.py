@@ -36,5 +36,9 @@ BENCHMARKS = (
     ("SUV", "Gasoline", "2.5-3.0L", 11.0), ("SUV", "Gasoline", "3.0-3.5L", 10.0), ("SUV", "Hybrid", "2.5-3.0L", 17.0),
     ("Truck", "Gasoline", "3.5-4.0L", 8.5), ("Truck", "Diesel", "3.0-3.5L", 10.5),
 )
-CRITICAL_FAULTS = ("P0300", "P0301", "P0302", "P0303", "P0304", "P0171")
-WARNING_FAULTS = ("P0420", "P0442", "P0455", "P0128", "P0500")
+CRITICAL_FAULTS = ("P0300", "P0301", "P0302", "P0303", "P0304")
+WARNING_FAULTS = ("P0420", "P0171", "P0172", "P0442")
+# Urgency: points for each fault; from which value on, and with what weight, percents of lost efficiency and minutes of idling count; least points of each level.
+URGENCY_POINTS = {"fault": 10, "loss": (10, 2), "idle": (10, 0.5)}
+URGENCY_LEVELS = ((30, "IMMEDIATE"), (15, "HIGH"), (5, "MEDIUM"))
+URGENCY_LOWEST = "LOW"

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..folders import new_path
 from ..plans import packaged
 from . import tables
 from .views import fleet_views, oracle_ctes
 
 
 def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return new_path(spark, "tables")
 
 
 def upserted(spark, sf_dir):
@@ -64,5 +61,6 @@ def oracle_sql() -> dict[str, str]:
         "f1_upsert_daily": f"WITH {oracle_ctes(['telemetry'])} SELECT aggregation_date, vehid, total_distance_km, fault_count FROM ({daily}) AS d",
         "k2_retention": f"WITH {oracle_ctes(['readings'])} SELECT event_id, vehicle_id, ts FROM readings WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL '14' DAY",
         "k2_update_status": f"WITH {oracle_ctes(['alerts'])} SELECT severity, CASE WHEN status = 'ACTIVE' AND severity <> 'CRITICAL' THEN 'ACKNOWLEDGED' ELSE status END AS status, COUNT(*) AS alerts, COUNT(CASE WHEN status = 'ACTIVE' AND severity <> 'CRITICAL' THEN 1 END) AS changed FROM alerts GROUP BY 1, 2",
+        "k3_table_profile": f"WITH {oracle_ctes(['vehicles', 'telemetry', 'maintenance_history', 'alerts', 'readings'])} " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, unnest(json_keys(to_json(x))) AS column_name, (SELECT COUNT(*) FROM {t}) AS row_count FROM (SELECT * FROM {t} LIMIT 1) AS x" for t in ("vehicles", "telemetry", "maintenance_history", "alerts", "readings")),
         "v4_refresh": packaged.fleet_efficiency_daily.oracle(oracle_ctes(["telemetry"])),
     }

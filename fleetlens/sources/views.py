@@ -45,7 +45,8 @@ FROM ({base}) AS v"""
 
 
 def telemetry(d: Dialect) -> str:
-    base = f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_suppkey AS INT) AS vehid,
+    base = f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_suppkey AS INT) AS vehid, l_shipdate AS shipped,
+  CONCAT('T', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), CASE WHEN l_partkey % 97 = 0 THEN '-SUMMARY' ELSE '' END) AS trip_id,
   l_shipdate + INTERVAL '1' MINUTE * CAST((l_orderkey * 7 + l_linenumber * 131 + l_partkey) % 1440 AS INT) AS ts,
   l_quantity * 2 AS trip_distance_km, CAST(20 + l_partkey % 111 AS DOUBLE) AS avg_speed_kmph,
   4 + l_discount * 100 + l_tax * 100 AS fuel_efficiency_kmpl, CAST(85 + l_orderkey % 36 AS DOUBLE) AS avg_engine_temp_c,
@@ -105,6 +106,7 @@ def readings(d: Dialect) -> str:
   CAST({k} % 101 AS DOUBLE) AS fuel_level_percent, CAST(700 + event_id * 37 % 4300 AS DOUBLE) AS rpm, {ratio('1100 + event_id % 400', '100')} AS battery_voltage,
   {ratio('40000 + event_id * 7 % 1000', '1000')} AS latitude, {ratio('-74500 + event_id * 13 % 1000', '1000')} AS longitude,
   CAST(120 + event_id * 11 % 300 AS DOUBLE) AS oil_pressure_kpa, {ratio('280 + event_id * 3 % 90', '10')} AS tire_pressure_psi,
+  CAST(40 + event_id * 19 % 200 AS DOUBLE) AS brake_temperature_c, CAST(8 + event_id * 23 % 60 AS DOUBLE) AS brake_pressure_bar,
   {ratio('event_id * 17 % 100 - 50', '10')} AS acceleration_x, {ratio('event_id * 29 % 100 - 50', '10')} AS acceleration_y, {ratio('30 + event_id % 200', '10')} AS fuel_consumption_lph,
   CAST(1000 + event_id * 3 AS DOUBLE) AS odometer_km, CONCAT('DRV', CAST(user_id % 40 AS STRING)) AS driver_id
 FROM events"""

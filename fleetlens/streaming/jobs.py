@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-def file_stream(spark: SparkSession, folder: str, schema, name: str = "*", files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema, name: str = "*", files_per_trigger: int | None = 1) -> DataFrame:
+    """Parquet files of a folder as a stream; None: all that are there in one batch, so that the order of files does not matter."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
 
 
 def rate_stream(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:

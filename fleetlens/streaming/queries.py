@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import new_path
 from ..plans.dialect import SPARK, bound
 from ..plans.parts import co2
 from ..rules import FUEL_PRICE
@@ -23,15 +21,14 @@ def streamed_readings(spark: SparkSession, sf_dir: str, delay: str = "10 minutes
     """Readings as a stream of the events file."""
     static = spark.read.parquet(f"{sf_dir}/events.parquet")
     one_file = all(f.endswith("/events.parquet") for f in static.inputFiles())  # else a folder of that name
-    events = jobs.file_stream(spark, sf_dir, static.schema, "events.parquet") if one_file else jobs.file_stream(spark, f"{sf_dir}/events.parquet", static.schema)
+    events = jobs.file_stream(spark, sf_dir, static.schema, "events.parquet", None) if one_file else jobs.file_stream(spark, f"{sf_dir}/events.parquet", static.schema, files_per_trigger=None)
     return windows.with_event_time(spark.sql(bound(readings(SPARK), ("events",)), events=events), delay)
 
 
 def finished(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, and read what it wrote."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     if mode == "append":
         jobs.to_table(df, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{base}/out")
@@ -78,9 +75,10 @@ def queries() -> dict:
         "w5_minute_rates": lambda s, d: windows.minute_rates(r(s, d)),
         "w6_vehicle_agg": lambda s, d: windows.vehicle_agg(r(s, d), "1 hour"),
         "w7_fleet_agg": lambda s, d: windows.fleet_agg(r(s, d)),
+        "w7_fleet_details": lambda s, d: windows.fleet_details(r(s, d)),
         "w8_efficiency_monitor": lambda s, d: windows.efficiency_monitor(t(s, d)),
         "w9_cost_savings": lambda s, d: windows.cost_savings_stream(t(s, d)),
-        "w10_metric_agg": lambda s, d: windows.metric_agg(r(s, d)).drop("percentiles"),
+        "w10_metric_agg": lambda s, d: windows.metric_agg(r(s, d)),
         "w12_driving_patterns": lambda s, d: windows.driving_patterns(r(s, d), ("4 hours", "2 hours"), ("2 hours", "1 hour")),
         "w13_enrich_stream": lambda s, d: enriched(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "vehid", "engine_type", "is_turbo", "weight_category"),
         "w14_fault_join": lambda s, d: windows.fault_join(r(s, d), r(s, d).filter("event_type = 'error'"), "30 minutes").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("reading_ts", "fault_ts")}),
@@ -102,6 +100,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     loss_engine = "CASE WHEN engine_temperature_c > 120 THEN 0.5 WHEN engine_temperature_c > 100 THEN 0.2 ELSE 0 END + CASE WHEN oil_pressure_kpa < 150 THEN 0.3 WHEN oil_pressure_kpa < 180 THEN 0.1 ELSE 0 END + CASE WHEN rpm > 4000 THEN 0.1 ELSE 0 END"
     loss_battery = "CASE WHEN battery_voltage < 11.5 THEN 1.0 WHEN battery_voltage < 12.0 THEN 0.5 WHEN battery_voltage < 12.4 THEN 0.1 ELSE 0 END"
+    loss_brakes = "CASE WHEN brake_temperature_c > 200 THEN 0.8 WHEN brake_temperature_c > 150 THEN 0.3 ELSE 0 END + CASE WHEN brake_pressure_bar < 15 THEN 0.2 ELSE 0 END"
     health = lambda k, x: f"SELECT vehicle_id, '{k}' AS component, {six(f'GREATEST(0, 100 - SUM({x}))')} AS health FROM readings GROUP BY vehicle_id"
     speed = f"MIN(speed_kmh) AS low, MAX(speed_kmh) AS high, MAX(speed_kmh) - MIN(speed_kmh) AS change, {six('AVG(acceleration_x)')} AS acceleration, CAST(NULL AS DOUBLE) AS spread, CAST(NULL AS DOUBLE) AS speed"
     side = f"CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS DOUBLE) AS change, {six('AVG(acceleration_y)')} AS acceleration, {six('STDDEV_SAMP(acceleration_y)')} AS spread, {six('AVG(speed_kmh)')} AS speed"
@@ -118,16 +117,21 @@ def oracle_sql() -> dict[str, str]:
     by_minute = windowed("readings", 60, None, "event_type", "COUNT(*) AS readings")
     out = {
         "w2_tumbling_fleet": _with("telemetry", windowed("telemetry", 300, None, "vehicle_type", f"COUNT(*) AS trips, {six('SUM(trip_distance_km)')} AS distance_km, {six('AVG(fuel_efficiency_kmpl)')} AS avg_efficiency, COUNT(*) FILTER (WHERE has_fault) AS faults")),
+        "w3_sliding_fleet": _with("telemetry", windowed("telemetry", 600, 120, "", f"COUNT(DISTINCT vehid) AS active_vehicles, {six('AVG(avg_speed_kmph)')} AS avg_speed, {six('quantile_cont(avg_speed_kmph, 0.5)')} AS median_speed")),
+        "w7_fleet_agg": _with("readings", windowed("readings", 60, None, "", f"COUNT(DISTINCT vehicle_id) AS vehicles, COUNT(*) AS readings, {six('AVG(speed_kmh)')} AS avg_speed")),
+        "w7_fleet_details": _with("readings", "SELECT date_trunc('minute', ts) AS window_start, date_trunc('minute', ts) + INTERVAL '1' MINUTE AS window_end, vehicle_id, event_id, speed_kmh FROM readings"),
+        "w8_efficiency_monitor": _with("telemetry", windowed("telemetry", 600, 300, "vehicle_type", ", ".join(f"{six(x)} AS {n}" for n, x in (("q1", "quantile_cont(fuel_efficiency_kmpl, 0.25)"), ("median", "quantile_cont(fuel_efficiency_kmpl, 0.5)"), ("q3", "quantile_cont(fuel_efficiency_kmpl, 0.75)"), ("iqr", "quantile_cont(fuel_efficiency_kmpl, 0.75) - quantile_cont(fuel_efficiency_kmpl, 0.25)"))))),
+        "w23_live_kpis": _with("readings", f"SELECT COUNT(DISTINCT vehicle_id) AS active_vehicles, COUNT(*) AS messages, {six('AVG(speed_kmh)')} AS avg_speed, {six('AVG(fuel_level_percent)')} AS avg_fuel, COUNT(*) FILTER (WHERE event_type = 'error') AS faults, COUNT(*) FILTER (WHERE engine_temperature_c > 110) AS alerts FROM readings"),
         "w4_trip_sessions": _with("readings", sessions(300)),
         "w5_minute_rates": _with("readings", by_minute),
         "w6_vehicle_agg": _with("readings", windowed("readings", 3600, None, "vehicle_id", f"COUNT(*) AS readings, {six('AVG(speed_kmh)')} AS avg_speed, MAX(speed_kmh) AS max_speed, MIN(speed_kmh) AS min_speed, {six('STDDEV_SAMP(speed_kmh)')} AS speed_stddev, {six('AVG(engine_temperature_c)')} AS avg_temperature, MAX(engine_temperature_c) AS max_temperature, {six('AVG(fuel_level_percent)')} AS avg_fuel, {six('AVG(battery_voltage)')} AS avg_voltage, arg_max(latitude, ts) AS last_latitude, arg_max(longitude, ts) AS last_longitude")),
         "w9_cost_savings": _with("telemetry", windowed("telemetry", 900, None, "vehid", f"{six(f'SUM(fuel_consumed_l * {FUEL_PRICE})')} AS fuel_cost, {six(f'SUM(CASE WHEN driver_behavior_score < 0.8 THEN fuel_consumed_l * {FUEL_PRICE} * 0.1 ELSE 0 END)')} AS driving_savings, {six(f'SUM(CASE WHEN idle_time_min > 10 THEN idle_time_min / 60 * 0.5 * {FUEL_PRICE} ELSE 0 END)')} AS idle_savings")),
-        "w10_metric_agg": _with("readings", " UNION ALL ".join(windowed("readings", 300, 60, "vehicle_id", f"'{m}' AS metric, COUNT({m}) AS n, {six(f'AVG({m})')} AS mean, MIN({m}) AS low, MAX({m}) AS high, {six(f'STDDEV_POP({m})')} AS std") for m in windows.KINDS)),
+        "w10_metric_agg": _with("readings", " UNION ALL ".join(windowed("readings", 300, 60, "vehicle_id", f"'{m}' AS metric, COUNT({m}) AS n, {six(f'AVG({m})')} AS mean, MIN({m}) AS low, MAX({m}) AS high, {six(f'STDDEV_POP({m})')} AS std, {six(f'quantile_cont({m}, 0.5)')} AS median, {six(f'quantile_cont({m}, 0.95)')} AS p95") for m in windows.KINDS)),
         "w12_driving_patterns": _with("readings", f"SELECT * FROM ({patterns}) AS p"),
         "w13_enrich_stream": _with("vehicles,telemetry", "SELECT l_orderkey, l_linenumber, l_partkey, t.vehid, engine_type, is_turbo, weight_category FROM telemetry t LEFT JOIN vehicles v ON t.vehid = v.vehid"),
         "w14_fault_join": _with("readings", "SELECT r.vehicle_id, r.event_id AS reading_id, r.ts AS reading_ts, r.speed_kmh, f.event_id AS fault_id, f.ts AS fault_ts FROM readings r JOIN readings f ON r.vehicle_id = f.vehicle_id AND f.event_type = 'error' AND f.ts >= r.ts AND f.ts <= r.ts + INTERVAL '30' MINUTE"),
-        "w19_stream_metrics": _with("vehicles,telemetry", f"SELECT l_orderkey, l_linenumber, l_partkey, t.vehid, CASE WHEN regexp_matches(fault_codes, 'P030[0-4]|P0171') THEN 'CRITICAL' WHEN has_fault THEN 'WARNING' ELSE 'NONE' END AS fault_severity, {six(f'fuel_consumed_l * {co2("v.engine_type", "2.31")}')} AS co2_kg, {six(f'fuel_consumed_l * {FUEL_PRICE} / NULLIF(trip_distance_km, 0)')} AS cost_per_km, {six('driver_behavior_score * 100 - CASE WHEN has_fault THEN 10 ELSE 0 END')} AS trip_score FROM telemetry t LEFT JOIN vehicles v ON t.vehid = v.vehid"),
-        "w21_component_health": _with("readings", f"SELECT *, CASE WHEN health < 10 THEN 1 WHEN health < 20 THEN 3 WHEN health < 30 THEN 7 END AS days_left, CASE WHEN health < 30 THEN 'critical' WHEN health < 70 THEN 'warning' ELSE 'healthy' END AS state FROM ({health('engine', loss_engine)} UNION ALL {health('battery', loss_battery)}) AS h"),
+        "w19_stream_metrics": _with("vehicles,telemetry", f"SELECT l_orderkey, l_linenumber, l_partkey, t.vehid, CASE WHEN fault_codes IS NULL THEN 'NONE' ELSE CASE regexp_extract(fault_codes, '(P030[0-4]|P0420|P0171|P0172|P0442)', 1) WHEN '' THEN 'INFO' WHEN 'P0420' THEN 'WARNING' WHEN 'P0171' THEN 'WARNING' WHEN 'P0172' THEN 'WARNING' WHEN 'P0442' THEN 'WARNING' ELSE 'CRITICAL' END END AS fault_severity, {six(f'fuel_consumed_l * {co2("v.engine_type", "2.31")}')} AS co2_kg, {six(f'fuel_consumed_l * {FUEL_PRICE} / NULLIF(trip_distance_km, 0)')} AS cost_per_km, {six('driver_behavior_score * 100 - CASE WHEN has_fault THEN 10 ELSE 0 END')} AS trip_score FROM telemetry t LEFT JOIN vehicles v ON t.vehid = v.vehid"),
+        "w21_component_health": _with("readings", f"SELECT *, CASE WHEN health < 10 THEN 1 WHEN health < 20 THEN 3 WHEN health < 30 THEN 7 END AS days_left, CASE WHEN health < 30 THEN 'critical' WHEN health < 70 THEN 'warning' ELSE 'healthy' END AS state FROM ({health('engine', loss_engine)} UNION ALL {health('brakes', loss_brakes)} UNION ALL {health('battery', loss_battery)}) AS h"),
         "w22_message_stats": _with("readings", f"SELECT vehicle_id, COUNT(*) AS messages, MAX(ts) AS last_seen, {six('SUM(speed_kmh)')} AS total_speed, MAX(speed_kmh) AS max_speed, {six('AVG(speed_kmh / NULLIF(rpm, 0))')} AS speed_rpm_ratio, {six('MAX(engine_temperature_c) - MIN(engine_temperature_c)')} AS temperature_range FROM readings GROUP BY vehicle_id"),
         "w23_latest_by_vehicle": _with("readings", "SELECT vehicle_id, ts, event_id, speed_kmh, engine_temperature_c FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id DESC) AS n FROM readings) AS r WHERE n = 1"),
         "w23_last_n": _with("readings", "SELECT vehicle_id, event_id, n AS nth FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id DESC) AS n FROM readings) AS r WHERE n <= 50"),

@@ -82,11 +82,13 @@ def alert_stream(readings: DataFrame, size: int = 11) -> DataFrame:
 
 
 def wear(df: DataFrame) -> DataFrame:
-    """What each reading takes from the health of engine and battery."""
-    hot, oil, rpm, volts = (F.col(c) for c in ("engine_temperature_c", "oil_pressure_kpa", "rpm", "battery_voltage"))
+    """What each reading takes from the health of engine, brakes and battery."""
+    hot, oil, rpm, volts, brake, press = (F.col(c) for c in ("engine_temperature_c", "oil_pressure_kpa", "rpm", "battery_voltage", "brake_temperature_c", "brake_pressure_bar"))
     engine = F.when(hot > 120, 0.5).when(hot > 100, 0.2).otherwise(0.0) + F.when(oil < 150, 0.3).when(oil < 180, 0.1).otherwise(0.0) + F.when(rpm > 4000, 0.1).otherwise(0.0)
     battery = F.when(volts < 11.5, 1.0).when(volts < 12.0, 0.5).when(volts < 12.4, 0.1).otherwise(0.0)
-    return df.select("vehicle_id", "event_id", "ts", F.explode(F.array(F.struct(F.lit("engine").alias("component"), engine.alias("loss")), F.struct(F.lit("battery").alias("component"), battery.alias("loss")))).alias("w")).select("vehicle_id", "event_id", "ts", "w.*")
+    brakes = F.when(brake > 200, 0.8).when(brake > 150, 0.3).otherwise(0.0) + F.when(press < 15, 0.2).otherwise(0.0)
+    parts = F.array(*(F.struct(F.lit(n).alias("component"), x.alias("loss")) for n, x in (("engine", engine), ("brakes", brakes), ("battery", battery))))
+    return df.select("vehicle_id", "event_id", "ts", F.explode(parts).alias("w")).select("vehicle_id", "event_id", "ts", "w.*")
 
 
 def component_health_stream(readings: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import fault_severity
 from ..rules import CO2_KG_PER_LITRE, FUEL_PRICE
 
 KINDS = ("speed_kmh", "engine_temperature_c")
@@ -29,6 +30,16 @@ def r6(x: Column) -> Column:
     return F.round(x.cast("double") + 1.3e-9, 6)
 
 
+def distinct(df: DataFrame, column: str) -> Column:
+    """How many values a column has: approximate in the state of a stream, exact on a static frame."""
+    return F.approx_count_distinct(column) if df.isStreaming else F.count_distinct(F.col(column))
+
+
+def quantile(df: DataFrame, column: str, p: float) -> Column:
+    """A quantile: approximate (1 in 10,000 of rank) in the state of a stream, exact on a static frame."""
+    return F.percentile_approx(column, p, 10000) if df.isStreaming else F.percentile(column, p)
+
+
 def tumbling_fleet(trips: DataFrame, size: str = "5 minutes") -> DataFrame:
     """Trips, distance, efficiency and faults by window and vehicle type."""
     return started(trips.groupBy(F.window("ts", size), "vehicle_type").agg(
@@ -38,7 +49,7 @@ def tumbling_fleet(trips: DataFrame, size: str = "5 minutes") -> DataFrame:
 def sliding_fleet(trips: DataFrame, size: str = "10 minutes", slide: str = "2 minutes") -> DataFrame:
     """Active vehicles (approximate), mean and median speed by sliding window."""
     return started(trips.groupBy(F.window("ts", size, slide)).agg(
-        F.approx_count_distinct("vehid").alias("active_vehicles"), r6(F.avg("avg_speed_kmph")).alias("avg_speed"), F.percentile_approx("avg_speed_kmph", 0.5, 10000).alias("median_speed")))
+        distinct(trips, "vehid").alias("active_vehicles"), r6(F.avg("avg_speed_kmph")).alias("avg_speed"), r6(quantile(trips, "avg_speed_kmph", 0.5)).alias("median_speed")))
 
 
 def trip_sessions(readings: DataFrame, gap: str = "5 minutes") -> DataFrame:
@@ -61,15 +72,19 @@ def vehicle_agg(readings: DataFrame, size: str = "5 minutes") -> DataFrame:
 
 
 def fleet_agg(readings: DataFrame, size: str = "1 minute") -> DataFrame:
-    """Fleet figures by minute with a list of the readings (as many as a minute has)."""
-    return started(readings.groupBy(F.window("ts", size)).agg(
-        F.approx_count_distinct("vehicle_id").alias("vehicles"), r6(F.avg("speed_kmh")).alias("avg_speed"), F.collect_list(F.struct("vehicle_id", "speed_kmh")).alias("details")))
+    """Fleet figures by minute; `fleet_details` gives the readings behind them."""
+    return started(readings.groupBy(F.window("ts", size)).agg(distinct(readings, "vehicle_id").alias("vehicles"), F.count(F.lit(1)).alias("readings"), r6(F.avg("speed_kmh")).alias("avg_speed")))
+
+
+def fleet_details(readings: DataFrame, size: str = "1 minute") -> DataFrame:
+    """Each reading under its window: rows, so that a minute's readings are never gathered in one row or in state."""
+    return started(readings.select(F.window("ts", size), "vehicle_id", "event_id", "speed_kmh"))
 
 
 def efficiency_monitor(trips: DataFrame, size: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
     """Quartiles of efficiency by type and sliding window, and their range."""
-    q = lambda p: F.percentile_approx("fuel_efficiency_kmpl", p, 10000)
-    return started(trips.groupBy(F.window("ts", size, slide), "vehicle_type").agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr")))
+    q = lambda p: quantile(trips, "fuel_efficiency_kmpl", p)
+    return started(trips.groupBy(F.window("ts", size, slide), "vehicle_type").agg(r6(q(0.25)).alias("q1"), r6(q(0.5)).alias("median"), r6(q(0.75)).alias("q3"), r6(q(0.75) - q(0.25)).alias("iqr")))
 
 
 def cost_savings_stream(trips: DataFrame, size: str = "15 minutes") -> DataFrame:
@@ -84,7 +99,7 @@ def metric_agg(readings: DataFrame, metrics=KINDS, size: str = "5 minutes", slid
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics)))
     long = readings.select("ts", "vehicle_id", pairs.alias("m")).select("ts", "vehicle_id", "m.metric", "m.value")
     return started(long.groupBy(F.window("ts", size, slide), "vehicle_id", "metric").agg(
-        F.count("value").alias("n"), r6(F.avg("value")).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), r6(F.stddev_pop("value")).alias("std"), F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95)), 10000).alias("percentiles")))
+        F.count("value").alias("n"), r6(F.avg("value")).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), r6(F.stddev_pop("value")).alias("std"), *(r6(quantile(readings, "value", p)).alias(n) for n, p in (("median", 0.5), ("p95", 0.95)))))
 
 
 def driving_patterns(readings: DataFrame, long: tuple[str, str] = ("30 seconds", "10 seconds"), short: tuple[str, str] = ("10 seconds", "5 seconds")) -> DataFrame:
@@ -122,7 +137,7 @@ def stream_metrics(trips: DataFrame) -> DataFrame:
     """Fault severity, CO2, cost by kilometre and score of each trip; trips must have engine_type."""
     factor = F.create_map(*(F.lit(x) for kv in CO2_KG_PER_LITRE.items() for x in kv))
     return trips.withColumns({
-        "fault_severity": F.when(F.col("fault_codes").rlike("P030[0-4]|P0171"), "CRITICAL").when(F.col("has_fault"), "WARNING").otherwise("NONE"),
+        "fault_severity": fault_severity(F.split("fault_codes", ",")),
         "co2_kg": r6(F.col("fuel_consumed_l") * F.coalesce(F.try_element_at(factor, F.col("engine_type")), F.lit(2.31))),
         "cost_per_km": r6(F.try_divide(F.col("fuel_consumed_l") * FUEL_PRICE, F.col("trip_distance_km"))),
         "trip_score": r6(F.col("driver_behavior_score") * 100 - F.col("has_fault").cast("int") * 10),
@@ -137,7 +152,7 @@ def message_stats(readings: DataFrame) -> DataFrame:
 
 def live_kpis(readings: DataFrame) -> DataFrame:
     """One row of live figures; update or complete mode on streams."""
-    return readings.groupBy().agg(F.approx_count_distinct("vehicle_id").alias("active_vehicles"), F.count(F.lit(1)).alias("messages"), r6(F.avg("speed_kmh")).alias("avg_speed"), r6(F.avg("fuel_level_percent")).alias("avg_fuel"), F.count_if(F.col("event_type") == "error").alias("faults"), F.count_if(F.col("engine_temperature_c") > 110).alias("alerts"))
+    return readings.groupBy().agg(distinct(readings, "vehicle_id").alias("active_vehicles"), F.count(F.lit(1)).alias("messages"), r6(F.avg("speed_kmh")).alias("avg_speed"), r6(F.avg("fuel_level_percent")).alias("avg_fuel"), F.count_if(F.col("event_type") == "error").alias("faults"), F.count_if(F.col("engine_temperature_c") > 110).alias("alerts"))
 
 
 def latest_by_vehicle(readings: DataFrame) -> DataFrame:
