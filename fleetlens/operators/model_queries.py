@@ -8,6 +8,8 @@ from ..sources.views import fleet_views, oracle_ctes
 from . import analysis, features, models
 
 R = models.READING_FEATURES
+#: Trees and depth of the registered queries; the operator has 100 and 10.
+FOREST = (20, 8)
 
 
 def readings(spark, sf_dir):
@@ -21,7 +23,7 @@ def maintenance(spark, sf_dir):
 
 def predicted(spark, sf_dir):
     frame, vehicles = maintenance(spark, sf_dir)
-    model, _, _ = models.train_maintenance_model(frame)
+    model, _, _ = models.train_maintenance_model(frame, *FOREST)
     return models.predict_maintenance(model, frame, vehicles)
 
 
@@ -40,8 +42,8 @@ def queries() -> dict:
     return {
         "a5_isolation_forest": lambda s, d: models.isolation_forest(readings(s, d), R, "event_id"),
         "a5_anomaly_profile": anomaly_profile,
-        "m2_maintenance_model": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0])[1],
-        "m2_importances": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0])[2],
+        "m2_maintenance_model": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0], *FOREST)[1],
+        "m2_importances": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0], *FOREST)[2],
         "m3_predict_maintenance": predicted,
         "w17_kmeans_anomaly": lambda s, d: models.kmeans_anomaly(readings(s, d), R, "event_id"),
         "w27_maintenance_regression": lambda s, d: models.maintenance_regression(models.vehicle_periods(fleet_views(s, d, ("telemetry",))["telemetry"])),
@@ -49,7 +51,7 @@ def queries() -> dict:
         "n14_select_features": lambda s, d: models.select_features(maintenance(s, d)[0], models.FEATURES, "label", 5),
         "n15_pca": lambda s, d: models.pca(readings(s, d), R, len(R)),
         "n15_svd": lambda s, d: models.svd(readings(s, d), R),
-        "n17_cluster_features": lambda s, d: models.cluster_features(readings(s, d), R),
+        "n17_cluster_features": lambda s, d: models.cluster_features(readings(s, d), R, most=5),
         "n18_feature_pipeline": lambda s, d: models.FeaturePipeline(R).fit(readings(s, d)).transform(readings(s, d), "event_id"),
         "n20_compare_models": lambda s, d: models.compare_models(maintenance(s, d)[0], models.FEATURES),
         "n22_consensus_anomaly": lambda s, d: models.consensus_anomaly(readings(s, d), R, "event_id"),
