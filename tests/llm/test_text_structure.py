@@ -129,7 +129,7 @@ def variants(rows):
 def test_spelling_variants_equal_brute_force(spark, frame, monkeypatch):
     rng = random.Random(8)
     stems = ["".join(rng.choices("abé", k=rng.randint(5, 9))) for _ in range(30)] + ["aaaaa", "aaaaaa", "aaaaaaa", "caaaaa", "prefix", "prefixe", "prefixes", "Ÿzzzzz", "×÷×÷×"]
-    rows = list(ODD_ROWS)
+    rows = [*ODD_ROWS, (7, "lmnop " * 3 + "lmnopq " * 7 + "lmnopqr " * 20)]
     for doc in range(60):
         words = []
         for _ in range(60):
