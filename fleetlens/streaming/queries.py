@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import new_path
-from ..plans.dialect import SPARK, bound
+from ..operators import features
+from ..plans.dialect import ORACLE, SPARK, bound
 from ..plans.parts import co2
 from ..rules import FUEL_PRICE
 from ..sources.views import fleet_views, oracle_ctes, readings
 from . import jobs, state, windows
+from .replay import Replay, Run, arrivals, play
 
 
 def static(name: str):
@@ -40,11 +44,66 @@ def finished(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+#: Replays of the readings: slices; seconds from an event to its arrival (one in 97 is five days late, faults come sooner);
+#: hours of the watermarks' delays, of readings and of faults.
+SLICES = 4
+LATE = "CASE WHEN event_id % 97 = 0 THEN 432000 ELSE event_id * 7919 % 10800 END"
+LATE_FAULTS = "CASE WHEN event_id % 89 = 0 THEN 700000 ELSE event_id * 31 % 600 END"
+HOURS, FAULT_HOURS = 2, 6
+
+
+def replayed(spark: SparkSession, sf_dir: str, build, mode: str = "append") -> Run:
+    """A stream operator over all readings, in slices of arrival, with a restart after each."""
+    rows = fleet_views(spark, sf_dir, ("readings",))["readings"]
+    return play([Replay(arrivals(rows, SLICES, F.expr(LATE)))], lambda s: build(windows.with_event_time(s, f"{HOURS} hours")), mode)
+
+
+def fault_join_run(spark: SparkSession, sf_dir: str) -> Run:
+    """Readings and faults as two streams, each with slices and delays of its own."""
+    rows = fleet_views(spark, sf_dir, ("readings",))["readings"]
+    sides = [Replay(arrivals(rows, SLICES, F.expr(LATE))), Replay(arrivals(rows.filter("event_type = 'error'"), SLICES, F.expr(LATE_FAULTS)))]
+    join = lambda r, f: windows.fault_join(windows.with_event_time(r, f"{HOURS} hours"), windows.with_event_time(f, f"{FAULT_HOURS} hours"), "30 minutes")
+    return play(sides, join)
+
+
+def late_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the windows' state reports of each slice: rows read, and groups (window and kind of event) that came too late."""
+    run = replayed(spark, sf_dir, windows.minute_rates)
+    rows = [(k, sum(int(p["numInputRows"]) for p in run.progress[k]), run.total(k, "numRowsDroppedByWatermark")) for k in run.progress]
+    return spark.createDataFrame(rows, "slice int, rows_read long, groups_dropped long")
+
+
 def newest(df: DataFrame, *keys: str) -> DataFrame:
     """Of update-mode output, each key's row of the latest batch."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys and c != "batch")), "batch").alias("r")).select(*keys, "r.*")
 
 
+def sliced_sql(name: str, rows: str, late: str, hours: int) -> str:
+    """DuckDB: rows with their slice, and the mark after each slice (`<name>_rows`, `<name>_marks`)."""
+    return f"""{name}_at AS (SELECT *, epoch_us(ts) + ({late}) * 1000000 AS at_us FROM {rows}),
+{name}_rows AS (SELECT r.*, CAST((at_us - low) * {SLICES} // (high - low + 1) AS INT) AS slice FROM {name}_at AS r, (SELECT MIN(at_us) AS low, MAX(at_us) AS high FROM {name}_at) AS b),
+{name}_marks AS (SELECT slice, MAX(MAX(epoch_us(ts) // 1000)) OVER (ORDER BY slice) - {hours * 3600000} AS mark FROM {name}_rows GROUP BY slice)"""
+
+
+def replay_sql(select: str, grain_ms: int = 1) -> str:
+    """DuckDB over the replayed readings: sliced (with the mark before and after), kept (not late), passed (and behind the last mark)."""
+    return f"""WITH {oracle_ctes(["readings"])}, {sliced_sql("r", "readings", LATE, HOURS)},
+before AS (SELECT slice, mark, COALESCE(LAG(mark) OVER (ORDER BY slice), 0) AS before FROM r_marks),
+sliced AS (SELECT r.*, before, mark FROM r_rows AS r JOIN before USING (slice)), last AS (SELECT MAX(mark) AS mark FROM r_marks),
+kept AS (SELECT * FROM sliced WHERE epoch_us(ts) > before * 1000),
+passed AS (SELECT * FROM kept WHERE (epoch_us(ts) // {1000 * grain_ms} + 1) * {grain_ms} - 1 < (SELECT mark FROM last)) {select}"""
+
+
+def over_passed(text: str) -> str:
+    """A batch twin's SQL over the rows that the stream has handed over."""
+    return re.sub(r"\bFROM readings\b", "FROM passed", text)
+
+
+#: A vehicle's run ends after a pause of half a day in the test tables; alerts: as in the batch twin.
+RUN_TIMEOUT_S = 43200
+STALE_S, TIME_SCALE = 300, 60
+
+
 def slots(seconds: int, slide: int | None = None, column: str = "ts") -> str:
     """DuckDB: epoch seconds of the start of every window that holds the row."""
     slide = slide or seconds
@@ -88,12 +147,16 @@ def queries() -> dict:
         "w23_live_kpis": lambda s, d: windows.live_kpis(r(s, d)),
         "w23_latest_by_vehicle": lambda s, d: windows.latest_by_vehicle(r(s, d)),
         "w23_last_n": lambda s, d: windows.last_n_by_vehicle(r(s, d)).select("vehicle_id", "event_id", "nth"),
-        "w1_late_rows_dropped": lambda s, d: finished(windows.minute_rates(streamed_readings(s, d, "5 minutes"))),
+        "w1_late_rows_dropped": lambda s, d: replayed(s, d, windows.minute_rates).out,
+        "w1_late_by_slice": late_by_slice,
         "w4_sessions_stream": lambda s, d: finished(windows.trip_sessions(streamed_readings(s, d), "15 minutes")),
-        "w11_zscore_stream": lambda s, d: finished(state.rolling_zscore_stream(streamed_readings(s, d))),
-        "w16_vehicle_state": lambda s, d: newest(finished(state.vehicle_state(streamed_readings(s, d), None), "update"), "vehicle_id"),
-        "w18_alert_stream": lambda s, d: finished(state.alert_stream(streamed_readings(s, d))),
-        "w21_health_stream": lambda s, d: newest(finished(state.component_health_stream(streamed_readings(s, d)), "update"), "vehicle_id", "component"),
+        "w11_zscore_stream": lambda s, d: replayed(s, d, state.rolling_zscore_stream).out,
+        "w14_fault_join_streams": lambda s, d: fault_join_run(s, d).out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("reading_ts", "fault_ts")}),
+        "w16_vehicle_runs": lambda s, d: replayed(s, d, lambda r: state.vehicle_runs(r, RUN_TIMEOUT_S)).out,
+        "w18_alert_stream": lambda s, d: replayed(s, d, state.alert_stream).out,
+        "w21_health_stream": lambda s, d: newest(replayed(s, d, state.component_health_stream, "update").out, "vehicle_id", "component").withColumn("health", windows.r6(F.col("health"))),
+        "w24_alert_states": lambda s, d: replayed(s, d, lambda r: state.sustained_alert_stream(r, STALE_S, TIME_SCALE)).out,
+        "w24_firing_stream": lambda s, d: replayed(s, d, lambda r: state.sustained_alert_stream(r, STALE_S, TIME_SCALE)).out.filter("state = 'resolved'").drop("state"),
     }
 
 
@@ -135,7 +198,23 @@ def oracle_sql() -> dict[str, str]:
         "w22_message_stats": _with("readings", f"SELECT vehicle_id, COUNT(*) AS messages, MAX(ts) AS last_seen, {six('SUM(speed_kmh)')} AS total_speed, MAX(speed_kmh) AS max_speed, {six('AVG(speed_kmh / NULLIF(rpm, 0))')} AS speed_rpm_ratio, {six('MAX(engine_temperature_c) - MIN(engine_temperature_c)')} AS temperature_range FROM readings GROUP BY vehicle_id"),
         "w23_latest_by_vehicle": _with("readings", "SELECT vehicle_id, ts, event_id, speed_kmh, engine_temperature_c FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id DESC) AS n FROM readings) AS r WHERE n = 1"),
         "w23_last_n": _with("readings", "SELECT vehicle_id, event_id, n AS nth FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, event_id DESC) AS n FROM readings) AS r WHERE n <= 50"),
-        "w1_late_rows_dropped": _with("readings", f"SELECT * FROM ({by_minute}) AS m WHERE window_end <= (SELECT MAX(ts) - INTERVAL '5' MINUTE FROM readings)"),
+        "w1_late_rows_dropped": replay_sql(f"""SELECT make_timestamp(w * 1000000) AS window_start, make_timestamp((w + 60) * 1000000) AS window_end, event_type, COUNT(*) AS readings
+FROM (SELECT *, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS w FROM sliced) AS x WHERE (w + 60) * 1000 > before AND (w + 60) * 1000 <= (SELECT mark FROM last) GROUP BY w, event_type"""),
+        "w1_late_by_slice": replay_sql("""SELECT slice, COUNT(*) AS rows_read, COUNT(DISTINCT CASE WHEN (w + 60) * 1000 <= before THEN CAST(w AS VARCHAR) || event_type END) AS groups_dropped
+FROM (SELECT *, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS w FROM sliced) AS x GROUP BY slice"""),
+        "w11_zscore_stream": replay_sql(f"SELECT vehicle_id, event_id, ts, value, z_score, anomaly_score, severity FROM ({over_passed(features.rolling_zscore.build(ORACLE))}) AS z"),
+        "w14_fault_join_streams": f"""WITH {oracle_ctes(["readings"])}, {sliced_sql("r", "readings", LATE, HOURS)}, faults AS (SELECT * FROM readings WHERE event_type = 'error'), {sliced_sql("f", "faults", LATE_FAULTS, FAULT_HOURS)},
+marks AS (SELECT slice, least((SELECT MAX(mark) FROM r_marks WHERE r_marks.slice <= s.slice), (SELECT MAX(mark) FROM f_marks WHERE f_marks.slice <= s.slice)) AS mark FROM (SELECT slice FROM r_marks UNION SELECT slice FROM f_marks) AS s),
+before AS (SELECT slice, COALESCE(LAG(mark) OVER (ORDER BY slice), 0) AS before FROM marks),
+r AS (SELECT r_rows.* FROM r_rows JOIN before USING (slice) WHERE epoch_us(ts) > before * 1000), f AS (SELECT f_rows.* FROM f_rows JOIN before USING (slice) WHERE epoch_us(ts) > before * 1000)
+SELECT r.vehicle_id, r.event_id AS reading_id, r.ts AS reading_ts, r.speed_kmh, f.event_id AS fault_id, f.ts AS fault_ts FROM r JOIN f ON r.vehicle_id = f.vehicle_id AND f.ts >= r.ts AND f.ts <= r.ts + INTERVAL '30' MINUTE""",
+        "w16_vehicle_runs": replay_sql(f"""SELECT vehicle_id, started, last_update, events, distance, faults, TRUE AS expired FROM (SELECT vehicle_id, MIN(ts) AS started, MAX(ts) AS last_update, COUNT(*) AS events, {six('SUM(speed_kmh / 60)')} AS distance,
+  COUNT(*) FILTER (WHERE event_type = 'error') AS faults, run < MAX(run) OVER (PARTITION BY vehicle_id) AS followed FROM (SELECT *, SUM(CASE WHEN epoch_us(ts) - epoch_us(was) > {RUN_TIMEOUT_S * 1000000} THEN 1 ELSE 0 END) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id) AS run
+  FROM (SELECT *, LAG(ts) OVER (PARTITION BY vehicle_id ORDER BY ts, event_id) AS was FROM passed) AS l) AS x GROUP BY vehicle_id, run) AS g WHERE followed OR epoch_us(last_update) // 1000 + {RUN_TIMEOUT_S * 1000} < (SELECT mark FROM last)"""),
+        "w18_alert_stream": replay_sql(f"SELECT vehicle_id, event_id, ts, alert_type, priority, heat_rise, mean_voltage FROM ({over_passed(features.generate_alerts.build(ORACLE))}) AS a"),
+        "w24_firing_stream": replay_sql(f"""SELECT i.vehicle_id, alert, since, until, readings, required_s FROM ({over_passed(features.sustained_alerts.build(ORACLE, stale_s=STALE_S, time_scale=TIME_SCALE))}) AS i
+JOIN (SELECT vehicle_id, MAX(ts) AS newest FROM passed GROUP BY vehicle_id) AS v ON i.vehicle_id = v.vehicle_id WHERE until < newest OR epoch_us(newest) // 1000 + {(STALE_S * TIME_SCALE + 1) * 1000} < (SELECT mark FROM last)""", 1000),
         "w4_sessions_stream": _with("readings", f"SELECT * FROM ({sessions(900)}) AS s WHERE window_end <= (SELECT MAX(ts) - INTERVAL '10' MINUTE FROM readings)"),
     }
+    out["w21_health_stream"] = out["w21_component_health"]
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import analysis, cleaning, enrichment, features
 from fleetlens.plans.dialect import SPARK
-from fleetlens.streaming import jobs, state, windows
+from fleetlens.streaming import jobs, windows
 
 START = dt.datetime(2024, 1, 1)
 
@@ -82,18 +82,6 @@ def test_windows_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
-def test_rolling_zscore_stream_equals_batch(spark, tmp_path):
-    df = readings(spark, [10 + k % 3 for k in range(40)] + [90] + [11] * 5)
-    got = finish(state.rolling_zscore_stream(stream_of(spark, tmp_path, [df])), tmp_path)
-    want = features.rolling_zscore(readings=df)
-    assert [r["event_id"] for r in got.orderBy("event_id").collect()] == [r["event_id"] for r in want.orderBy("event_id").collect()] == [40]
-
-
-def test_vehicle_state(spark, tmp_path):
-    rows = finish(state.vehicle_state(stream_of(spark, tmp_path, [readings(spark, [60, 60])]), None), tmp_path, "update").collect()
-    assert [(r["events"], r["distance"], r["expired"]) for r in rows] == [(2, 2.0, False)]
-
-
 def test_stream_job(spark, tmp_path):
     df = stream_of(spark, tmp_path, [readings(spark, [1, 2, 3])])
     job = jobs.StreamJob({"rates": (lambda: df.select("vehicle_id"), lambda x: jobs.to_memory(x, "rates"))}).start().wait()
