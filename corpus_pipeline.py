@@ -11,60 +11,33 @@ last, whatever their names. An empty table gives an empty result at every stage.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.folders import noted, remove
 from fleetlens.llm import decontaminate, jaccard_join, mixing, quality_rules, token_ids
-from fleetlens.llm.common import new_path
+from fleetlens.llm.common import new_path, scratch
 
 #: Near duplicates: words of a shingle, and the least similarity in percent (op9 by itself has 3 and 90).
 SHINGLE, PERCENT = 5, 80
 
-#: Intermediate folders of stages that have run, and the files that the last of them read.
-_made: list[str] = []
-_read: list[str] = []
 
-
-def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, which first removes the intermediate tables of the one before: its result is written if docs is another table."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = sorted(docs.inputFiles())
-        if files != _read:
-            remove(spark, [f for f in _made if not any(f.rsplit("/", 1)[1] in file for file in files)])
-            _made.clear()
-        _read[:] = files
-        with noted(_made):
-            return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
-@tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@tidy
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-@tidy
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_path(spark, "corpus")
     token_ids.write_ids(docs, path)
@@ -79,15 +52,21 @@ STAGES = [
     ("token-id output", token_output),
 ]
 
-#: Tokenizers and quantile sketches have no SQL form; tests/llm hold run() against a brute-force version.
+#: Tokenizers and quantile sketches have no SQL form; tests/llm hold run() against its stages one by one, and each operator against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each over the Parquet that the one before wrote."""
+    """Apply the stages to documents, each over the Parquet that the one before wrote.
+
+    A stage's intermediate tables go when its result is written; the last one's are the token files, and stay. Stages that
+    are called by themselves give lazy results: what these need stays until the driver's process ends, or until the `scratch`
+    that the caller has open is left.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark) if k < len(STAGES) - 1 else nullcontext():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

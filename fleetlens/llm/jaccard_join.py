@@ -340,9 +340,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     same = known.select("doc_id", "n", "fp1", "fp2").join(twice, "doc_id").join(classes, ["n", "fp1", "fp2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.union(same))
-    out = join_groups(every.select("doc_id", "n", "fp1", "fp2"), classes, ["n", "fp1", "fp2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = out.join(final, out.rep == final.node, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "rep"))).alias("component_id"))
+    # Rows without words have no class, and those without an id no component: neither is joined by a key that many share.
+    out = join_groups(known.select("doc_id", "n", "fp1", "fp2"), classes, ["n", "fp1", "fp2"]).select("doc_id", "n", "rep")
+    out = out.unionByName(every.filter("n = 0 and doc_id is not null").select("doc_id", "n", F.col("doc_id").alias("rep")))
+    out = out.join(final, out.rep == final.node, "left").select("doc_id", "n", F.least("doc_id", F.coalesce("component", "rep")).alias("component_id"))
+    none = every.filter("doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(none).withColumnRenamed("n", "n_shingles")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -6,8 +6,8 @@ A text's language is that whose codeword has the least loss, sum_b weight_b * lo
 weighs what its classifier's training accuracy is above chance. score is the softmax of the negative losses, and ambiguous
 marks texts whose two best codewords are close.
 
-Classifiers are fitted on about SAMPLE texts with a lang (a bound of the model, drawn by hash, one text at least for each
-language), of the MOST_LANGS languages with most texts (a bound of the code, which stray values of lang do not stretch);
+Classifiers are fitted on about SAMPLE texts with a lang (a bound of the model: drawn by hash, equal rows once, and one text at
+least of each language). All values of lang are languages, but for those with fewer than least_texts texts (0 by default);
 lang, source and doc_id are never features. Texts are counted in dense rows of n-grams, BLOCK texts at once.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0; without any language to learn, all are
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import SEPARATORS, flat, held_out, slices, write_shared
 
 SAMPLE = 2500
-#: Languages of a model, at most: those with most texts.
-MOST_LANGS = 256
+#: Languages with fewer texts are left out; 0: none is. A model holds MOST_LANGS languages; with more, ask for more texts of each.
+LEAST_TEXTS = 0
+MOST_LANGS = 1 << 14
 #: Bits of a codeword of up to four languages; six more for each doubling.
 BITS = 15
 #: Texts whose n-grams are counted at once.
@@ -51,7 +52,7 @@ def codebook(n: int, seed: int = 3) -> np.ndarray:
     """n codewords of +1 and -1, far apart: the best of many random codes by least distance between words and between bits."""
     rng, bits = np.random.default_rng(seed), code_bits(n)
     best, far = None, -1
-    for _ in range(300 if n > 1 else 1):
+    for _ in range(max(1, min(300, 3_000_000 // n**2)) if n > 1 else 1):
         code = rng.choice([-1, 1], (n, bits))
         same = (code @ code.T)[~np.eye(n, dtype=bool)]
         constant = (np.abs(code.sum(axis=0)) == n).sum() if n > 1 else 0
@@ -100,9 +101,10 @@ class Coder:
     trust: np.ndarray
 
     def losses(self, x: np.ndarray) -> np.ndarray:
+        """Logistic losses of all bits, weighted, for each text and language: those of +1 and -1 differ by the margin."""
         margin = x @ self.weight + self.bias
-        each = np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :])
-        return (each * self.trust).sum(axis=2)
+        even = ((np.logaddexp(0, -margin) + np.logaddexp(0, margin)) / 2 * self.trust).sum(axis=1, keepdims=True)
+        return even - (margin * self.trust / 2) @ self.code.T
 
 
 def fit(x: np.ndarray, lang: list[str]) -> Coder:
@@ -125,13 +127,20 @@ def fit(x: np.ndarray, lang: list[str]) -> Coder:
     return Coder(langs, code, w.astype(np.float32), b.astype(np.float32), np.maximum(right - 0.5, 0.01) * 2)
 
 
-def train(docs: DataFrame, most: int = SAMPLE, most_langs: int = MOST_LANGS) -> Coder:
-    known = docs.filter("lang is not null and text is not null").filter(~held_out())
-    counts = write_shared(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs), "languages")
-    each_lang = max(1, most // max(counts.count(), 1))
-    share = F.least(F.lit(1.0), each_lang / F.col("n"))
-    drawn = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang")  # MOST_LANGS rows
-    drawn = drawn.filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "lang", "text")
+def train(docs: DataFrame, most: int = SAMPLE, least_texts: int = LEAST_TEXTS) -> Coder:
+    """A coder fitted on about `most` texts, spread over the languages, with one of each at least. Equal rows count once."""
+    order = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30))
+    known = docs.filter("lang is not null and text is not null").filter(~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text", order.alias("order"))
+    first = F.min_by(F.struct("doc_id", "text", "order"), F.struct("order", "doc_id")).alias("first")
+    counts = write_shared(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") >= least_texts), "languages")
+    n_langs = counts.count()
+    if n_langs > MOST_LANGS:
+        raise ValueError(f"{n_langs} languages are more than a model holds ({MOST_LANGS}): set least_texts")
+    share = F.least(F.lit(1.0), max(1, most // max(n_langs, 1)) / F.col("n"))
+    drawn = known.join(F.broadcast(counts.select("lang", "n")), "lang").filter(F.col("order") < share * (1 << 30)).select("doc_id", "lang", "text", "order")
+    drawn = drawn.unionByName(counts.select("lang", "first.*")).dropDuplicates(["lang", "doc_id", "order"])
+    # The share of a language is about what is asked for; the bound holds whatever the hashes are.
+    drawn = write_shared(drawn.orderBy("order", "lang", "doc_id").limit(2 * most + n_langs).select("doc_id", "lang", "text"), "language-sample")
 
     def each(batches):
         for batch in batches:
@@ -140,6 +149,7 @@ def train(docs: DataFrame, most: int = SAMPLE, most_langs: int = MOST_LANGS) ->
                 rows = [(np.flatnonzero(v), v) for v in x]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang").cast(pa.string()), pa.array([k.astype(np.int32) for k, _ in rows], pa.list_(pa.int32())), pa.array([v[k] for k, v in rows], pa.list_(pa.float32()))], names=["doc_id", "lang", "k", "v"])
 
+    # At most 2 * most rows, and one for each language.
     rows = drawn.mapInArrow(each, "doc_id long, lang string, k array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     x = np.zeros((len(rows), SLOTS), np.float32)
     for i, (k, v) in enumerate(zip(rows.column("k"), rows.column("v"))):

@@ -154,7 +154,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, column: str, most: dict[
     drawn = parts[0]
     for p in parts[1:]:
         drawn = drawn.unionByName(p)
-    return write_shared(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), f"{column}-sample")
+    # An id may stand for many rows: equal ones count once, and of the rest as many stay as ids were asked for.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "h"])
+    bounded = [rows.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(column), "doc_id"), "doc_id", "h").limit(n) for y, n in most.items()]
+    out = bounded[0]
+    for b in bounded[1:]:
+        out = out.unionByName(b)
+    return write_shared(out.select("doc_id", "text", "y"), f"{column}-sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:

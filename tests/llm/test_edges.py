@@ -102,16 +102,53 @@ def test_quality_of_null_and_empty_languages(frame):
     assert kept == {d for d, k in got.items() if k}
 
 
-def test_quality_fences_against_exact_quantiles(frame):
-    rows = [(k, " ".join(w + "*" * (rng.random() < 0.02 * (k % 9)) for w in prose(60).split()), "en", "a") for k in range(150)]
-    for r in quality_rules.judge(frame(rows), min_rows=50).collect():
-        assert 0 <= r["symbol_ratio"] < 1
-    judged = quality_rules.judge(frame(rows), min_rows=50).collect()
-    good = sorted(r["symbol_ratio"] for r in judged if not r["base_failed"])
-    q25, q50 = (np.quantile(good, q, method="inverted_cdf") for q in (0.25, 0.5))
-    fence = max(q50 + 7 * (q50 - q25), 0.05)
-    sure = [r for r in judged if not r["base_failed"] and abs(r["symbol_ratio"] - fence) > 0.02 and r["repeat_ratio"] < 0.16]
-    assert len(sure) > 100 and all(r["kept"] == (r["symbol_ratio"] <= fence) for r in sure)
+def plain_fence(values, sizes):
+    """The fence of a ratio in plain Python, from exact quantiles."""
+    v = [np.quantile(values, p, method="inverted_cdf") for p in quality_rules.PLACES]
+    noise = quality_rules.NOISE / max(np.quantile(sizes, 0.5, method="inverted_cdf"), 1)
+    tail = 2 * v[98] - v[0]
+    middle = next(((v[i] + v[i + 1]) / 2 for i in range(99) if v[i + 1] - v[i] > 2 * (v[i] - v[0]) + noise), tail)
+    return max(middle, v[0] + noise)
+
+
+def plain_kept(rows):
+    """doc_id to kept, where all rows are one group."""
+    good = [r for r in rows if not r["base_failed"]]
+    fences = {c: plain_fence([r[c] for r in good], [r[size] for r in good]) for c, size in quality_rules.RATIOS.items()}
+    return {r["doc_id"]: not r["base_failed"] and all(r[c] <= fences[c] for c in fences) for r in rows}
+
+
+@pytest.mark.parametrize("kind", ["smooth", "two populations", "tidy", "long words", "lines"])
+def test_quality_fences_against_exact_quantiles(frame, kind):
+    """All four ratios of every row; sketches of so few rows are exact."""
+    r = random.Random(kind)
+
+    def text(k):
+        words = ["".join(r.choices("abcdefghij", k=r.randint(3, 7))) for _ in range(60)]
+        if kind == "smooth":
+            return " ".join(w + "*" * (r.random() < 0.02 * (k % 9)) for w in words)
+        if kind == "two populations":
+            return " ".join(w + "***" * (k % 4 == 0) for w in words)
+        if kind == "long words":
+            return " ".join(w * (3 if k % 10 == 0 else 1) for w in words)
+        if kind == "lines":
+            return "\n".join(" ".join(words[i : i + 6]) for i in range(0, 60, 6)) + "\nagain" * (k % 12)
+        return " ".join(words + words[: 5 if k == 3 else 0] + ["#"] * (k == 5))
+
+    judged = quality_rules.judge(frame([(k, text(k), "en", "a") for k in range(150)]), min_rows=50).collect()
+    assert {x["doc_id"]: x["kept"] for x in judged} == plain_kept(judged) and {x["level"] for x in judged if not x["base_failed"]} == {"own"}
+    dropped = {x["doc_id"] for x in judged if not x["kept"]}
+    assert kind != "two populations" or dropped == set(range(0, 150, 4))
+    assert kind != "tidy" or not dropped
+
+
+def test_sources_with_another_normal_are_judged_apart(frame):
+    """Marks are normal in one source and junk in another, of one language; no constant decides."""
+    marked = lambda n: " ".join(w + "*" * (k % 60 < n) for k, w in enumerate(prose(60).split()))
+    rows = [(k, marked(rng.randint(10, 25)), "en", "marked") for k in range(100)] + [(200 + k, marked(0), "en", "tidy") for k in range(100)]
+    rows += [(400, marked(18), "en", "marked"), (401, marked(18), "en", "tidy"), (402, " ".join(w + "****" for w in prose(60).split()), "en", "marked")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(frame(rows), min_rows=50).collect()}
+    assert got[400] and not got[401] and not got[402] and all(got[200 + k] for k in range(100)) and sum(got[k] for k in range(100)) == 100
 
 
 def test_labels_that_contradict(frame, spark):
@@ -290,8 +327,33 @@ def test_language_id_edges(frame):
         out[r["doc_id"]].append(r)
     assert out[998][0]["lang_pred"] == "yy" and len(out[999]) == 2 and out[999][0] == out[999][1] and out[999][0]["lang_pred"] == "xx"
     assert {len(out[d]) for d in (1, 2, 3)} == {1} and all(out[d][0]["lang_pred"] == "und" and not out[d][0]["ambiguous"] for d in (1, 2, 3))
-    coder = langid.train(frame(rows + stray), most_langs=2)
-    assert coder.langs == ["xx", "yy"]
+    assert langid.train(frame(rows + stray), least_texts=2).langs == ["xx", "yy"]
+    assert len(langid.train(frame(rows + stray)).langs) > 20  # one text of each is learned
+
+
+def test_losses_are_those_of_the_definition():
+    """Against the sum over bits, weighted, of log(1 + exp(-margin * code))."""
+    rng_ = np.random.default_rng(3)
+    code = langid.codebook(5)
+    coder = langid.Coder(list("abcde"), code, rng_.normal(size=(7, code.shape[1])), rng_.normal(size=code.shape[1]), rng_.random(code.shape[1]))
+    x = rng_.normal(size=(9, 7))
+    margin = x @ coder.weight + coder.bias
+    want = [[sum(t * np.log1p(np.exp(-m * c)) for t, m, c in zip(coder.trust, row, word)) for word in code] for row in margin]
+    assert np.allclose(coder.losses(x), want)
+
+
+def test_codewords_grow_with_the_languages():
+    code = langid.codebook(3000)
+    assert len({tuple(c) for c in code.tolist()}) == 3000 and code.shape[1] == langid.code_bits(3000)
+
+
+def test_samples_are_bounded_by_rows(frame, spark):
+    """Thousands of copies of one row count once, in all three classifiers; ids with many texts do not stretch a sample."""
+    rows = [(7, prose(5), "xx", "a")] * 3000 + [(8, f"{prose(4)} {k}", "yy", "a") for k in range(500)] + [(9, prose(6), "yy", "a")]
+    labels = spark.createDataFrame([(k, 1) for k in (7, 8, 9)], "doc_id long, quality int")
+    docs = frame(rows)
+    drawn = quality_fm.sample_labelled(docs, labels, "quality", {1: 20, 0: 20})
+    assert drawn.count() == 20 and drawn.select("doc_id", "text").distinct().count() == 20
 
 
 def test_ambiguous_text_is_flagged():

@@ -80,3 +80,19 @@ def test_pipeline_of_an_empty_table(spark, frame):
     frame([(1, "x")]).limit(0).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert [s.count() for s in through(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)] == [0] * 5
+
+
+def test_lazy_stages_keep_what_they_need(spark, frame):
+    """Results of stages that are not written yet outlive other stages; run() leaves the token files only."""
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghijklm", k=5)) for _ in range(n))
+    tables = []
+    for k in range(2):
+        folder = new_path(spark, "tables")
+        frame([(k * 100 + i, prose(50)) for i in range(20 + k)]).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, prose(20))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        tables.append((folder, spark.read.parquet(f"{folder}/documents.parquet")))
+    first, second = (corpus_pipeline.quality(spark, docs, folder) for folder, docs in tables)
+    near = corpus_pipeline.near_duplicates(spark, tables[0][1], tables[0][0])
+    assert second.count() == 21 and first.count() == 20 and near.count() == 20
+    assert corpus_pipeline.run(spark, tables[0][0]).count() == 20 and first.count() == 20
