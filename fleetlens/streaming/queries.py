@@ -13,7 +13,7 @@ from ..plans.dialect import ORACLE, SPARK, bound
 from ..plans.parts import co2
 from ..rules import FUEL_PRICE
 from ..sources.views import fleet_views, oracle_ctes, readings
-from . import jobs, state, windows
+from . import clusters, jobs, state, windows
 from .replay import Replay, Run, arrivals, play
 
 
@@ -66,6 +66,13 @@ def fault_join_run(spark: SparkSession, sf_dir: str) -> Run:
     return play(sides, join)
 
 
+def cluster_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings scored by clusters that move, in slices of arrival."""
+    rows = fleet_views(spark, sf_dir, ("readings",))["readings"]
+    sink = clusters.MovingClusters(new_path(spark, "clusters"), ["speed_kmh", "engine_temperature_c", "fuel_consumption_lph"], "event_id")
+    return clusters.play_clusters(Replay(arrivals(rows, SLICES, F.expr(LATE))), lambda s: s, sink)
+
+
 def late_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the windows' state reports of each slice: rows read, and groups (window and kind of event) that came too late."""
     run = replayed(spark, sf_dir, windows.minute_rates)
@@ -153,6 +160,7 @@ def queries() -> dict:
         "w11_zscore_stream": lambda s, d: replayed(s, d, state.rolling_zscore_stream).out,
         "w14_fault_join_streams": lambda s, d: fault_join_run(s, d).out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("reading_ts", "fault_ts")}),
         "w16_vehicle_runs": lambda s, d: replayed(s, d, lambda r: state.vehicle_runs(r, RUN_TIMEOUT_S)).out,
+        "w17_cluster_stream": cluster_run,
         "w18_alert_stream": lambda s, d: replayed(s, d, state.alert_stream).out,
         "w21_health_stream": lambda s, d: newest(replayed(s, d, state.component_health_stream, "update").out, "vehicle_id", "component").withColumn("health", windows.r6(F.col("health"))),
         "w24_alert_states": lambda s, d: replayed(s, d, lambda r: state.sustained_alert_stream(r, STALE_S, TIME_SCALE)).out,
