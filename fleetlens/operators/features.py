@@ -240,6 +240,27 @@ def forecast_daily(d, hold=5):
     return f"""SELECT day, n AS actual, {d.r6('a + b * x + COALESCE(season, 0)')} AS forecast, {d.r6('AVG(ABS(n - a - b * x - COALESCE(season, 0))) OVER ()')} AS mae, {d.r4('AVG(POWER(n - a - b * x - COALESCE(season, 0), 2)) OVER ()')} AS mse FROM ({base}) AS h CROSS JOIN ({line}) AS l2 LEFT JOIN ({fitted}) AS s ON h.dow = s.dow WHERE NOT train"""
 
 
+@op("n21_forecast_by_vehicle", "readings")
+def forecast_by_vehicle(d, hold=5):
+    """Daily counts of each vehicle (days without any are 0) by trend and weekday means, with the errors on its last days, held out.
+
+    One aggregation by vehicle and weekday gives the sums of the normal equations; series of any number and length meet in no task.
+    """
+    day = d._("explode(sequence(low, high, INTERVAL 1 DAY))", "CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE)")
+    spans = "SELECT vehicle_id, MIN(CAST(ts AS DATE)) AS low, MAX(CAST(ts AS DATE)) AS high FROM readings GROUP BY vehicle_id"
+    days = f"SELECT vehicle_id, low, high, {day} AS day FROM ({spans}) AS sp"
+    counts = "SELECT vehicle_id, CAST(ts AS DATE) AS day, CAST(COUNT(*) AS DOUBLE) AS n FROM readings GROUP BY vehicle_id, CAST(ts AS DATE)"
+    series = f"SELECT a.vehicle_id, a.day, CAST({d.days('low', 'a.day')} + 1 AS DOUBLE) AS x, COALESCE(n, 0) AS n, {d.dow('a.day')} AS dow, {d.days('a.day', 'high')} < {hold} AS held FROM ({days}) AS a LEFT JOIN ({counts}) AS c ON a.vehicle_id = c.vehicle_id AND a.day = c.day"
+    sums = f"SELECT vehicle_id, dow, COUNT(*) AS k, SUM(x) AS sx, SUM(n) AS sn, SUM(x * x) AS sxx, SUM(x * n) AS sxn FROM ({series}) AS s1 WHERE NOT held GROUP BY vehicle_id, dow"
+    whole = ", ".join(f"SUM({c}) OVER (PARTITION BY vehicle_id) AS t{c}" for c in ("k", "sx", "sn", "sxx", "sxn"))
+    slope = f"SELECT *, COALESCE({d.div('tk * tsxn - tsx * tsn', 'tk * tsxx - tsx * tsx')}, 0) AS b FROM (SELECT *, {whole} FROM ({sums}) AS g) AS w"
+    fit = f"SELECT vehicle_id, dow, b, (tsn - b * tsx) / tk AS a, (sn - k * ((tsn - b * tsx) / tk) - b * sx) / k AS season FROM ({slope}) AS sl"
+    line = f"SELECT vehicle_id, MIN(a) AS a, MIN(b) AS b FROM ({fit}) AS f1 GROUP BY vehicle_id"
+    guess = f"SELECT h.vehicle_id, h.day, h.n, l.a + l.b * h.x + COALESCE(f.season, 0) AS f FROM (SELECT * FROM ({series}) AS s2 WHERE held) AS h JOIN ({line}) AS l ON h.vehicle_id = l.vehicle_id LEFT JOIN ({fit}) AS f ON h.vehicle_id = f.vehicle_id AND h.dow = f.dow"
+    over = "OVER (PARTITION BY vehicle_id)"
+    return f"SELECT vehicle_id, day, n AS actual, {d.r4('f')} AS forecast, {d.r4(f'AVG(ABS(n - f)) {over}')} AS mae, {d.r4(f'AVG((n - f) * (n - f)) {over}')} AS mse FROM ({guess}) AS p"
+
+
 @op("n23_business_insights", "readings")
 def business_insights(d):
     """Risk factors, possible savings and their advice, as rows."""
@@ -368,8 +389,13 @@ def degradation(d):
     return f"SELECT vehicle_id, {d.r6('(MIN_BY(speed_kmh, nth) - MAX_BY(speed_kmh, nth)) / NULLIF(MIN_BY(speed_kmh, nth), 0) * 100')} AS degradation_percent, {d.r6('REGR_SLOPE(speed_kmh, nth)')} AS slope FROM (SELECT *, CAST(ROW_NUMBER() OVER ({BY_TIME}) AS DOUBLE) AS nth FROM readings) AS r GROUP BY vehicle_id HAVING COUNT(*) > 2"
 
 
-@op("w20_valid_events", "readings")
-def valid_events(d, now=AS_OF_READINGS):
-    """Events that are whole, recent and in range; others with what is wrong with them."""
-    why = "CASE WHEN vehicle_id IS NULL OR ts IS NULL OR speed_kmh IS NULL THEN 'missing field' WHEN " + f"{d.seconds('ts', d.ts(now))} > 86400 * 20" + " THEN 'too old' WHEN speed_kmh < 0 OR speed_kmh > 190 OR engine_temperature_c > 125 THEN 'out of range' END"
-    return f"SELECT {ROW}, {why} AS quarantine_reason FROM readings"
+# What a reading's columns may hold.
+VALID = {"speed_kmh": (0, 300), "engine_temperature_c": (-50, 150), "fuel_level_percent": (0, 100), "rpm": (0, 10000)}
+
+
+@op("w20_valid_events", "readings", given={"max_age_s": 86400 * 20})
+def valid_events(d, now=AS_OF_READINGS, max_age_s=3600, ranges=None):
+    """Events with what is wrong with them, if anything: a missing vehicle, kind or time, an age over max_age_s, a value out of its range."""
+    bounds = " OR ".join(f"{c} < {low} OR {c} > {high}" for c, (low, high) in (VALID if ranges is None else ranges).items()) or "FALSE"
+    missing = "vehicle_id IS NULL OR ts IS NULL OR event_type IS NULL OR event_type = ''"
+    return f"SELECT {ROW}, CASE WHEN {missing} THEN 'missing field' WHEN {d.seconds('ts', d.ts(now))} > {max_age_s} THEN 'too old' WHEN {bounds} THEN 'out of range' END AS quarantine_reason FROM readings"

@@ -38,10 +38,27 @@ def anomaly_profile(spark, sf_dir):
     return models.anomaly_profile(models.isolation_forest(r, R, "event_id"), r)
 
 
+# Columns that tell anomalous trips.
+TRIP_FEATURES = ["fuel_efficiency_kmpl", "avg_speed_kmph", "avg_rpm", "idle_time_min", "driver_behavior_score"]
+
+
+def trip_anomalies(spark, sf_dir, column, most=None):
+    trips = fleet_views(spark, sf_dir, ("telemetry",))["telemetry"].withColumn("trip", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
+    return models.anomalies_by(models.isolation_forest(trips, TRIP_FEATURES, "trip", trees=50), trips, "trip", column, most)
+
+
+def clustered(spark, sf_dir):
+    """Four clusters of the readings."""
+    r = readings(spark, sf_dir)
+    return r, models.cluster_rows(r, R, "event_id", 4)
+
+
 def queries() -> dict:
     return {
         "a5_isolation_forest": lambda s, d: models.isolation_forest(readings(s, d), R, "event_id"),
         "a5_anomaly_profile": anomaly_profile,
+        "a5_anomalies_by_type": lambda s, d: trip_anomalies(s, d, "vehicle_type"),
+        "a5_top_vehicles": lambda s, d: trip_anomalies(s, d, "vehid", 10),
         "m2_maintenance_model": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0], *FOREST)[1],
         "m2_importances": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0], *FOREST)[2],
         "m3_predict_maintenance": predicted,
@@ -49,9 +66,12 @@ def queries() -> dict:
         "w27_maintenance_regression": lambda s, d: models.maintenance_regression(models.vehicle_periods(fleet_views(s, d, ("telemetry",))["telemetry"])),
         "n12_encode_categoricals": encoded,
         "n14_select_features": lambda s, d: models.select_features(maintenance(s, d)[0], models.FEATURES, "label", 5),
+        "n14_backward_elimination": lambda s, d: models.eliminate_features(maintenance(s, d)[0], models.FEATURES, "label", 5),
         "n15_pca": lambda s, d: models.pca(readings(s, d), R, len(R)),
         "n15_svd": lambda s, d: models.svd(readings(s, d), R),
         "n17_cluster_features": lambda s, d: models.cluster_features(readings(s, d), R, most=5),
+        "n17_cluster_rows": lambda s, d: clustered(s, d)[1],
+        "n17_cluster_means": lambda s, d: models.cluster_means(*clustered(s, d), R, "event_id"),
         "n18_feature_pipeline": lambda s, d: models.FeaturePipeline(R).fit(readings(s, d)).transform(readings(s, d), "event_id"),
         "n20_compare_models": lambda s, d: models.compare_models(maintenance(s, d)[0], models.FEATURES),
         "n22_consensus_anomaly": lambda s, d: models.consensus_anomaly(readings(s, d), R, "event_id"),

@@ -42,7 +42,7 @@ def train_maintenance_model(df: DataFrame, trees: int = 100, depth: int = 10, se
     weighted = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed)
     model = Pipeline(stages=[*assembled(df, FEATURES, scale=False), forest]).fit(weighted)
-    scored = model.transform(test)
+    scored = write_shared(model.transform(test).select("label", "rawPrediction", "probability", "prediction"), "scored")
     figures = {m: MulticlassClassificationEvaluator(metricName=m).evaluate(scored) for m in ("accuracy", "f1", "weightedPrecision", "weightedRecall")} | {"auc": BinaryClassificationEvaluator().evaluate(scored)}
     session = df.sparkSession
     importance = session.createDataFrame([(f, float(x)) for f, x in zip(FEATURES, model.stages[-1].featureImportances.toArray())], "feature string, importance double")
@@ -119,17 +119,41 @@ def anomaly_profile(scores: DataFrame, readings: DataFrame) -> DataFrame:
     return both.groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("readings"), F.count_if("is_anomaly").alias("anomalies"), *(F.round(F.avg(F.when(F.col("is_anomaly"), F.col(c))), 4).alias(f"anomalous_{c}") for c in READING_FEATURES[:2]))
 
 
+def anomalies_by(scores: DataFrame, rows: DataFrame, key: str, column: str, most: int | None = None) -> DataFrame:
+    """Rows and anomalies of each value of a column, and the share of all anomalies; `most`: those with most anomalies only (a report)."""
+    out = rows.select(key, column).join(scores, key).groupBy(column).agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_anomaly").alias("anomalies"))
+    total = out.agg(F.sum("anomalies").alias("all"))
+    out = out.crossJoin(total).select(column, "rows", "anomalies", F.round(F.try_divide(100 * F.col("anomalies"), "all"), 4).alias("share"))
+    return out.orderBy(F.desc("anomalies"), column).limit(most) if most else out
+
+
+def centre_distances(model, df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, cluster, and `distances` to all centres (scaled as the model's features are)."""
+    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.stages[-1].clusterCenters()))
+    out = model.transform(df).select(*keep, F.col("prediction").alias("cluster"), vector_to_array("features").alias("v"))
+    apart = lambda c: F.sqrt(F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    return out.select(*keep, "cluster", F.transform(centres, apart).alias("distances"))
+
+
 def kmeans_anomaly(df: DataFrame, columns: list[str], key: str, k: int = 3, limit: float = 0.8, seed: int = 1) -> DataFrame:
     """Cluster, distance to its centre, a score of it against the farthest, and whether that passes the limit."""
     model = Pipeline(stages=[*assembled(df, columns), KMeans(k=k, seed=seed)]).fit(df)
-    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.stages[-1].clusterCenters()))
-    out = model.transform(df).select(key, F.col("prediction").alias("cluster"), vector_to_array("features").alias("v"))
-    own = F.element_at(centres, F.col("cluster") + 1)
-    out = out.select(key, "cluster", F.sqrt(F.aggregate(F.zip_with("v", own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)).alias("distance"))
+    out = centre_distances(model, df, [key]).select(key, "cluster", F.array_min("distances").alias("distance"))
     far = out.agg(F.max("distance").alias("far"))
     return out.crossJoin(far).select(key, "cluster", F.round("distance", 6).alias("distance"), (F.try_divide("distance", "far") > limit).alias("is_anomaly"))
 
 
+def cluster_rows(df: DataFrame, columns: list[str], key: str, k: int, seed: int = 1) -> DataFrame:
+    """The cluster of each row and its distances to all k centres."""
+    model = Pipeline(stages=[*assembled(df, columns), KMeans(k=k, seed=seed)]).fit(df)
+    return centre_distances(model, df, [key])
+
+
+def cluster_means(df: DataFrame, rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Rows and mean of each column of the clusters that `cluster_rows` gave."""
+    return df.join(rows.select(key, "cluster"), key).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in columns))
+
+
 def cluster_features(df: DataFrame, columns: list[str], most: int = 10, seed: int = 1) -> DataFrame:
     """k, silhouette and cost of each number of clusters."""
     prepared = Pipeline(stages=assembled(df, columns)).fit(df).transform(df).select("features").persist()
@@ -172,6 +196,26 @@ def select_features(df: DataFrame, columns: list[str], target: str, k: int, bins
     return df.sparkSession.createDataFrame(rows, "feature string, correlation double, importance double, mutual_information double, weight double, mean_score double, place int, selected boolean")
 
 
+def eliminate_features(df: DataFrame, columns: list[str], target: str, keep: int, trees: int = 10, seed: int = 1) -> DataFrame:
+    """Backward elimination: a forest is fitted on what is left, the column that it needs least goes, until `keep` are left.
+
+    feature, round (in which it went; null: it stays), importance (when it went, or at the end), place (1: the most important), selected.
+    """
+    data = write_shared(df.select(*columns, F.col(target).cast("double").alias("label")), "features")
+    left, gone = list(columns), []
+    while True:
+        forest = RandomForestClassifier(numTrees=trees, seed=seed)
+        found = Pipeline(stages=[*assembled(data, left, scale=False), forest]).fit(data).stages[-1].featureImportances.toArray()
+        if len(left) <= keep:
+            break
+        worst = int(np.argmin(found))
+        gone.append((left.pop(worst), len(gone) + 1, float(found[worst])))
+    order = np.argsort(-found, kind="stable")
+    rows = [(left[i], None, float(found[i]), p + 1, True) for p, i in enumerate(order)]
+    rows += [(name, r, x, len(left) + len(gone) - r + 1, False) for name, r, x in gone]
+    return df.sparkSession.createDataFrame(rows, "feature string, round int, importance double, place int, selected boolean")
+
+
 def compare_models(df: DataFrame, columns: list[str], seed: int = 3) -> DataFrame:
     """Forest, boosted trees, logistic regression and their mean probability on a fifth held out."""
     ready = Pipeline(stages=assembled(df, columns)).fit(df).transform(df).select("features", "label")
@@ -181,7 +225,7 @@ def compare_models(df: DataFrame, columns: list[str], seed: int = 3) -> DataFram
     wide = test
     for name, learner in models.items():
         wide = learner.fit(train).transform(wide).withColumn(name, F.element_at(vector_to_array("probability"), 2)).drop("rawPrediction", "probability", "prediction")
-    wide = wide.withColumn("ensemble", sum(F.col(m) for m in models) / len(models))
+    wide = write_shared(wide.select("label", *models), "probabilities").withColumn("ensemble", sum(F.col(m) for m in models) / len(models))
     long = wide.unpivot(["label"], [*models, "ensemble"], "model", "p").withColumn("yes", F.col("p") > 0.5)
     hit = lambda p, y: F.count_if((F.col("yes") == p) & (F.col("label") == y))
     out = long.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), ((hit(True, 1) + hit(False, 0)) / F.count(F.lit(1))).alias("accuracy"), F.try_divide(hit(True, 1), hit(True, 1) + hit(True, 0)).alias("precision"), F.try_divide(hit(True, 1), hit(True, 1) + hit(False, 1)).alias("recall"))

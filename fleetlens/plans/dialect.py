@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Trips end on 2001-11-04 and readings on 2024-01-30 in the test tables; "today" is a parameter everywhere.
@@ -25,15 +25,19 @@ class Dialect:
     def _(self, spark: str, other: str) -> str:
         return spark if self.spark else other
 
-    # Rounding: an offset far below the last digit keeps exact ties from falling either way.
+    # Rounding: an offset far below the last digit keeps exact ties from falling either way. On Spark by rint, which stays
+    # in doubles: its round() goes through decimals of any size for each value.
+    def rounded(self, x: str, offset: str, digits: int) -> str:
+        return self._(f"(RINT((CAST({x} AS DOUBLE) + {offset}) * 1e{digits}D) / 1e{digits}D)", f"ROUND(CAST({x} AS DOUBLE) + {offset}, {digits})")
+
     def r2(self, x: str) -> str:
-        return f"ROUND(CAST({x} AS DOUBLE) + 1.3e-5, 2)"
+        return self.rounded(x, "1.3e-5", 2)
 
     def r4(self, x: str) -> str:
-        return f"ROUND(CAST({x} AS DOUBLE) + 1.3e-7, 4)"
+        return self.rounded(x, "1.3e-7", 4)
 
     def r6(self, x: str) -> str:
-        return f"ROUND(CAST({x} AS DOUBLE) + 1.3e-9, 6)"
+        return self.rounded(x, "1.3e-9", 6)
 
     def div(self, a: str, b: str) -> str:
         """a / b in doubles; null where b is 0."""
@@ -117,6 +121,17 @@ class Dialect:
 SPARK, ORACLE = Dialect("spark"), Dialect("oracle")
 
 
+def compilable(session: SparkSession) -> SparkSession:
+    """The session, told to give up whole-stage code whose methods the JVM would interpret.
+
+    HotSpot compiles no method over 8,000 bytes; Spark's own limit is higher, so wide selects run interpreted, several times
+    slower than operator by operator. A limit that the user has set stays.
+    """
+    if session.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        session.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return session
+
+
 class Op:
     """A registered operator."""
 
@@ -130,7 +145,7 @@ class Op:
         missing = [i for i in self.inputs if i not in frames]
         if missing:
             raise TypeError(f"{self.key} needs {', '.join(missing)}")
-        session = next(iter(frames.values())).sparkSession
+        session = compilable(next(iter(frames.values())).sparkSession)
         if "telemetry" in frames and "shipped" not in frames["telemetry"].columns and "shipped" in text:
             frames["telemetry"] = frames["telemetry"].withColumn("shipped", F.col("ts"))
         return session.sql(bound(text, self.inputs), **{k: frames[k] for k in self.inputs})

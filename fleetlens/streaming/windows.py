@@ -27,7 +27,7 @@ def started(df: DataFrame) -> DataFrame:
 
 
 def r6(x: Column) -> Column:
-    return F.round(x.cast("double") + 1.3e-9, 6)
+    return F.rint((x.cast("double") + 1.3e-9) * 1e6) / 1e6
 
 
 def distinct(df: DataFrame, column: str) -> Column:
@@ -35,7 +35,7 @@ def distinct(df: DataFrame, column: str) -> Column:
     return F.approx_count_distinct(column) if df.isStreaming else F.count_distinct(F.col(column))
 
 
-def quantile(df: DataFrame, column: str, p: float) -> Column:
+def quantile(df: DataFrame, column: str, p: float | Column) -> Column:
     """A quantile: approximate (1 in 10,000 of rank) in the state of a stream, exact on a static frame."""
     return F.percentile_approx(column, p, 10000) if df.isStreaming else F.percentile(column, p)
 
@@ -98,8 +98,9 @@ def metric_agg(readings: DataFrame, metrics=KINDS, size: str = "5 minutes", slid
     """Count, mean, extremes, deviation and percentiles of each metric, in long form, by vehicle and sliding window."""
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics)))
     long = readings.select("ts", "vehicle_id", pairs.alias("m")).select("ts", "vehicle_id", "m.metric", "m.value")
-    return started(long.groupBy(F.window("ts", size, slide), "vehicle_id", "metric").agg(
-        F.count("value").alias("n"), r6(F.avg("value")).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), r6(F.stddev_pop("value")).alias("std"), *(r6(quantile(readings, "value", p)).alias(n) for n, p in (("median", 0.5), ("p95", 0.95)))))
+    out = started(long.groupBy(F.window("ts", size, slide), "vehicle_id", "metric").agg(
+        F.count("value").alias("n"), r6(F.avg("value")).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), r6(F.stddev_pop("value")).alias("std"), quantile(readings, "value", F.array(F.lit(0.5), F.lit(0.95))).alias("q")))
+    return out.withColumns({"median": r6(F.get("q", F.lit(0))), "p95": r6(F.get("q", F.lit(1)))}).drop("q")
 
 
 def driving_patterns(readings: DataFrame, long: tuple[str, str] = ("30 seconds", "10 seconds"), short: tuple[str, str] = ("10 seconds", "5 seconds")) -> DataFrame:
