@@ -155,7 +155,7 @@ def interpolate(d):
 FROM (SELECT *, {d.last('speed_kmh', last)} AS v0, {d.first('speed_kmh', following)} AS v1, {d.last(at, last)} AS t0, {d.first(at, following)} AS t1 FROM ({GAPPED}) AS g) AS w"""
 
 
-@op("c12_fill_mean", "readings")
+@op("c12_fill_mean", "readings", measured=GAPPED)
 def fill_mean(d):
     """Missing speeds as the vehicle's mean and as the median of all, and the last known one carried forward."""
     return f"""SELECT event_id, {d.r6('COALESCE(speed_kmh, AVG(speed_kmh) OVER (PARTITION BY vehicle_id))')} AS by_mean, {d.r6('COALESCE(speed_kmh, middle)')} AS by_median, {d.last('speed_kmh', 'OVER (PARTITION BY vehicle_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS carried
@@ -168,7 +168,7 @@ def drop_missing(d):
     return f"SELECT * FROM ({GAPPED}) AS g WHERE speed_kmh IS NOT NULL"
 
 
-@op("c13_remove_outliers", "readings")
+@op("c13_remove_outliers", "readings", measured="SELECT * FROM readings")
 def remove_outliers(d):
     """Readings whose speed is within 1.5 quartile ranges, and which break no rule."""
     return f"""SELECT event_id, vehicle_id, speed_kmh FROM readings CROSS JOIN (SELECT {d.pct('speed_kmh', 0.25)} AS q1, {d.pct('speed_kmh', 0.75)} AS q3 FROM readings) AS q WHERE speed_kmh BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AND NOT ({violations(READING_RULES)})"""

@@ -23,15 +23,39 @@ def moments(d, x: str) -> dict[str, str]:
     return {"skewness": f"SQRT({n} * ({n} - 1)) / ({n} - 2) * {g1}", "kurtosis": f"({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * ({g2}) + 6)", "skewness_pop": g1, "kurtosis_pop": g2}
 
 
-def each_number(build, source: str = "readings") -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {build(c)} FROM {source}" for c in NUMBERS)
+ALL = "SELECT * FROM readings"
 
 
-@op("n1_profile_numbers", "readings")
+def in_columns(names, value) -> str:
+    """value of the column that a row in long form is of."""
+    return "CASE column_name " + " ".join(f"WHEN '{c}' THEN {value(c)}" for c in names) + " END"
+
+
+def each_number(d, figures, means: bool = False) -> str:
+    """figures(x, of) for each number, from one scan in long form; of(value) picks what belongs to a column, m is its mean if asked for.
+
+    The oracle's text scans each column by itself.
+    """
+    if not d.spark:
+        mean = lambda c: f" CROSS JOIN (SELECT AVG({c}) AS m FROM readings) AS a" if means else ""
+        return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {figures(c, lambda value, c=c: value(c))} FROM readings{mean(c)}" for c in NUMBERS)
+    rows = ", ".join(f"named_struct('column_name', '{c}', 'x', CAST({c} AS DOUBLE)" + (f", 'm', m_{c})" if means else ")") for c in NUMBERS)
+    mean = f" CROSS JOIN (SELECT {', '.join(f'AVG({c}) AS m_{c}' for c in NUMBERS)} FROM readings) AS a" if means else ""
+    return f"SELECT column_name, {figures('x', lambda value: in_columns(NUMBERS, value))} FROM (SELECT r.* FROM (SELECT explode(array({rows})) AS r FROM readings{mean}) AS e) AS long GROUP BY column_name"
+
+
+@op("n1_profile_numbers", "readings", measured=ALL)
 def profile_numbers(d):
     """Missing values, mean, deviation, extremes, percentiles, fences and zeros of each number."""
-    q = lambda c, p: d.r6(d.pct(c, p))
-    return each_number(lambda c: f"COUNT(*) AS row_count, {n_if(f'{c} IS NULL')} AS missing, {d.r4(d.share(f'{c} IS NULL'))} AS missing_percent, {d.r6(f'AVG({c})')} AS mean, {d.r6(f'STDDEV_SAMP({c})')} AS std, MIN({c}) AS min_value, {q(c, 0.01)} AS p01, {q(c, 0.05)} AS p05, {q(c, 0.25)} AS p25, {q(c, 0.5)} AS p50, {q(c, 0.75)} AS p75, {q(c, 0.95)} AS p95, {q(c, 0.99)} AS p99, MAX({c}) AS max_value, {d.r6(f'MAX({c}) - MIN({c})')} AS value_range, {d.r6(f'STDDEV_SAMP({c}) / NULLIF(AVG({c}), 0)')} AS cv, {d.r6(f'{d.pct(c, 0.25)} - 1.5 * ({d.pct(c, 0.75)} - {d.pct(c, 0.25)})')} AS low_fence, {d.r6(f'{d.pct(c, 0.75)} + 1.5 * ({d.pct(c, 0.75)} - {d.pct(c, 0.25)})')} AS high_fence, {d.r4(d.share(f'{c} = 0'))} AS zero_percent")
+
+    def figures(x, of):
+        q1, q3 = (of(lambda c, p=p: d.pct(c, p)) for p in (0.25, 0.75))
+        points = ", ".join(f"{d.r6(of(lambda c, p=p: d.pct(c, p)))} AS p{round(100 * p):02d}" for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+        return f"""COUNT(*) AS row_count, {n_if(f'{x} IS NULL')} AS missing, {d.r4(d.share(f'{x} IS NULL'))} AS missing_percent, {d.r6(f'AVG({x})')} AS mean, {d.r6(f'STDDEV_SAMP({x})')} AS std,
+  MIN({x}) AS min_value, {points}, MAX({x}) AS max_value, {d.r6(f'MAX({x}) - MIN({x})')} AS value_range, {d.r6(f'STDDEV_SAMP({x}) / NULLIF(AVG({x}), 0)')} AS cv,
+  {d.r6(f'{q1} - 1.5 * ({q3} - {q1})')} AS low_fence, {d.r6(f'{q3} + 1.5 * ({q3} - {q1})')} AS high_fence, {d.r4(d.share(f'{x} = 0'))} AS zero_percent"""
+
+    return each_number(d, figures)
 
 
 @op("n1_duplicates", "readings")
@@ -51,19 +75,28 @@ def top_categories(d, k=3):
 def stat_properties(d):
     """Skewness, kurtosis (both corrected and population) and a K-squared statistic from them."""
 
-    def one(c):
-        m = moments(d, c)
+    def figures(x, of):
+        m = moments(d, x)
         k2 = f"COUNT(*) / 6.0 * (POWER({m['skewness_pop']}, 2) + POWER({m['kurtosis_pop']}, 2) / 4)"
-        return f"SELECT '{c}' AS column_name, {', '.join(f'{d.r4(v)} AS {k}' for k, v in m.items())}, {d.r4(k2)} AS jarque_bera, {d.r4(k2)} < 5.991 AS looks_normal FROM readings CROSS JOIN (SELECT AVG({c}) AS m FROM readings) AS a"
+        return f"{', '.join(f'{d.r4(v)} AS {k}' for k, v in m.items())}, {d.r4(k2)} AS jarque_bera, {d.r4(k2)} < 5.991 AS looks_normal"
 
-    return " UNION ALL ".join(one(c) for c in NUMBERS)
+    return each_number(d, figures, means=True)
 
 
-@op("n3_iqr_anomalies", "readings")
+@op("n3_iqr_anomalies", "readings", measured=ALL)
 def iqr_anomalies(d):
     """How many values of each number are beyond 1.5 quartile ranges."""
-    one = lambda c: f"SELECT '{c}' AS column_name, {d.r6('low')} AS low, {d.r6('high')} AS high, {n_if(f'{c} < low OR {c} > high')} AS anomalies, {d.r4(d.share(f'{c} < low OR {c} > high'))} AS percent FROM readings CROSS JOIN (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM (SELECT {d.pct(c, 0.25)} AS q1, {d.pct(c, 0.75)} AS q3 FROM readings) AS q) AS f GROUP BY low, high"
-    return " UNION ALL ".join(one(c) for c in NUMBERS)
+    if not d.spark:
+        one = lambda c: f"SELECT '{c}' AS column_name, {d.r6('low')} AS low, {d.r6('high')} AS high, {n_if(f'{c} < low OR {c} > high')} AS anomalies, {d.r4(d.share(f'{c} < low OR {c} > high'))} AS percent FROM readings CROSS JOIN (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM (SELECT {d.pct(c, 0.25)} AS q1, {d.pct(c, 0.75)} AS q3 FROM readings) AS q) AS f GROUP BY low, high"
+        return " UNION ALL ".join(one(c) for c in NUMBERS)
+
+    def figures(x, of):
+        low = of(lambda c: f"{d.value(c, 0.25)} - 1.5D * ({d.value(c, 0.75)} - {d.value(c, 0.25)})")
+        high = of(lambda c: f"{d.value(c, 0.75)} + 1.5D * ({d.value(c, 0.75)} - {d.value(c, 0.25)})")
+        out = f"{x} < {low} OR {x} > {high}"
+        return f"{d.r6(f'MAX({low})')} AS low, {d.r6(f'MAX({high})')} AS high, {n_if(out)} AS anomalies, {d.r4(d.share(out))} AS percent"
+
+    return each_number(d, figures)
 
 
 @op("n3_zscore_flags", "readings")
@@ -74,10 +107,16 @@ def zscore_flags(d, limit=2.5):
     return f"SELECT {ROW}, {', '.join(f'{z(c)} AS z_{c}' for c in two)} FROM readings CROSS JOIN (SELECT {', '.join(f'AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}' for c in two)} FROM readings) AS s WHERE {' OR '.join(f'ABS({z(c)}) > {limit}' for c in two)}"
 
 
-@op("n3_mad_anomalies", "readings")
+@op("n3_mad_anomalies", "readings", measured=ALL)
 def mad_anomalies(d, limit=3.5):
     """Readings whose speed has a modified z-score (by the median of distances to the median) beyond the limit."""
-    return f"""SELECT {ROW}, speed_kmh, {d.r6('0.6745 * (speed_kmh - med) / NULLIF(mad, 0)')} AS modified_z FROM readings CROSS JOIN (SELECT MAX(med) AS med, {d.pct('ABS(speed_kmh - med)', 0.5)} AS mad FROM readings CROSS JOIN (SELECT {d.pct('speed_kmh', 0.5)} AS med FROM readings) AS m) AS s WHERE ABS({d.r6('0.6745 * (speed_kmh - med) / NULLIF(mad, 0)')}) > {limit}"""
+    if d.spark:
+        med = d.value("speed_kmh", 0.5)
+        middle = f"SELECT {med} AS med, {d.value(f'ABS(speed_kmh - {med})', 0.5)} AS mad"
+    else:
+        middle = f"SELECT MAX(med) AS med, {d.pct('ABS(speed_kmh - med)', 0.5)} AS mad FROM readings CROSS JOIN (SELECT {d.pct('speed_kmh', 0.5)} AS med FROM readings) AS m"
+    z = d.r6("0.6745 * (speed_kmh - med) / NULLIF(mad, 0)")
+    return f"SELECT {ROW}, speed_kmh, {z} AS modified_z FROM readings CROSS JOIN ({middle}) AS s WHERE ABS({z}) > {limit}"
 
 
 @op("n4_resample_daily", "readings")
@@ -197,7 +236,7 @@ def encode_categoricals(df: DataFrame, columns: list[str], key: str, few: int =
     return out.select(*names)
 
 
-@op("n13_scale", "readings")
+@op("n13_scale", "readings", measured=ALL)
 def scale(d):
     """Speeds standardised, between 0 and 1, and by median and quartile range."""
     return f"SELECT {ROW}, {d.r6('(speed_kmh - m) / NULLIF(s, 0)')} AS standard, {d.r6('(speed_kmh - low) / NULLIF(high - low, 0)')} AS minmax, {d.r6('(speed_kmh - q2) / NULLIF(q3 - q1, 0)')} AS robust FROM readings CROSS JOIN (SELECT AVG(speed_kmh) AS m, STDDEV_POP(speed_kmh) AS s, MIN(speed_kmh) AS low, MAX(speed_kmh) AS high, {d.pct('speed_kmh', 0.25)} AS q1, {d.pct('speed_kmh', 0.5)} AS q2, {d.pct('speed_kmh', 0.75)} AS q3 FROM readings) AS a"

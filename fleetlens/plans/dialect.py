@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 #: Trips end on 2001-11-04 and readings on 2024-01-30 in the test tables; "today" is a parameter everywhere.
 AS_OF = "2001-11-05"
 AS_OF_READINGS = "2024-01-31"
@@ -121,6 +123,32 @@ class Dialect:
 SPARK, ORACLE = Dialect("spark"), Dialect("oracle")
 
 
+class Measured(Dialect):
+    """Spark, with percentiles of whole tables as numbers that were measured before (`exact_quantiles`)."""
+
+    def __init__(self):
+        super().__init__("spark")
+        self.known: dict[tuple[str, float], float | None] = {}
+        self.asked: set[tuple[str, float]] = set()
+
+    def value(self, x: str, p: float) -> str:
+        """The percentile as a literal."""
+        self.asked.add((x, p))
+        v = self.known.get((x, p))
+        return "CAST(NULL AS DOUBLE)" if v is None else f"({v!r}D)"
+
+    def pct(self, x: str, p: float) -> str:
+        return f"MAX({self.value(x, p)})"
+
+    def measure(self, values: DataFrame) -> bool:
+        """Find what was asked for and is not known; whether there was any."""
+        new = sorted(self.asked - self.known.keys())
+        names = {x: f"x{i}" for i, x in enumerate(sorted({x for x, _ in new}))}
+        found = exact_quantiles(values, {n: F.expr(x) for x, n in names.items()}, {n: [p for y, p in new if y == x] for x, n in names.items()}) if new else {}
+        self.known |= {(x, p): found[names[x], p] for x, p in new}
+        return bool(new)
+
+
 def compilable(session: SparkSession) -> SparkSession:
     """The session, told to give up whole-stage code whose methods the JVM would interpret.
 
@@ -135,17 +163,24 @@ def compilable(session: SparkSession) -> SparkSession:
 class Op:
     """A registered operator."""
 
-    def __init__(self, key: str, inputs: tuple[str, ...], build: Callable, oracle: bool, given: dict):
+    def __init__(self, key: str, inputs: tuple[str, ...], build: Callable, oracle: bool, given: dict, measured: str | None):
         self.key, self.inputs, self.build, self.has_oracle, self.given = key, inputs, build, oracle, given  # given: arguments of the registered query
+        self.measured = measured  # rows whose percentiles are measured before the text is built
         self.__doc__, self.__name__ = build.__doc__, build.__name__
 
     def __call__(self, **given) -> DataFrame:
         frames = {k: v for k, v in given.items() if isinstance(v, DataFrame)}
-        text = self.build(SPARK, **{k: v for k, v in given.items() if k not in frames})
+        rest = {k: v for k, v in given.items() if k not in frames}
         missing = [i for i in self.inputs if i not in frames]
         if missing:
             raise TypeError(f"{self.key} needs {', '.join(missing)}")
         session = compilable(next(iter(frames.values())).sparkSession)
+        dialect = Measured() if self.measured else SPARK
+        text = self.build(dialect, **rest)
+        if self.measured:
+            rows = session.sql(bound(self.measured, self.inputs), **{k: frames[k] for k in self.inputs})
+            while dialect.measure(rows):
+                text = self.build(dialect, **rest)
         if "telemetry" in frames and "shipped" not in frames["telemetry"].columns and "shipped" in text:
             frames["telemetry"] = frames["telemetry"].withColumn("shipped", F.col("ts"))
         return session.sql(bound(text, self.inputs), **{k: frames[k] for k in self.inputs})
@@ -162,9 +197,9 @@ def bound(text: str, inputs: tuple[str, ...]) -> str:
 REGISTRY: dict[str, Op] = {}
 
 
-def op(key: str, *inputs: str, oracle: bool = True, given: dict | None = None):
+def op(key: str, *inputs: str, oracle: bool = True, given: dict | None = None, measured: str | None = None):
     def add(build: Callable) -> Op:
-        REGISTRY[key] = Op(key, inputs, build, oracle, given or {})
+        REGISTRY[key] = Op(key, inputs, build, oracle, given or {}, measured)
         return REGISTRY[key]
 
     return add
