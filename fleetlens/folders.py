@@ -63,18 +63,6 @@ def scratch(spark: SparkSession):
         remove(spark, _owned.pop())
 
 
-@contextmanager
-def noted(folders: list[str]):
-    """Intermediate tables that are made inside are listed in folders, for a later `remove`; at the latest the process does it."""
-    _owned.append([])
-    try:
-        yield
-    finally:
-        made = _owned.pop()
-        folders += made
-        _owned[0] += made
-
-
 def _at_end() -> None:
     try:
         remove(_sessions[0], [f for folders in _owned for f in folders])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.views import fleet_views, oracle_ctes
-from . import analysis, features, models
+from . import analysis, chunks, enrichment, features, models
 
 R = models.READING_FEATURES
+#: Rows of a chunk in the registered queries, so that vehicles have several in the test tables of trips.
+CHUNK = 1 << 9
 #: Trees and depth of the registered queries; the operator has 100 and 10.
 FOREST = (20, 8)
 
@@ -59,6 +61,11 @@ def queries() -> dict:
         "a5_anomaly_profile": anomaly_profile,
         "a5_anomalies_by_type": lambda s, d: trip_anomalies(s, d, "vehicle_type"),
         "a5_top_vehicles": lambda s, d: trip_anomalies(s, d, "vehid", 10),
+        "e14_rolling_chunked": lambda s, d: chunks.rolling_efficiency(fleet_views(s, d, ("telemetry",))["telemetry"], CHUNK),
+        "n8_rolling_chunked": lambda s, d: chunks.rolling_features(readings(s, d), chunk=CHUNK),
+        "n9_lag_chunked": lambda s, d: chunks.lag_features(readings(s, d), chunk=CHUNK),
+        "w11_zscore_chunked": lambda s, d: chunks.rolling_zscore(readings(s, d), chunk=CHUNK),
+        "w15_sessionize_chunked": lambda s, d: chunks.sessionize(readings(s, d), chunk=CHUNK),
         "m2_maintenance_model": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0], *FOREST)[1],
         "m2_importances": lambda s, d: models.train_maintenance_model(maintenance(s, d)[0], *FOREST)[2],
         "m3_predict_maintenance": predicted,
@@ -81,7 +88,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     frequency = lambda c: f"CAST(COUNT(*) OVER (PARTITION BY {c}) AS DOUBLE) / COUNT(*) OVER ()"
     coded = lambda c: f"SELECT event_id, CASE WHEN n_{c} > 50 THEN '{c}_label' ELSE '{c}_frequency' END AS feature, CASE WHEN n_{c} > 50 THEN DENSE_RANK() OVER (ORDER BY {c}) - 1 ELSE {frequency(c)} END AS value FROM readings, sizes"
-    return {
+    twins = {"e14_rolling_chunked": enrichment.rolling_efficiency, "n8_rolling_chunked": features.rolling_features, "n9_lag_chunked": features.lag_features, "w11_zscore_chunked": features.rolling_zscore, "w15_sessionize_chunked": features.sessionize}
+    return {key: op.oracle(oracle_ctes(op.inputs)) for key, op in twins.items()} | {
         "n12_encode_categoricals": f"""WITH {oracle_ctes(["readings"])},
 sizes AS (SELECT COUNT(DISTINCT driver_id) AS n_driver_id, COUNT(DISTINCT vehicle_id) AS n_vehicle_id FROM readings),
 all_rows AS (SELECT event_id, 'event_type_' || k AS feature, CASE WHEN event_type = k THEN 1.0::DOUBLE ELSE 0 END AS value FROM readings, (SELECT DISTINCT event_type AS k FROM readings) AS kinds UNION ALL {coded("driver_id")} UNION ALL {coded("vehicle_id")})
