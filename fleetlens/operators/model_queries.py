@@ -79,7 +79,7 @@ def queries() -> dict:
         "n17_cluster_features": lambda s, d: models.cluster_features(readings(s, d), R, most=5),
         "n17_cluster_rows": lambda s, d: clustered(s, d)[1],
         "n17_cluster_means": lambda s, d: models.cluster_means(*clustered(s, d), R, "event_id"),
-        "n18_feature_pipeline": lambda s, d: models.FeaturePipeline(R).fit(readings(s, d)).transform(readings(s, d), "event_id"),
+        "n18_feature_pipeline": lambda s, d: models.FeaturePipeline(R, times=("ts",), categories=("event_type",)).fit(readings(s, d)).transform(readings(s, d), "event_id"),
         "n20_compare_models": lambda s, d: models.compare_models(maintenance(s, d)[0], models.FEATURES),
         "n22_consensus_anomaly": lambda s, d: models.consensus_anomaly(readings(s, d), R, "event_id"),
     }

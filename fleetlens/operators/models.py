@@ -6,11 +6,11 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -284,16 +284,42 @@ def svd(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class FeaturePipeline:
-    """Fit on one frame, transform others: missing values by the median, then scaling, then main components."""
+    """Fit on one frame, transform others, save and load: numbers, times of day and categories to main components.
 
-    def __init__(self, columns: list[str], components: int = 3):
-        self.columns, self.components, self.model, self.middle = columns, components, None, {}
+    Missing numbers become the median; `times` give hour, weekday and month (as numbers; missing ones 0); `categories` are indicator
+    columns of the values that were there when it was fitted, and one more for all others and missing ones. All is scaled, then
+    brought to main components. Every stage is one of MLlib's, so a fitted pipeline is saved and loaded by MLlib itself.
+    """
+
+    def __init__(self, columns: list[str], components: int = 3, times: tuple[str, ...] = (), categories: tuple[str, ...] = ()):
+        self.columns, self.components, self.times, self.categories, self.model = columns, components, times, categories, None
+
+    def stages(self) -> list:
+        parts = {f"{t}_{name}": f"CAST({sql} AS DOUBLE)" for t in self.times for name, sql in (("hour", f"COALESCE(hour({t}), 0)"), ("weekday", f"COALESCE(weekday({t}), 0)"), ("month", f"COALESCE(month({t}), 0)"))}
+        numbers = ", ".join(f"CAST({c} AS DOUBLE) AS _{c}" for c in self.columns)
+        texts = "".join(f", COALESCE(CAST({c} AS STRING), '') AS _{c}_text" for c in self.categories)
+        out = [SQLTransformer(statement=f"SELECT *, {numbers}{texts}{''.join(f', {v} AS _{k}' for k, v in parts.items())} FROM __THIS__")]
+        out.append(Imputer(strategy="median", relativeError=1e-4, inputCols=[f"_{c}" for c in self.columns], outputCols=[f"_{c}_full" for c in self.columns]))
+        ready = [*(f"_{c}_full" for c in self.columns), *(f"_{k}" for k in parts)]
+        if self.categories:
+            out.append(StringIndexer(inputCols=[f"_{c}_text" for c in self.categories], outputCols=[f"_{c}_index" for c in self.categories], handleInvalid="keep", stringOrderType="alphabetAsc"))
+            out.append(OneHotEncoder(inputCols=[f"_{c}_index" for c in self.categories], outputCols=[f"_{c}_flags" for c in self.categories], dropLast=False, handleInvalid="keep"))
+            ready += [f"_{c}_flags" for c in self.categories]
+        return [*out, VectorAssembler(inputCols=ready, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), PCA(k=self.components, inputCol="_scaled", outputCol="components")]
 
     def fit(self, df: DataFrame) -> FeaturePipeline:
-        self.middle = df.agg(*(F.percentile_approx(c, 0.5, 10000).alias(c) for c in self.columns)).first().asDict()
-        filled = df.fillna(self.middle)
-        self.model = Pipeline(stages=[*assembled(filled, self.columns), PCA(k=self.components, inputCol="features", outputCol="components")]).fit(filled)
+        self.model = Pipeline(stages=self.stages()).fit(df)
         return self
 
     def transform(self, df: DataFrame, key: str) -> DataFrame:
-        return self.model.transform(df.fillna(self.middle)).select(key, vector_to_array("components").alias("components"))
+        return self.model.transform(df).select(key, vector_to_array("components").alias("components"))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> FeaturePipeline:
+        """A fitted pipeline for `transform`."""
+        out = cls([])
+        out.model = PipelineModel.load(path)
+        return out

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 
@@ -76,6 +77,36 @@ def to_memory(df: DataFrame, name: str, mode: str = "append", once: bool = True)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+class Progress(StreamingQueryListener):
+    """What Spark tells of each query by name, as it happens: batches, rows, the slowest batch, late rows, state rows, and its end."""
+
+    def __init__(self):
+        self.queries: dict[str, dict] = {}
+        self.names: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.runId)] = event.name or str(event.id)
+        self.queries[self.names[str(event.runId)]] = {"active": True, "batches": 0, "input_rows": 0, "slowest_ms": 0, "late_rows": 0, "state_rows": 0, "error": None}
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        q = self.queries.get(self.names.get(str(p.runId), ""))
+        if q:
+            q["batches"] += 1
+            q["input_rows"] += p.numInputRows
+            q["slowest_ms"] = max(q["slowest_ms"], p.durationMs.get("triggerExecution", 0))
+            q["late_rows"] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            q["state_rows"] = sum(s.numRowsTotal for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        q = self.queries.get(self.names.get(str(event.runId), ""))
+        if q:
+            q["active"], q["error"] = False, event.exception
+
+
 @dataclass
 class StreamJob:
     """Several named queries: each a builder of a DataFrame and a starter of its sink."""

@@ -162,8 +162,21 @@ def test_maintenance_model_and_its_advice(spark):
     assert all((r["urgency"] == "CRITICAL") == (r["maintenance_probability"] > 0.8) and "Check engine oil and filter condition" in r["recommendations"] for r in out.values())
 
 
-def test_feature_pipeline_of_another_frame(spark):
-    df, other = planted(spark), planted(spark, 50, 8)
-    fitted = models.FeaturePipeline(list("abc"), 2).fit(df)
-    out = fitted.transform(other.withColumn("a", F.when(F.col("id") > 3, F.col("a"))), "id").collect()
-    assert len(out) == 50 and all(len(r["components"]) == 2 and np.isfinite(r["components"]).all() for r in out)
+def test_feature_pipeline_is_saved_and_used_on_another_frame(spark, tmp_path):
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * k)
+    rows = [(k, float(k % 7), None if k % 9 == 0 else float(k % 5), at(k), "xyz"[k % 3]) for k in range(200)]
+    kind = "id long, a double, b double, at timestamp_ntz, kind string"
+    df = spark.createDataFrame(rows, kind)
+    other = spark.createDataFrame([(1, 3.0, None, None, None), (2, None, 1.0, at(3), "new"), (3, 2.0, 2.0, at(5), "y")], kind)
+    fitted = models.FeaturePipeline(["a", "b"], 2, ("at",), ("kind",)).fit(df)
+    out = {r["id"]: r["components"] for r in fitted.transform(other, "id").collect()}
+    assert len(out) == 3 and all(len(c) == 2 and np.isfinite(c).all() for c in out.values())
+    fitted.save(str(tmp_path / "pipeline"))
+    again = models.FeaturePipeline.load(str(tmp_path / "pipeline"))
+    assert {r["id"]: r["components"] for r in again.transform(other, "id").collect()} == out
+    # Against numpy: medians, hours and flags by hand.
+    b = [r[2] for r in rows if r[2] is not None]
+    x = np.array([[r[1], np.median(b) if r[2] is None else r[2], r[3].hour, r[3].weekday(), r[3].month, *(float(r[4] == v) for v in "xyz"), 0.0] for r in rows])
+    z = (x - x.mean(0)) / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), np.inf)
+    values = np.linalg.eigvalsh(np.cov(z.T))
+    assert np.allclose(fitted.model.stages[-1].explainedVariance.toArray(), np.sort(values)[::-1][:2] / values.sum(), atol=1e-6)

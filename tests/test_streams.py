@@ -214,3 +214,20 @@ def test_rate_and_console(spark):
     time.sleep(2)
     assert query.exception() is None
     query.stop()
+
+
+def test_progress_by_listener(spark, tmp_path):
+    listener = jobs.Progress()
+    spark.streams.addListener(listener)
+    try:
+        replay = Replay(readings(spark, random_rows(60, 1)))
+        replay.feed(0)
+        df = windows.minute_rates(windows.with_event_time(replay.stream(), "1 minute"))
+        jobs.to_memory(df, "told").awaitTermination()
+        until = time.time() + 20
+        while listener.queries.get("told", {}).get("active", True) and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    told = listener.queries["told"]
+    assert not told["active"] and told["error"] is None and told["input_rows"] == 60 and told["batches"] >= 1 and told["slowest_ms"] > 0 and told["state_rows"] >= 0
