@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from ..folders import new_path
 from ..plans import packaged
+from ..plans.dialect import AS_OF
 from . import tables
+from .marts import Marts
 from .views import fleet_views, oracle_ctes
 
 
@@ -49,8 +53,26 @@ def refreshed(spark, sf_dir):
     return spark.read.parquet(f"{path}/v2")
 
 
+#: The day after the last trip.
+LAST = date.fromisoformat(AS_OF)
+
+
+def marted_vehicles(spark, sf_dir):
+    return fleet_views(spark, sf_dir, ("vehicles",))["vehicles"]
+
+
+def marted(spark, sf_dir):
+    """Marts of all trips before the last week, then updated by the days of that week."""
+    trips = fleet_views(spark, sf_dir, ("telemetry",))["telemetry"]
+    marts = Marts(spark, new_path(spark, "marts"))
+    days = [LAST - timedelta(days=k) for k in range(1, 121)]
+    marts.update(trips, days[7:])
+    marts.update(trips, days[:7])
+    return trips, marts
+
+
 def queries() -> dict:
-    return {"f1_upsert_daily": upserted, "k2_retention": retained, "k2_update_status": updated, "k3_table_profile": profile, "v4_refresh": refreshed}
+    return {"v1_from_states": lambda s, d: marted(s, d)[1].vehicle_performance(marted_vehicles(s, d), LAST), "v2_from_states": lambda s, d: marted(s, d)[1].fleet_efficiency_daily(LAST), "f1_upsert_daily": upserted, "k2_retention": retained, "k2_update_status": updated, "k3_table_profile": profile, "v4_refresh": refreshed}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -62,5 +84,7 @@ def oracle_sql() -> dict[str, str]:
         "k2_retention": f"WITH {oracle_ctes(['readings'])} SELECT event_id, vehicle_id, ts FROM readings WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL '14' DAY",
         "k2_update_status": f"WITH {oracle_ctes(['alerts'])} SELECT severity, CASE WHEN status = 'ACTIVE' AND severity <> 'CRITICAL' THEN 'ACKNOWLEDGED' ELSE status END AS status, COUNT(*) AS alerts, COUNT(CASE WHEN status = 'ACTIVE' AND severity <> 'CRITICAL' THEN 1 END) AS changed FROM alerts GROUP BY 1, 2",
         "k3_table_profile": f"WITH {oracle_ctes(['vehicles', 'telemetry', 'maintenance_history', 'alerts', 'readings'])} " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, unnest(json_keys(to_json(x))) AS column_name, (SELECT COUNT(*) FROM {t}) AS row_count FROM (SELECT * FROM {t} LIMIT 1) AS x" for t in ("vehicles", "telemetry", "maintenance_history", "alerts", "readings")),
+        "v1_from_states": packaged.vehicle_performance.oracle(oracle_ctes(["vehicles", "telemetry"])),
+        "v2_from_states": packaged.fleet_efficiency_daily.oracle(oracle_ctes(["telemetry"])),
         "v4_refresh": packaged.fleet_efficiency_daily.oracle(oracle_ctes(["telemetry"])),
     }
