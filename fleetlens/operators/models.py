@@ -1,4 +1,8 @@
-"""Models of maintenance, anomalies and clusters: MLlib where it has them, isolation trees fitted by group and scored by Arrow batches."""
+"""Models of maintenance, anomalies and clusters: MLlib where it has them, isolation trees fitted by group and scored by Arrow batches.
+
+Fixed values: the thresholds, weights, labels and advice texts in these queries are what results must hold; they stand where they
+are used.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""The analytical pack: usage, efficiency, maintenance, idling, drivers, costs, monitoring, prediction, emissions, summary."""
+"""The analytical pack: usage, efficiency, maintenance, idling, drivers, costs, monitoring, prediction, emissions, summary.
+
+Fixed values: the thresholds, weights, labels and advice texts in these queries are what results must hold; they stand where they
+are used.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""The business-insight pack: replacement, electrification, allocation, driver matching, maintenance value, insurance, carbon, risk."""
+"""The business-insight pack: replacement, electrification, allocation, driver matching, maintenance value, insurance, carbon, risk.
+
+Fixed values: the thresholds, weights, labels and advice texts in these queries are what results must hold; they stand where they
+are used.
+"""
 
 from __future__ import annotations
 

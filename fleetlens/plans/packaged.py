@@ -1,4 +1,8 @@
-"""Packaged queries, stored views, the daily roll-up, the anomaly table function and point lookups."""
+"""Packaged queries, stored views, the daily roll-up, the anomaly table function and point lookups.
+
+Fixed values: the thresholds, weights, labels and advice texts in these queries are what results must hold; they stand where they
+are used.
+"""
 
 from __future__ import annotations
 
