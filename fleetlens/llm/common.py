@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import new_path, scratch, write_shared  # noqa: F401
@@ -44,6 +46,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str =
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+def write_clean(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written and read back; the intermediate tables that it made on the way are removed."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def packed() -> Column:
     """All columns of a row in one, so that names of helper columns beside it clash with none of them."""
     return F.struct("*")

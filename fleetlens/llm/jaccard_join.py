@@ -31,6 +31,7 @@ with its own n_shingles; a null doc_id is linked with nothing and has a null com
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 from math import comb
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, join_groups, mix, new_path, packed, ragged, scratch, signed, slices, write_shared
+from .common import Words, join_groups, mix, new_path, packed, ragged, scratch, signed, slices, write_clean, write_shared
 from .components import components
 
 #: Counters of hashed words: four for each document, within these bounds (what the driver gathers is bounded).
@@ -327,19 +328,20 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     several = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("length"), F.min("rep").alias("pivot")).filter("length > 1").drop("length")
     lists = write_shared(posts.join(several, "tok"), "lists")
     star = lists.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = write_shared(verify(star, sets, docs, shingle, percent), "links")
+    links = write_clean(docs.sparkSession, "links", lambda: verify(star, sets, docs, shingle, percent))
     # What is left: pairs of one list in different components, neither of them the pivot (those are done).
     for nearest in (True, False):
-        so_far = write_shared(components(links), "components-so-far")
+        so_far = write_clean(docs.sparkSession, "components-so-far", functools.partial(components, links))
         part = lists.join(so_far, lists.rep == so_far.node, "left").select("tok", "rep", "n", "pos", "pivot", F.coalesce("component", "rep").alias("part"))
         part = write_shared(part.filter("rep <> pivot"), "parts")
         open_ = part.groupBy("tok").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("length")).filter("low <> high").select("tok", "length")
-        more = verify(list_pairs(part.join(open_, "tok"), sets, percent, nearest), sets, docs, shingle, percent)
-        links = links.union(write_shared(more, "more-links"))
+        pairs = list_pairs(part.join(open_, "tok"), sets, percent, nearest)
+        more = write_clean(docs.sparkSession, "more-links", functools.partial(verify, pairs, sets, docs, shingle, percent))
+        links = links.union(more)
     # Rows with one id in several classes join these classes.
     twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     same = known.select("doc_id", "n", "fp1", "fp2").join(twice, "doc_id").join(classes, ["n", "fp1", "fp2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(links.union(same))
+    final = write_clean(docs.sparkSession, "components", lambda: components(links.union(same)))
     # Rows without words have no class, and those without an id no component: neither is joined by a key that many share.
     out = join_groups(known.select("doc_id", "n", "fp1", "fp2"), classes, ["n", "fp1", "fp2"]).select("doc_id", "n", "rep")
     out = out.unionByName(every.filter("n = 0 and doc_id is not null").select("doc_id", "n", F.col("doc_id").alias("rep")))
