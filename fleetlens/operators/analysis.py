@@ -199,30 +199,42 @@ def inefficient_trips(d, below=6):
     return f"SELECT * FROM (SELECT {KEYS}, {EFF}, LAG({EFF}) OVER (PARTITION BY vehid ORDER BY {ORDER}, {EFF}) AS previous FROM telemetry) AS t WHERE {EFF} < {below}"
 
 
-def frame(n: int) -> str:
-    return f"OVER (PARTITION BY vehid ORDER BY nth ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+def frame(n: int, by: str = "vehid") -> str:
+    return f"OVER (PARTITION BY {by} ORDER BY nth ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def rolled(f: str, x: str, n: int, least: int) -> str:
-    return f"CASE WHEN COUNT({x}) {frame(n)} >= {least} THEN {f}({x}) {frame(n)} END"
+def rolled(f: str, x: str, n: int, least: int, by: str = "vehid") -> str:
+    return f"CASE WHEN COUNT({x}) {frame(n, by)} >= {least} THEN {f}({x}) {frame(n, by)} END"
 
 
-M1 = {"rpm_variance": ("STDDEV_SAMP", "avg_rpm", 5, 3), "brake_wear_indicator": ("SUM", "harsh_braking_count", 20, 10), "fault_history": ("SUM", "fault", 50, 25), "maintenance_history": ("SUM", "flag", 100, 50)}
+M1 = {
+    "rpm_variance": ("STDDEV_SAMP", "avg_rpm", 5, 3),
+    "brake_wear_indicator": ("SUM", "harsh_braking_count", 20, 10),
+    "fault_history": ("SUM", "fault", 50, 25),
+    "maintenance_history": ("SUM", "flag", 100, 50),
+}
+FIRST_MA = "FIRST_VALUE(ma) OVER (PARTITION BY vehid ORDER BY CASE WHEN ma IS NULL THEN 1 ELSE 0 END, nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
-def maintenance_base(d) -> str:
+def maintenance_base(d, nth: str = NTH.replace("vehid", "t.vehid", 1), by: str = "vehid") -> str:
+    """Trips with their number in the vehicle's order, their stress, and the mean efficiency of the last ten."""
     stress = "avg_rpm / 1000 * avg_engine_temp_c / 100 * CASE WHEN v.is_turbo THEN 1.2 ELSE 1.0 END"
-    inner = f"SELECT t.*, {NTH.replace('vehid', 't.vehid', 1)} AS nth, CASE WHEN has_fault THEN 1 ELSE 0 END AS fault, CASE WHEN maintenance_flag THEN 1 ELSE 0 END AS flag, {stress} AS stress, v.engine_type, v.displacement_l FROM telemetry t JOIN vehicles v ON t.vehid = v.vehid"
-    ma = rolled("AVG", EFF, 10, 5)
-    return f"SELECT *, {ma} AS ma FROM ({inner}) AS b"
+    flags = "CASE WHEN has_fault THEN 1 ELSE 0 END AS fault, CASE WHEN maintenance_flag THEN 1 ELSE 0 END AS flag"
+    inner = f"SELECT t.*, {nth} AS nth, {flags}, {stress} AS stress, v.engine_type, v.displacement_l FROM telemetry t JOIN vehicles v ON t.vehid = v.vehid"
+    return f"SELECT *, {rolled('AVG', EFF, 10, 5, by)} AS ma FROM ({inner}) AS b"
+
+
+def maintenance_text(d, base: str, first: str = FIRST_MA, by: str = "vehid", also: str = "") -> str:
+    rolling = ", ".join(f"{d.r6(rolled(*spec, by))} AS {k}" for k, spec in M1.items())
+    return f"""SELECT {KEYS}, nth, {d.r6('stress')} AS engine_stress, {d.r6('ma')} AS efficiency_ma, {d.r6(f'({first} - ma) / {first} * 100')} AS efficiency_degradation,
+  avg_engine_temp_c > 105 AS temp_anomaly, {rolling}, {d.hour('ts')} AS hour_of_day, {d.dow('ts')} AS day_of_week,
+  {d.r6('trip_distance_km * avg_speed_kmph / 100')} AS trip_intensity, {d.r6('1 - driver_behavior_score')} AS driver_impact{also} FROM ({base}) AS m"""
 
 
 @op("m1_maintenance_features", "telemetry", "vehicles")
 def maintenance_features(d):
     """Rolling stress, degradation, variance and history of each trip's vehicle."""
-    first = "FIRST_VALUE(ma) OVER (PARTITION BY vehid ORDER BY CASE WHEN ma IS NULL THEN 1 ELSE 0 END, nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    return f"""SELECT {KEYS}, nth, {d.r6('stress')} AS engine_stress, {d.r6('ma')} AS efficiency_ma, {d.r6(f'({first} - ma) / {first} * 100')} AS efficiency_degradation, avg_engine_temp_c > 105 AS temp_anomaly, {', '.join(f"{d.r6(rolled(*spec))} AS {k}" for k, spec in M1.items())},
-  {d.hour('ts')} AS hour_of_day, {d.dow('ts')} AS day_of_week, {d.r6('trip_distance_km * avg_speed_kmph / 100')} AS trip_intensity, {d.r6('1 - driver_behavior_score')} AS driver_impact FROM ({maintenance_base(d)}) AS m"""
+    return maintenance_text(d, maintenance_base(d))
 
 
 @op("m4_zscore_anomalies", "telemetry")

@@ -6,6 +6,9 @@ computed by chunk, with the last `halo` rows of the chunk before read along; sum
 chunk and the sums of the chunks before. A task holds a slot or a chunk, whatever the share of the key; one key's table of
 slots or chunks is its time span by SLOT_S, or its rows by CHUNK.
 
+Windows of time, whose rows have no bound, are over a vehicle's seconds instead: the rows of a second are one row of sums before
+anything is shuffled, and chunks are spans of SPAN_S seconds with the last `halo` seconds of the span before.
+
 Results are those of the operators themselves, row for row. Rows without a key or time are a key and slot of their own.
 """
 
@@ -15,10 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.dialect import SPARK, Op, bound, compilable
-from . import enrichment, features
+from . import analysis, enrichment, features
+
+#: Rows of a chunk, seconds of a slot, and seconds of a chunk of time.
+CHUNK, SLOT_S, SPAN_S = 1 << 18, 3600, 7 * 86400
+
 
-#: Rows of a chunk, and seconds of a slot.
-CHUNK, SLOT_S = 1 << 18, 3600
+def rounded(x):
+    """To six places, as `Dialect.r6` does."""
+    return F.rint(((F.col(x) if isinstance(x, str) else x) + 1.3e-9) * 1e6) / 1e6
 
 
 def placed(rows: DataFrame, key: str, order: list[str], slot_s: int = SLOT_S) -> DataFrame:
@@ -87,7 +95,43 @@ def sessionize(readings: DataFrame, gap_s: int = 900, chunk: int = CHUNK, slot_s
     before = F.coalesce(F.sum("n").over(Window.partitionBy("v").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("within", within).join(counted.select("v", "c", before.alias("ahead")), F.col("vehicle_id").eqNullSafe(F.col("v")) & (F.col("chunk") == F.col("c")))
-    r6 = lambda x: F.rint((x + 1.3e-9) * 1e6) / 1e6
     return rows.groupBy("vehicle_id", (F.col("ahead") + F.col("within")).alias("session")).agg(
         F.count(F.lit(1)).alias("readings"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("seconds"),
-        r6(F.avg("speed_kmh")).alias("avg_speed"), F.max("speed_kmh").alias("max_speed"), r6(F.max("odometer_km") - F.min("odometer_km")).alias("distance_km"))
+        rounded(F.avg("speed_kmh")).alias("avg_speed"), F.max("speed_kmh").alias("max_speed"), rounded(F.max("odometer_km") - F.min("odometer_km")).alias("distance_km"))
+
+
+def maintenance_features(telemetry: DataFrame, vehicles: DataFrame, chunk: int = CHUNK, slot_s: int = SLOT_S) -> DataFrame:
+    """`analysis.maintenance_features`: a vehicle's first mean, from which it degrades, is handed from chunk to chunk."""
+    by, halo = "vehid, chunk", max(n for _, _, n, _ in analysis.M1.values()) - 1
+    rows = chunked(placed(telemetry, "vehid", [*enrichment.ORDER.split(", "), analysis.EFF], slot_s), halo, chunk)
+    session = compilable(telemetry.sparkSession)
+    text = analysis.maintenance_base(SPARK, "CAST(t.pos + 1 AS INT)", by)
+    base = session.sql(bound(text, ("telemetry", "vehicles")), telemetry=rows, vehicles=vehicles)
+    own = base.filter("not halo").groupBy(F.col("vehid").alias("v"), F.col("chunk").alias("c")).agg(F.min_by("ma", F.when(F.col("ma").isNotNull(), F.col("nth"))).alias("ma"))
+    every = Window.partitionBy("v").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = own.select("v", "c", F.first("ma", ignorenulls=True).over(every).alias("first_ma"))
+    known = base.join(firsts, (F.col("vehid") == F.col("v")) & (F.col("chunk") == F.col("c")), "left")
+    return session.sql(analysis.maintenance_text(SPARK, "SELECT * FROM {known}", "first_ma", by, ", halo"), known=known).filter("not halo").drop("halo")
+
+
+def rollup_over_time(readings: DataFrame, span_s: int = SPAN_S) -> DataFrame:
+    """`features.rollup_over_time`: roll-ups of a vehicle's seconds by spans of time, then of each reading by its second."""
+    short, day = features.ROLLUP_S
+    if day > span_s:
+        raise ValueError(f"a window of {day} seconds needs spans of as many")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    speed, fuel = F.col("speed_kmh"), F.col("fuel_level_percent")
+    seconds = readings.groupBy(F.col("vehicle_id").alias("v"), at.alias("at_s")).agg(
+        F.sum(speed).alias("speed"), F.count(speed).alias("speeds"), F.max(speed).alias("top"),
+        F.sum(fuel).alias("fuel"), F.count(fuel).alias("fuels"), F.count_if(F.col("event_type") == "error").alias("faults"))
+    own, into = F.floor(F.col("at_s") / span_s), F.pmod("at_s", F.lit(span_s))
+    here = F.struct(own.alias("span"), F.lit(False).alias("halo"))
+    both = F.when(into >= span_s - day, F.array(here, F.struct((own + 1).alias("span"), F.lit(True).alias("halo")))).otherwise(F.array(here))
+    spans = seconds.withColumn("at_span", F.explode(both)).select("*", "at_span.*")
+    within = lambda s: Window.partitionBy("v", "span").orderBy("at_s").rangeBetween(-s, 0)
+    mean = lambda x, n, w: F.when(F.sum(n).over(w) > 0, F.sum(x).over(w) / F.sum(n).over(w))
+    rolled = spans.select(
+        "v", "at_s", "halo", mean("speed", "speeds", within(short)).alias("speed_avg"), F.max("top").over(within(short)).alias("speed_max"),
+        mean("fuel", "fuels", within(day)).alias("fuel_avg"), F.sum("faults").over(within(day)).alias("errors"))
+    found = readings.withColumn("second", at).join(rolled.filter("not halo"), F.col("vehicle_id").eqNullSafe(F.col("v")) & F.col("second").eqNullSafe(F.col("at_s")))
+    return found.select(*features.ROW.split(", "), rounded("speed_avg").alias("speed_avg"), "speed_max", rounded("fuel_avg").alias("fuel_avg"), "errors")

@@ -403,12 +403,17 @@ def sustained_alerts(d, stale_s=300, time_scale=1):
 (SELECT *, LAG(ts) OVER (PARTITION BY vehicle_id, alert ORDER BY ts, event_id) AS before, LAG(holds) OVER (PARTITION BY vehicle_id, alert ORDER BY ts, event_id) AS was FROM ({rows}) AS u) AS l WHERE holds) AS i GROUP BY vehicle_id, alert, island HAVING {d.seconds('MIN(ts)', 'MAX(ts)')} / {time_scale} >= MAX(need)"""
 
 
+#: Seconds of the short and of the long roll-up.
+ROLLUP_S = (18000, 86400)
+
+
 @op("w25_rollup_over_time", "readings")
 def rollup_over_time(d):
     """Range roll-ups behind each reading: mean and maximum over a window of time, and new errors in it."""
+    short, day = ROLLUP_S
     at = d._("unix_seconds(CAST(ts AS TIMESTAMP))", "CAST(floor(epoch(ts)) AS BIGINT)")
     w = lambda s: f"OVER (PARTITION BY vehicle_id ORDER BY at_s RANGE BETWEEN {s} PRECEDING AND CURRENT ROW)"
-    return f"SELECT {ROW}, {d.r6(f'AVG(speed_kmh) {w(18000)}')} AS speed_avg, MAX(speed_kmh) {w(18000)} AS speed_max, {d.r6(f'AVG(fuel_level_percent) {w(86400)}')} AS fuel_avg, COUNT(CASE WHEN event_type = 'error' THEN 1 END) {w(86400)} AS errors FROM (SELECT *, {at} AS at_s FROM readings) AS r"
+    return f"SELECT {ROW}, {d.r6(f'AVG(speed_kmh) {w(short)}')} AS speed_avg, MAX(speed_kmh) {w(short)} AS speed_max, {d.r6(f'AVG(fuel_level_percent) {w(day)}')} AS fuel_avg, COUNT(CASE WHEN event_type = 'error' THEN 1 END) {w(day)} AS errors FROM (SELECT *, {at} AS at_s FROM readings) AS r"
 
 
 @op("u4_detect_anomaly", "readings")

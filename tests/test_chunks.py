@@ -1,13 +1,16 @@
 """Windows in chunks give what the operators give, with nine tenths of the rows in one vehicle, and no chunk beyond its bound."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import chunks, features
+from fleetlens.operators import analysis, chunks, features
+from fleetlens.sources.views import fleet_views
 
+SF = "/root/testdata/sf0.001"
 START = dt.datetime(2024, 1, 1)
 
 
@@ -18,7 +21,9 @@ def rows(spark):
     for k in range(3000):
         at = None if k == 5 else START + dt.timedelta(seconds=rng.choice([rng.randrange(400_000), 3600 * rng.randrange(3)]))  # ties, busy hours
         out.append((k, None if k % 500 == 7 else 1 if k % 10 else k % 7, at, float(rng.randrange(200)), float(k)))
-    return spark.createDataFrame(out, "event_id long, vehicle_id long, ts timestamp_ntz, speed_kmh double, odometer_km double").repartition(5).cache()
+    df = spark.createDataFrame(out, "event_id long, vehicle_id long, ts timestamp_ntz, speed_kmh double, odometer_km double").repartition(5)
+    empty = F.when(F.col("event_id") % 11 == 0, None)
+    return df.withColumns({"fuel_level_percent": empty.otherwise(F.col("event_id") % 101).cast("double"), "event_type": F.when(F.col("event_id") % 7 == 0, "error")}).cache()
 
 
 def same(a, b):
@@ -51,3 +56,24 @@ def test_other_windows_are_refused(rows):
         chunks.in_chunks(features.sessionize, rows, "readings", "vehicle_id", "ts, event_id", 1)
     with pytest.raises(ValueError):
         chunks.chunked(rows.withColumn("pos", F.lit(1)), 200, 100)
+
+
+@pytest.mark.parametrize("span_s", [86400, 100_000, chunks.SPAN_S])
+def test_roll_ups_by_seconds(rows, span_s):
+    assert same(chunks.rollup_over_time(rows, span_s), features.rollup_over_time(readings=rows))
+    assert chunks.rollup_over_time(rows.filter("false"), span_s).count() == 0
+
+
+def test_roll_ups_need_long_spans(rows):
+    with pytest.raises(ValueError):
+        chunks.rollup_over_time(rows, 3600)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("chunk, slot_s", [(100, 86400), (1 << 18, 3600)])
+def test_maintenance_features_of_a_hot_vehicle(spark, chunk, slot_s):
+    views = fleet_views(spark, SF, ("telemetry", "vehicles"))
+    vehid = views["vehicles"].agg(F.min("vehid")).first()[0]
+    hot = F.when(F.col("l_partkey") % 10 > 0, F.lit(vehid)).otherwise(F.col("vehid"))
+    trips = views["telemetry"].withColumn("vehid", hot).withColumn("fuel_efficiency_kmpl", F.when(F.col("l_orderkey") % 3 > 0, F.col("fuel_efficiency_kmpl")))
+    assert same(chunks.maintenance_features(trips, views["vehicles"], chunk, slot_s), analysis.maintenance_features(telemetry=trips, vehicles=views["vehicles"]))
