@@ -1,9 +1,10 @@
-"""Registered queries of the windows in chunks; their oracle SQL is that of the same windows without chunks."""
+"""Registered queries of the windows in chunks; their oracle SQL is that of the same windows, by self-joins."""
 
 from __future__ import annotations
 
+from ..plans import stated
 from ..plans.dialect import REGISTRY
-from ..sources.views import fleet_views, oracle_ctes
+from ..sources.views import fleet_views
 from . import chunks
 
 #: Rows and seconds of a chunk here: small, so that the test tables' vehicles are of several chunks.
@@ -29,4 +30,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {key: REGISTRY[op].oracle(oracle_ctes(views)) for key, (op, views, _, _) in FORMS.items()}
+    texts = stated.oracle_sql()
+    return {key: texts[op] for key, (op, *_) in FORMS.items()}

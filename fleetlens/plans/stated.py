@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.views import oracle_ctes
+from .stated_windows import WINDOWS
 
 CODES = """codes AS (SELECT l_orderkey, l_linenumber, l_partkey, vehid, fault_codes, unnest(string_split(fault_codes, ',')) AS code, generate_subscripts(string_split(fault_codes, ','), 1) AS place FROM telemetry WHERE fault_codes IS NOT NULL),
 graded AS (SELECT *, CASE code WHEN 'P0300' THEN 3 WHEN 'P0301' THEN 3 WHEN 'P0302' THEN 3 WHEN 'P0303' THEN 3 WHEN 'P0304' THEN 3 WHEN 'P0420' THEN 2 WHEN 'P0171' THEN 2 WHEN 'P0172' THEN 2 WHEN 'P0442' THEN 2 ELSE 1 END AS grade FROM codes)"""
@@ -46,5 +47,5 @@ def correlations() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    texts = {k: (views, text or correlations()) for k, (views, text) in STATED.items()}
+    texts = {k: (views, text or correlations()) for k, (views, text) in (STATED | WINDOWS).items()}
     return {k: f"WITH {oracle_ctes(views)}{' ' if text.startswith('SELECT') else ', '}{text}" for k, (views, text) in texts.items()}
