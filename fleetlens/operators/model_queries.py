@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.views import fleet_views, oracle_ctes
-from . import analysis, chunks, enrichment, features, models
+from . import chunks, enrichment, features, models
 
 R = models.READING_FEATURES
 #: Rows of a chunk in the registered queries, so that vehicles have several in the test tables of trips.
@@ -20,7 +20,7 @@ def readings(spark, sf_dir):
 
 def maintenance(spark, sf_dir):
     v = fleet_views(spark, sf_dir, ("telemetry", "vehicles"))
-    return models.maintenance_frame(analysis.maintenance_features(**v), v["telemetry"]), v["vehicles"]
+    return models.maintenance_frame(**v), v["vehicles"]
 
 
 def predicted(spark, sf_dir):

@@ -17,10 +17,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..folders import write_shared
+from ..plans.dialect import SPARK, bound, compilable
+from . import analysis
+from .enrichment import ORDER
 
 FEATURES = ["engine_stress", "efficiency_ma", "efficiency_degradation", "rpm_variance", "brake_wear_indicator", "fault_history", "hour_of_day", "day_of_week", "trip_intensity", "driver_impact"]
 READING_FEATURES = ["speed_kmh", "engine_temperature_c", "fuel_level_percent", "rpm", "battery_voltage", "fuel_consumption_lph"]
@@ -32,21 +35,33 @@ def assembled(df: DataFrame, columns: list[str], scale: bool = True) -> list:
     return [*stages, StandardScaler(inputCol="raw", outputCol="features", withMean=True)] if scale else [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")]
 
 
-def maintenance_frame(features: DataFrame, trips: DataFrame) -> DataFrame:
-    """Maintenance features with the flag as label; missing values as 0."""
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "vehid", "ts"]
-    label = trips.groupBy(*keys).agg(F.max(F.col("maintenance_flag").cast("double")).alias("label"))
-    return features.join(label, keys).fillna(0, FEATURES)
+def maintenance_frame(telemetry: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """`analysis.maintenance_features` with the flag as label (of trips of the same keys, the largest); missing values as 0.
+
+    Trips are shuffled once, by vehicle, and the label is found in the order that the features need anyway. The result is
+    written, as models read it many times.
+    """
+    keys = ["vehid", *ORDER.split(", ")]
+    same = Window.partitionBy(*keys).orderBy(analysis.EFF).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    trips = telemetry.repartition("vehid").withColumn("label", F.max(F.col("maintenance_flag").cast("double")).over(same))
+    text = analysis.maintenance_text(SPARK, analysis.maintenance_base(SPARK), also=", label")
+    out = compilable(telemetry.sparkSession).sql(bound(text, ("telemetry", "vehicles")), telemetry=trips, vehicles=vehicles)
+    return write_shared(out.dropna(subset=keys).select("vehid", "ts", "nth", *FEATURES, "label").fillna(0, FEATURES), "maintenance")
+
+
+def held_out(df: DataFrame, seed: int) -> Column:
+    """Whether a row is of the fifth that is held out: by hash of all its columns, so that no order of rows and no sort decides."""
+    return F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(5)) == 0
 
 
 def train_maintenance_model(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42):
     """A balanced random forest on four fifths; (model, one-row metrics, importances)."""
-    train, test = df.randomSplit([0.8, 0.2], seed)
+    train, test = df.filter(~held_out(df, seed)), df.filter(held_out(df, seed))
     share = train.agg(F.avg("label")).first()[0] or 0.0
     weighted = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed)
     model = Pipeline(stages=[*assembled(df, FEATURES, scale=False), forest]).fit(weighted)
-    scored = write_shared(model.transform(test).select("label", "rawPrediction", "probability", "prediction"), "scored")
+    scored = write_shared(model.transform(test).select("label", "rawPrediction", "prediction"), "scored")
     figures = {m: MulticlassClassificationEvaluator(metricName=m).evaluate(scored) for m in ("accuracy", "f1", "weightedPrecision", "weightedRecall")} | {"auc": BinaryClassificationEvaluator().evaluate(scored)}
     session = df.sparkSession
     importance = session.createDataFrame([(f, float(x)) for f, x in zip(FEATURES, model.stages[-1].featureImportances.toArray())], "feature string, importance double")
@@ -179,7 +194,7 @@ def pca(df: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 
 def select_features(df: DataFrame, columns: list[str], target: str, k: int, bins: int = 10) -> DataFrame:
-    """Columns by the mean of four scores, each scaled to 0-1: correlation, forest importance, mutual information of bins, elastic-net weight."""
+    """Columns by the mean of four scores, each scaled to 0-1: correlation, forest importance, mutual information of bins, elastic-net weight. df is read many times, so it should be stored."""
     data = Pipeline(stages=assembled(df, columns)).fit(df).transform(df.withColumn("label", F.col(target).cast("double")))
     corr = df.agg(*(F.abs(F.covar_pop(c, F.col(target).cast("double")) / F.nullif(F.stddev_pop(c) * F.stddev_pop(F.col(target).cast("double")), F.lit(0.0))).alias(c) for c in columns)).first()
     forest = RandomForestClassifier(numTrees=20, seed=1).fit(data).featureImportances.toArray()
@@ -204,8 +219,9 @@ def eliminate_features(df: DataFrame, columns: list[str], target: str, keep: int
     """Backward elimination: a forest is fitted on what is left, the column that it needs least goes, until `keep` are left.
 
     feature, round (in which it went; null: it stays), importance (when it went, or at the end), place (1: the most important), selected.
+    df is read many times, so it should be stored.
     """
-    data = write_shared(df.select(*columns, F.col(target).cast("double").alias("label")), "features")
+    data = df.select(*columns, F.col(target).cast("double").alias("label"))
     left, gone = list(columns), []
     while True:
         forest = RandomForestClassifier(numTrees=trees, seed=seed)
@@ -221,10 +237,10 @@ def eliminate_features(df: DataFrame, columns: list[str], target: str, keep: int
 
 
 def compare_models(df: DataFrame, columns: list[str], seed: int = 3) -> DataFrame:
-    """Forest, boosted trees, logistic regression and their mean probability on a fifth held out."""
-    ready = Pipeline(stages=assembled(df, columns)).fit(df).transform(df).select("features", "label")
-    train, test = ready.randomSplit([0.8, 0.2], seed)
-    test = test.withColumn("id", F.monotonically_increasing_id())
+    """Forest, boosted trees, logistic regression and their mean probability on a fifth held out. df is read many times, so it should be stored."""
+    df = df.withColumn("held_out", held_out(df, seed))
+    ready = Pipeline(stages=assembled(df, columns)).fit(df).transform(df).select("features", "label", "held_out")
+    train, test = ready.filter(~F.col("held_out")), ready.filter("held_out")
     models = {"random_forest": RandomForestClassifier(numTrees=20, seed=seed), "boosted_trees": GBTClassifier(maxIter=10, seed=seed), "logistic_regression": LogisticRegression()}
     wide = test
     for name, learner in models.items():
