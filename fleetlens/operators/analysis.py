@@ -244,7 +244,8 @@ def zscore_anomalies(d, limit=2):
     stats = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_SAMP({c}) AS s_{c}" for c in metrics)
     long = " UNION ALL ".join(f"SELECT {KEYS}, vehicle_type, vehicle_class, '{c}' AS anomaly_metric, {d.r6(f'({c} - m_{c}) / NULLIF(s_{c}, 0)')} AS z, {k} AS place FROM b" for k, c in enumerate(metrics))
     test = " OR ".join(f"anomaly_metric = '{c}' AND {side} > {limit}" for c, side in metrics.items())
-    return f"""WITH b AS (SELECT t.*, {', '.join(f'm_{c}, s_{c}' for c in metrics)} FROM telemetry t JOIN (SELECT vehicle_type, {stats} FROM telemetry GROUP BY vehicle_type HAVING COUNT(*) > 10) AS s ON t.vehicle_type = s.vehicle_type)
+    few = d._("/*+ BROADCAST(s) */ ", "")  # a row for each type: rows are not dealt out by it
+    return f"""WITH b AS (SELECT {few}t.*, {', '.join(f'm_{c}, s_{c}' for c in metrics)} FROM telemetry t JOIN (SELECT vehicle_type, {stats} FROM telemetry GROUP BY vehicle_type HAVING COUNT(*) > 10) AS s ON t.vehicle_type = s.vehicle_type)
 SELECT vehid, vehicle_type, vehicle_class, ts, anomaly_metric, z AS z_score, CASE WHEN ABS(z) <= {limit + 1} THEN 'LOW' WHEN ABS(z) <= {limit + 2} THEN 'MEDIUM' WHEN ABS(z) <= 10 THEN 'HIGH' END AS severity FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehid, ts ORDER BY ABS(z) DESC, place, l_orderkey, l_linenumber, l_partkey) AS nth FROM ({long}) AS l WHERE {test}) AS r WHERE nth = 1"""
 
 

@@ -165,7 +165,8 @@ def anomaly_features(d):
     z = lambda c: d.r6(f"CASE WHEN n > 10 AND sd_{c} > 0 THEN (t.{c} - mean_{c}) / sd_{c} END")
     stats = ", ".join(f"AVG({c}) AS mean_{c}, STDDEV_SAMP({c}) AS sd_{c}" for c in names)
     total = " + ".join(f"CASE WHEN ABS({z(c)}) > 3 THEN 1 ELSE 0 END" for c in names)
-    return f"""SELECT *, total_anomalies > 0 AS has_anomaly, ABS(efficiency_change) > 5 AS efficiency_change_anomaly FROM (SELECT {', '.join('t.' + k for k in KEYS.split(', '))}, {', '.join(f'{z(c)} AS {c}_zscore' for c in names)}, {total} AS total_anomalies,
+    few = d._("/*+ BROADCAST(s) */ ", "")  # a row for each type: rows are not dealt out by it
+    return f"""SELECT *, total_anomalies > 0 AS has_anomaly, ABS(efficiency_change) > 5 AS efficiency_change_anomaly FROM (SELECT {few}{', '.join('t.' + k for k in KEYS.split(', '))}, {', '.join(f'{z(c)} AS {c}_zscore' for c in names)}, {total} AS total_anomalies,
   {d.r6(f'fuel_efficiency_kmpl - LAG(fuel_efficiency_kmpl) OVER (PARTITION BY t.vehid ORDER BY {ORDER}, fuel_efficiency_kmpl)')} AS efficiency_change FROM telemetry t JOIN (SELECT vehicle_type, COUNT(*) AS n, {stats} FROM telemetry GROUP BY vehicle_type) AS s ON t.vehicle_type = s.vehicle_type) AS f"""
 
 
