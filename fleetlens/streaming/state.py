@@ -1,9 +1,9 @@
 """Stream operators with state of their own by key. Each has a batch twin: the SQL of the same name over rows in order.
 
-Micro-batches bring rows in any order. `InOrder` keeps a key's new rows in list state until the watermark has passed them,
-and an event-time timer then hands them over by (ts, event_id): so results do not depend on how rows fell into batches, and
+Micro-batches bring rows in any order. `InOrder` keeps a key's new rows in its state until the watermark has passed them,
+and an event-time timeout then hands them over by (ts, event_id): so results do not depend on how rows fell into batches, and
 are those of the batch twin over all rows that were not late. State is bounded by the watermark's delay, and by what an
-operator carries from row to row. These operators need the RocksDB state store (`replay.ROCKS`).
+operator carries from row to row. `vehicle_state` needs the RocksDB state store (`replay.ROCKS`).
 """
 
 from __future__ import annotations
@@ -23,14 +23,19 @@ from ..operators.features import SUSTAINED
 
 #: Errors count as faults for so long.
 FAULT_SECONDS = 300
+#: Groups that vehicles share in ordered state; a checkpoint keeps the number that it began with.
+BUCKETS = 1024
 
 
-class InOrder(StatefulProcessor):
+class InOrder:
     """Rows of a key in order, as the watermark passes them.
 
     FIELDS: columns of a row (type by name), `us` (event time in microseconds) and event_id among them. CARRIED: what is kept
     from row to row. `step` gets a row and what is carried, adds result rows, and gives back what to carry. `idle` gets what
     is carried when the watermark has passed its last row by `idle_ms`.
+
+    Vehicles share BUCKETS groups by hash: a call of Python for each vehicle and batch costs far more than its few rows. A group's
+    state holds, for each of its vehicles, the waiting rows and what is carried; it comes and goes with the group's batch.
     """
 
     FIELDS: dict[str, str] = {}
@@ -40,11 +45,12 @@ class InOrder(StatefulProcessor):
     grain_ms = 1
     idle_ms: int | None = None
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(f"{k} {v}" for k, v in self.FIELDS.items()))
-        self.carried = handle.getValueState("carried", self.CARRIED + ", last_us long")
-        self.at = {k: i for i, k in enumerate(self.FIELDS)}
+    @classmethod
+    def kept(cls) -> str:
+        """The schema of a group's state."""
+        inside = lambda fields: ", ".join(f"{k}: {v}" for k, v in fields)
+        carried = inside(f.rsplit(" ", 1) for f in cls.CARRIED.split(", "))
+        return f"vehicles array<struct<vehicle_id: long, waiting: array<struct<{inside(cls.FIELDS.items())}>>, carried: struct<{carried}>, last_us: long>>"
 
     def prepare(self, ready: list[tuple]) -> None:
         """A look at all rows that are handed over next."""
@@ -55,65 +61,57 @@ class InOrder(StatefulProcessor):
     def idle(self, key: tuple, carried: tuple, out: list) -> tuple | None:
         return carried
 
-    def wake_at(self, *times: int | None, fired: int = -1) -> None:
-        """One timer for each key: the earliest of these times and of what is set. The one that has fired is on its way out."""
-        have = [t for t in self.handle.listTimers() if t != fired]
-        earliest = min([*have, *(max(t, fired + 1) for t in times if t is not None)], default=None)
-        for t in have:
-            if t != earliest:
-                self.handle.deleteTimer(t)
-        if earliest is not None and earliest not in have:
-            self.handle.registerTimer(earliest)
-
     def due(self, us: int) -> int:
         """When a row's unit of time is over."""
         return (us // 1000 // self.grain_ms + 1) * self.grain_ms - 1
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if x != x else x for x in r) for part in rows for r in part[list(self.FIELDS)].astype(object).itertuples(index=False, name=None)]
-        if new:
-            self.waiting.appendList(new)
-            self.wake_at(self.due(min(r[self.at["us"]] for r in new)))
-        yield self.frame([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        us, event = self.at["us"], self.at["event_id"]
-        waiting = list(self.waiting.get())
+    def __call__(self, group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark, out, kept, times = state.getCurrentWatermarkMs(), [], [], []
+        vehicles = {v: ([tuple(r) for r in waiting], carried, last) for v, waiting, carried, last in (state.get[0] if state.exists else ())}
+        for part in parts:
+            for v, *row in zip(*(part[c].tolist() for c in ("vehicle_id", *self.FIELDS))):
+                rows = vehicles.setdefault(None if v != v or v is None else int(v), ([], None, None))[0]
+                rows.append(tuple(None if x != x else x for x in row))
+        for v, (waiting, carried, last) in vehicles.items():
+            waiting, carried, last = self.advance((v,), waiting, carried, last, mark, out)
+            if waiting or carried is not None:
+                kept.append((v, waiting, None if carried is None else tuple(carried), last))
+            times += [self.due(r[self.at("us")]) for r in waiting]
+            if carried is not None and self.idle_ms is not None:
+                times.append(last // 1000 + self.idle_ms)
+        if kept:
+            state.update((kept,))
+            if times:
+                state.setTimeoutTimestamp(max(min(times), mark))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=list(self.OUT))
+
+    def at(self, column: str) -> int:
+        return list(self.FIELDS).index(column)
+
+    def advance(self, key: tuple, waiting: list[tuple], carried: tuple | None, last: int | None, mark: int, out: list) -> tuple:
+        """A vehicle's rows that the watermark has passed are handed over; what waits, what is carried, and the last row's time."""
+        us, event = self.at("us"), self.at("event_id")
         ready = sorted((r for r in waiting if self.due(r[us]) < mark), key=lambda r: (r[us], r[event]))
-        rest = [r for r in waiting if self.due(r[us]) >= mark]
-        kept = self.carried.get()
-        carried, last = (kept[:-1], kept[-1]) if kept else (None, None)
-        out: list[tuple] = []
         self.prepare(ready)
         for row in ready:
             carried = self.step(key, row, carried, out)
             last = row[us]
         if carried is not None and self.idle_ms is not None and last // 1000 + self.idle_ms < mark:
             carried = self.idle(key, carried, out)
-        if carried is None:
-            self.carried.clear()
-        else:
-            self.carried.update((*carried, last))
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        again = min((self.due(r[us]) for r in rest), default=None)
-        quiet = None if carried is None or self.idle_ms is None else last // 1000 + self.idle_ms
-        self.wake_at(again, quiet, fired=expiredTimerInfo.getExpiryTimeInMs())
-        yield self.frame(out)
-
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=list(self.OUT))
-
-    def close(self) -> None:
-        pass
+        return [r for r in waiting if self.due(r[us]) >= mark], carried, last
 
 
 def in_order(readings: DataFrame, kind: type[InOrder], *given, mode: str = "append") -> DataFrame:
     """The operator over a stream of readings by vehicle; readings need a watermark on ts. Columns in `us` come back as timestamps."""
     columns = [c for c in kind.FIELDS if c not in ("us", "vehicle_id")]
-    rows = readings.select("vehicle_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *columns)
-    out = rows.groupBy("vehicle_id").transformWithStateInPandas(kind(*given), ", ".join(f"{k} {v}" for k, v in kind.OUT.items()), mode, "EventTime")
+    bucket = F.pmod(F.xxhash64("vehicle_id"), F.lit(BUCKETS)).alias("bucket")
+    rows = readings.select(bucket, "vehicle_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), *columns)
+    run = kind(*given)
+    step = lambda key, parts, state: run(key, parts, state)
+    out = rows.groupBy("bucket").applyInPandasWithState(step, ", ".join(f"{k} {v}" for k, v in kind.OUT.items()), kind.kept(), mode, GroupStateTimeout.EventTimeTimeout)
     times = {k: F.timestamp_micros(k).cast("timestamp_ntz") for k in kind.OUT if k.endswith("_us")}
     return out.select(*((times[k].alias(k.removesuffix("_us")) if k in times else k) for k in kind.OUT))
 
