@@ -76,11 +76,12 @@ FROM (SELECT *, {band} AS speed_category FROM telemetry WHERE fuel_efficiency_km
 @op("q3_1_maintenance_indicators", "telemetry", "maintenance_history")
 def maintenance_indicators(d, as_of=AS_OF, days=30):
     """Faults, temperatures and history of each vehicle, how urgent its maintenance is (3 most) and when it is due."""
-    urgency = "CASE WHEN fault_trips > 5 THEN 'CRITICAL' WHEN fault_trips > 2 OR p95 > 110 THEN 'HIGH' WHEN fault_trips > 0 OR sd > 3 THEN 'MEDIUM' ELSE 'LOW' END"
+    wide = f"{d._(d.r6('sd'), 'sd')} > 3"  # on Spark rounded, so that a deviation of 3 is never above it, in whatever order it was summed up
+    urgency = f"CASE WHEN fault_trips > 5 THEN 'CRITICAL' WHEN fault_trips > 2 OR p95 > 110 THEN 'HIGH' WHEN fault_trips > 0 OR {wide} THEN 'MEDIUM' ELSE 'LOW' END"
     return f"""SELECT m.vehid, vehicle_type, vehicle_class, total_trips, fault_trips, {d.r6(f'{d.div("fault_trips", "total_trips")} * 100')} AS fault_rate_percent, maintenance_flag_trips,
   {d.r6('temp')} AS avg_engine_temp, {d.r6('mean')} AS avg_efficiency, {d.r6('sd')} AS efficiency_stddev, {d.r4('idle')} AS total_idle_minutes, {d.r6('p95')} AS p95_engine_temp,
   COALESCE(h.events, 0) AS past_maintenance_count, h.latest AS last_maintenance_date, {d.r4('h.mean_cost')} AS avg_maintenance_cost, {urgency} AS maintenance_urgency,
-  CASE WHEN fault_trips > 5 THEN 3 WHEN fault_trips > 2 OR p95 > 110 THEN 2 WHEN fault_trips > 0 OR sd > 3 THEN 1 ELSE 0 END AS urgency_rank,
+  CASE WHEN fault_trips > 5 THEN 3 WHEN fault_trips > 2 OR p95 > 110 THEN 2 WHEN fault_trips > 0 OR {wide} THEN 1 ELSE 0 END AS urgency_rank,
   CASE WHEN fault_trips > 0 THEN 7 WHEN p95 > 110 THEN 14 ELSE 30 END AS estimated_days_to_maintenance
 FROM (SELECT vehid, vehicle_type, vehicle_class, COUNT(*) AS total_trips, {n_if('has_fault')} AS fault_trips, {n_if('maintenance_flag')} AS maintenance_flag_trips, AVG(avg_engine_temp_c) AS temp,
     AVG(fuel_efficiency_kmpl) AS mean, STDDEV_SAMP(fuel_efficiency_kmpl) AS sd, SUM(idle_time_min) AS idle, {d.pct('avg_engine_temp_c', 0.95)} AS p95
