@@ -46,7 +46,8 @@ TRIP_FEATURES = ["fuel_efficiency_kmpl", "avg_speed_kmph", "avg_rpm", "idle_time
 
 def trip_anomalies(spark, sf_dir, column, most=None):
     trips = fleet_views(spark, sf_dir, ("telemetry",))["telemetry"].withColumn("trip", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
-    return models.anomalies_by(models.isolation_forest(trips, TRIP_FEATURES, "trip", trees=50), trips, "trip", column, most)
+    scores = models.isolation_forest(trips, TRIP_FEATURES, "trip", trees=50, keep=[column])
+    return models.anomalies_by(scores, None, "trip", column, most)
 
 
 def clustered(spark, sf_dir):

@@ -97,27 +97,50 @@ def grow(x: np.ndarray, rng, depth: int, limit: int) -> list:
     return [c, cut, grow(x[left], rng, depth + 1, limit), grow(x[~left], rng, depth + 1, limit)]
 
 
-def paths(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, list):
-        return np.full(len(x), tree)
-    out, left = np.empty(len(x)), x[:, tree[0]] < tree[1]
-    out[left], out[~left] = paths(tree[2], x[left]), paths(tree[3], x[~left])
-    return out
-
-
-def isolation_forest(df: DataFrame, columns: list[str], key: str, contamination: float = 0.1, trees: int = TREES) -> DataFrame:
-    """key, score and is_anomaly of each row. A tree is grown on about SAMPLE rows drawn by hash, one group a tree; TREES small trees are broadcast."""
+def laid_out(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as a complete one: column and cut of each node (below node i are 2i+1 and 2i+2), and the value of each leaf. All nodes below a leaf lead to its value."""
+    deep = lambda t: 1 + max(deep(t[2]), deep(t[3])) if isinstance(t, list) else 0
+    nodes = 2 ** deep(tree) - 1
+    column, cut, value = np.zeros(nodes, np.int64), np.full(nodes, np.inf), np.empty(nodes + 1)
+
+    def put(t, i: int) -> None:
+        if i >= nodes:
+            value[i - nodes] = t
+            return
+        if isinstance(t, list):
+            column[i], cut[i] = t[0], t[1]
+        put(t[2] if isinstance(t, list) else t, 2 * i + 1)
+        put(t[3] if isinstance(t, list) else t, 2 * i + 2)
+
+    put(tree, 0)
+    return column, cut, value
+
+
+def paths(tree: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The value of each row by a tree as `laid_out`: all rows go down a level at a time."""
+    column, cut, value = tree
+    flat, at, node = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), np.int64)
+    for _ in range(len(value).bit_length() - 1):
+        node = 2 * node + 1 + (flat.take(at + column.take(node)) >= cut.take(node))
+    return value.take(node - len(cut))
+
+
+def isolation_forest(df: DataFrame, columns: list[str], key: str, contamination: float = 0.1, trees: int = TREES, keep: list[str] | tuple = ()) -> DataFrame:
+    """key, the columns to keep, score and is_anomaly of each row. A tree is grown on about SAMPLE rows drawn by hash, one group a tree; TREES small trees are broadcast."""
+    compilable(df.sparkSession)
     n = max(df.count(), 1)
     share = min(1.0, SAMPLE / n)
-    draws = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(t, key), F.lit(1 << 30)) < share * (1 << 30))
-    sample = df.select(*columns, F.explode(draws).alias("tree"))
+    draw = lambda t: F.pmod(F.xxhash64(t, key), F.lit(1 << 30))
+    draws = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share * (1 << 30))
+    drawn = df.filter(F.least(*(draw(F.lit(t)) for t in range(trees)), F.lit(1 << 30)) < share * (1 << 30))  # compiled, where the lambda is not
+    sample = drawn.select(*columns, F.explode(draws).alias("tree"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[columns].fillna(0).to_numpy(float)
         return pd.DataFrame({"tree": [int(pdf["tree"].iloc[0])], "shape": [json.dumps(grow(x, np.random.default_rng(int(pdf["tree"].iloc[0])), 0, int(np.ceil(np.log2(max(len(x), 2))))))]})
 
     grown = [r["shape"] for r in sample.groupBy("tree").applyInPandas(fit, "tree int, shape string").orderBy("tree").collect()]
-    shared = df.sparkSession.sparkContext.broadcast([json.loads(t) for t in grown])
+    shared = df.sparkSession.sparkContext.broadcast([laid_out(json.loads(t)) for t in grown])
     size = max(min(n, SAMPLE), 3)
     usual = 2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size
 
@@ -127,9 +150,9 @@ def isolation_forest(df: DataFrame, columns: list[str], key: str, contamination:
         total = sum(paths(t, x) for t in shared.value) / max(len(shared.value), 1)
         return pd.Series(2.0 ** (-total / usual))
 
-    scored = write_shared(df.select(key, score(F.struct(*columns)).alias("score")), "scores")
+    scored = write_shared(df.select(key, *keep, score(F.struct(*columns)).alias("score")), "scores")
     limit = scored.agg(F.percentile_approx("score", 1 - contamination, 10000).alias("limit"))
-    return scored.crossJoin(limit).select(key, F.round("score", 6).alias("score"), (F.col("score") > F.col("limit")).alias("is_anomaly"))
+    return scored.crossJoin(limit).select(key, *keep, F.round("score", 6).alias("score"), (F.col("score") > F.col("limit")).alias("is_anomaly"))
 
 
 def anomaly_profile(scores: DataFrame, readings: DataFrame) -> DataFrame:
@@ -138,9 +161,10 @@ def anomaly_profile(scores: DataFrame, readings: DataFrame) -> DataFrame:
     return both.groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("readings"), F.count_if("is_anomaly").alias("anomalies"), *(F.round(F.avg(F.when(F.col("is_anomaly"), F.col(c))), 4).alias(f"anomalous_{c}") for c in READING_FEATURES[:2]))
 
 
-def anomalies_by(scores: DataFrame, rows: DataFrame, key: str, column: str, most: int | None = None) -> DataFrame:
-    """Rows and anomalies of each value of a column, and the share of all anomalies; `most`: those with most anomalies only (a report)."""
-    out = rows.select(key, column).join(scores, key).groupBy(column).agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_anomaly").alias("anomalies"))
+def anomalies_by(scores: DataFrame, rows: DataFrame | None, key: str, column: str, most: int | None = None) -> DataFrame:
+    """Rows and anomalies of each value of a column, and the share of all anomalies; `most`: those with most anomalies only (a report). Scores that kept the column need no rows."""
+    both = scores if column in scores.columns else rows.select(key, column).join(scores, key)
+    out = both.groupBy(column).agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_anomaly").alias("anomalies"))
     total = out.agg(F.sum("anomalies").alias("all"))
     out = out.crossJoin(total).select(column, "rows", "anomalies", F.round(F.try_divide(100 * F.col("anomalies"), "all"), 4).alias("share"))
     return out.orderBy(F.desc("anomalies"), column).limit(most) if most else out
