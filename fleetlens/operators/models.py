@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..folders import write_shared
+from ..functions.quantiles import exact_quantiles
 from ..plans.dialect import SPARK, bound, compilable
 from . import analysis
 from .enrichment import ORDER
@@ -277,16 +278,22 @@ def compare_models(df: DataFrame, columns: list[str], seed: int = 3) -> DataFram
 
 
 def consensus_anomaly(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """Rows that at least two of four detectors flag: isolation forest, z-score, median distance, cluster distance."""
-    forest = isolation_forest(df, columns, key, 0.05, 25).select(key, F.col("is_anomaly").cast("int").alias("by_forest"))
-    cluster = kmeans_anomaly(df, columns, key).select(key, F.col("is_anomaly").cast("int").alias("by_cluster"))
-    stats = df.agg(*(x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"), F.median(c).alias(f"q_{c}"))))
-    both = df.crossJoin(stats)
+    """Rows that at least two of four detectors flag: isolation forest, z-score, median distance, cluster distance.
+
+    The forest's stored rows keep the columns, and the other detectors go on from them: nothing is joined but single rows of figures.
+    """
+    rows = isolation_forest(df, columns, key, 0.05, 25, keep=columns).withColumn("by_forest", F.col("is_anomaly").cast("int"))
+    model = Pipeline(stages=[*assembled(df, columns), KMeans(k=3, seed=1)]).fit(df)
+    middles = lambda away: {c: F.lit(exact[c, 0.5]).cast("double") for exact in [exact_quantiles(rows, away, {c: [0.5] for c in columns})] for c in columns}
+    mid = middles({c: F.col(c) for c in columns})
+    spread = middles({c: F.abs(F.col(c) - mid[c]) for c in columns})
+    stats = rows.agg(*(x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))))
+    near = centre_distances(model, rows, [key, *columns, "by_forest"]).withColumn("distance", F.array_min("distances"))
     z = F.greatest(*(F.abs(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}"))) for c in columns))
-    spread = both.agg(*(F.median(F.abs(F.col(c) - F.col(f"q_{c}"))).alias(f"d_{c}") for c in columns))
-    mad = F.greatest(*(F.abs(F.try_divide(0.6745 * (F.col(c) - F.col(f"q_{c}")), F.col(f"d_{c}"))) for c in columns))
-    flags = both.crossJoin(spread).select(key, (z > 2.5).cast("int").alias("by_zscore"), (mad > 3.5).cast("int").alias("by_median"))
-    out = forest.join(cluster, key).join(flags, key)
+    mad = F.greatest(*(F.abs(F.try_divide(0.6745 * (F.col(c) - mid[c]), spread[c])) for c in columns))
+    by_cluster = F.try_divide("distance", "far") > 0.8
+    out = near.filter(F.col(key).isNotNull()).crossJoin(near.agg(F.max("distance").alias("far"))).crossJoin(stats)
+    out = out.select(key, "by_forest", by_cluster.cast("int").alias("by_cluster"), (z > 2.5).cast("int").alias("by_zscore"), (mad > 3.5).cast("int").alias("by_median"))
     votes = F.col("by_forest") + F.col("by_cluster") + F.coalesce("by_zscore", F.lit(0)) + F.coalesce("by_median", F.lit(0))
     return out.withColumn("votes", votes).withColumn("is_anomaly", F.col("votes") >= 2)
 

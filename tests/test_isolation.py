@@ -30,3 +30,11 @@ def test_anomalies_are_counted_without_a_join(spark):
     assert {r["kind"]: r["rows"] for r in models.anomalies_by(scores, None, "id", "kind").collect()} == {"a": 200, "b": 200}
     plan = model_queries.trip_anomalies(spark, SMALL, "vehicle_type")._jdf.queryExecution().sparkPlan().toString()
     assert not any(join in plan for join in ("SortMergeJoin", "HashJoin"))
+
+
+def test_consensus_joins_no_rows(spark):
+    """A row that stands twice has two votes of its own, not four."""
+    df = spark.range(300).select((F.col("id") % 150).alias("id"), (F.col("id") % 150 % 7).cast("double").alias("x"), F.when(F.col("id") % 150 == 0, 900.0).otherwise(F.col("id") % 5).alias("y"))
+    out = models.consensus_anomaly(df, ["x", "y"], "id")
+    assert out.count() == 300 and {r["id"] for r in out.filter("is_anomaly").collect()} == {0}
+    assert not any(join in out._jdf.queryExecution().sparkPlan().toString() for join in ("SortMergeJoin", "HashJoin"))
