@@ -207,12 +207,26 @@ def rolled(f: str, x: str, n: int, least: int, by: str = "vehid") -> str:
     return f"CASE WHEN COUNT({x}) {frame(n, by)} >= {least} THEN {f}({x}) {frame(n, by)} END"
 
 
+def running(x: str, by: str = "vehid") -> str:
+    """Sum and number of a count's values so far. On Spark a frame that slides adds up all its rows for each row, a running sum one."""
+    over = f"OVER (PARTITION BY {by} ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"SUM(COALESCE({x}, 0)) {over} AS {x}_so_far, COUNT({x}) {over} AS {x}_known"
+
+
+def since(f: str, x: str, n: int, least: int, by: str = "vehid") -> str:
+    """`rolled` for sums of counts, by what `running` gives: the sum so far less that of n rows before."""
+    within = lambda c: f"({c} - LAG({c}, {n}, 0L) OVER (PARTITION BY {by} ORDER BY nth))"
+    return f"CASE WHEN {within(f'{x}_known')} >= {least} THEN {within(f'{x}_so_far')} END"
+
+
 M1 = {
     "rpm_variance": ("STDDEV_SAMP", "avg_rpm", 5, 3),
     "brake_wear_indicator": ("SUM", "harsh_braking_count", 20, 10),
     "fault_history": ("SUM", "fault", 50, 25),
     "maintenance_history": ("SUM", "flag", 100, 50),
 }
+#: The sums of M1 are of counts.
+COUNTED = [x for f, x, _, _ in M1.values() if f == "SUM"]
 FIRST_MA = "FIRST_VALUE(ma) OVER (PARTITION BY vehid ORDER BY CASE WHEN ma IS NULL THEN 1 ELSE 0 END, nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
@@ -221,11 +235,14 @@ def maintenance_base(d, nth: str = NTH.replace("vehid", "t.vehid", 1), by: str =
     stress = "avg_rpm / 1000 * avg_engine_temp_c / 100 * CASE WHEN v.is_turbo THEN 1.2 ELSE 1.0 END"
     flags = "CASE WHEN has_fault THEN 1 ELSE 0 END AS fault, CASE WHEN maintenance_flag THEN 1 ELSE 0 END AS flag"
     inner = f"SELECT t.*, {nth} AS nth, {flags}, {stress} AS stress, v.engine_type, v.displacement_l FROM telemetry t JOIN vehicles v ON t.vehid = v.vehid"
-    return f"SELECT *, {rolled('AVG', EFF, 10, 5, by)} AS ma FROM ({inner}) AS b"
+    sums = d._("".join(f", {running(x, by)}" for x in COUNTED), "")
+    return f"SELECT *, {rolled('AVG', EFF, 10, 5, by)} AS ma{sums} FROM ({inner}) AS b"
 
 
-def maintenance_text(d, base: str, first: str = FIRST_MA, by: str = "vehid", also: str = "") -> str:
-    rolling = ", ".join(f"{d.r6(rolled(*spec, by))} AS {k}" for k, spec in M1.items())
+def maintenance_text(d, base: str, first: str = "", by: str = "vehid", also: str = "") -> str:
+    first = first or d._("MIN_BY(ma, CASE WHEN ma IS NOT NULL THEN nth END) OVER (PARTITION BY vehid)", FIRST_MA)  # the first needs no order of its own on Spark
+    of = lambda spec: since if d.spark and spec[1] in COUNTED else rolled
+    rolling = ", ".join(f"{d.r6(of(spec)(*spec, by))} AS {k}" for k, spec in M1.items())
     return f"""SELECT {KEYS}, nth, {d.r6('stress')} AS engine_stress, {d.r6('ma')} AS efficiency_ma, {d.r6(f'({first} - ma) / {first} * 100')} AS efficiency_degradation,
   avg_engine_temp_c > 105 AS temp_anomaly, {rolling}, {d.hour('ts')} AS hour_of_day, {d.dow('ts')} AS day_of_week,
   {d.r6('trip_distance_km * avg_speed_kmph / 100')} AS trip_intensity, {d.r6('1 - driver_behavior_score')} AS driver_impact{also} FROM ({base}) AS m"""

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import write_shared
 from ..plans.dialect import SPARK, Op, bound, compilable
 from . import analysis, enrichment, features
 
@@ -31,13 +32,13 @@ def rounded(x):
 
 def placed(rows: DataFrame, key: str, order: list[str], slot_s: int = SLOT_S) -> DataFrame:
     """The rows with `pos`, the row's number (from 0) in the order of its key; the order begins with ts."""
-    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slot_s)
-    rows = rows.withColumn("slot", F.coalesce(slot, F.lit(-(1 << 62))))
-    before = F.sum("n").over(Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    slots = rows.groupBy(F.col(key).alias("k"), F.col("slot").alias("s")).agg(F.count(F.lit(1)).alias("n")).select("k", "s", F.coalesce(before, F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy(key, "slot").orderBy(*order)) - 1
-    out = rows.withColumn("inside", inside).join(slots, F.col(key).eqNullSafe(F.col("k")) & (F.col("slot") == F.col("s")))
-    return out.withColumn("pos", F.col("ahead") + F.col("inside")).drop("slot", "inside", "k", "s", "ahead")
+    slot = F.coalesce(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slot_s), F.lit(-(1 << 62)))
+    rows = rows.withColumn("slot", F.struct(F.col(key).alias("k"), slot.alias("s")))  # never null, so one shuffle does for places and join
+    before = F.sum("n").over(Window.partitionBy("slot.k").orderBy("slot.s").rowsBetween(Window.unboundedPreceding, -1))
+    slots = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).select("slot", F.coalesce(before, F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("slot").orderBy(*order)) - 1
+    out = rows.withColumn("inside", inside).join(slots, "slot")
+    return out.withColumn("pos", F.col("ahead") + F.col("inside")).drop("slot", "inside", "ahead")
 
 
 def chunked(rows: DataFrame, halo: int, chunk: int = CHUNK) -> DataFrame:
@@ -101,17 +102,16 @@ def sessionize(readings: DataFrame, gap_s: int = 900, chunk: int = CHUNK, slot_s
 
 
 def maintenance_features(telemetry: DataFrame, vehicles: DataFrame, chunk: int = CHUNK, slot_s: int = SLOT_S) -> DataFrame:
-    """`analysis.maintenance_features`: a vehicle's first mean, from which it degrades, is handed from chunk to chunk."""
+    """`analysis.maintenance_features`: rows are stored with their mean, and a vehicle's first mean, from which it degrades, is found among them."""
     by, halo = "vehid, chunk", max(n for _, _, n, _ in analysis.M1.values()) - 1
     rows = chunked(placed(telemetry, "vehid", [*enrichment.ORDER.split(", "), analysis.EFF], slot_s), halo, chunk)
-    session = compilable(telemetry.sparkSession)
-    text = analysis.maintenance_base(SPARK, "CAST(t.pos + 1 AS INT)", by)
-    base = session.sql(bound(text, ("telemetry", "vehicles")), telemetry=rows, vehicles=vehicles)
-    own = base.filter("not halo").groupBy(F.col("vehid").alias("v"), F.col("chunk").alias("c")).agg(F.min_by("ma", F.when(F.col("ma").isNotNull(), F.col("nth"))).alias("ma"))
-    every = Window.partitionBy("v").orderBy("c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = own.select("v", "c", F.first("ma", ignorenulls=True).over(every).alias("first_ma"))
-    known = base.join(firsts, (F.col("vehid") == F.col("v")) & (F.col("chunk") == F.col("c")), "left")
-    return session.sql(analysis.maintenance_text(SPARK, "SELECT * FROM {known}", "first_ma", by, ", halo"), known=known).filter("not halo").drop("halo")
+    base = analysis.maintenance_base(SPARK, "CAST(t.pos + 1 AS INT)", by)
+    text = analysis.maintenance_text(SPARK, base, "CAST(NULL AS DOUBLE)", by, ", ma, halo")
+    found = compilable(telemetry.sparkSession).sql(bound(text, ("telemetry", "vehicles")), telemetry=rows, vehicles=vehicles)
+    stored = write_shared(found.filter("not halo").drop("halo"), "chunks")
+    firsts = write_shared(stored.groupBy("vehid").agg(F.min_by("ma", F.when(F.col("ma").isNotNull(), F.col("nth"))).alias("first_ma")), "firsts")
+    loss = F.expr(SPARK.r6("(first_ma - ma) / first_ma * 100"))
+    return stored.join(firsts, "vehid", "left").withColumn("efficiency_degradation", loss).select(*(c for c in stored.columns if c != "ma"))
 
 
 def rollup_over_time(readings: DataFrame, span_s: int = SPAN_S) -> DataFrame:
