@@ -199,13 +199,16 @@ def cluster_means(df: DataFrame, rows: DataFrame, columns: list[str], key: str)
 
 
 def cluster_features(df: DataFrame, columns: list[str], most: int = 10, seed: int = 1) -> DataFrame:
-    """k, silhouette and cost of each number of clusters."""
-    prepared = Pipeline(stages=assembled(df, columns)).fit(df).transform(df).select("features").persist()
+    """k, silhouette and cost of each number of clusters.
+
+    The columns are stored, and `KMeans` itself keeps its vectors for its rounds; of a cached frame it would convert all rows in every round.
+    """
+    stored = write_shared(df.select(*columns), "columns")
+    prepared = Pipeline(stages=assembled(stored, columns)).fit(stored).transform(stored).select("features")
     rows = []
     for k in range(2, most + 1):
         model = KMeans(k=k, seed=seed).fit(prepared)
         rows.append((k, float(ClusteringEvaluator().evaluate(model.transform(prepared))), float(model.summary.trainingCost)))
-    prepared.unpersist()
     best = max(r[1] for r in rows)
     return df.sparkSession.createDataFrame([(*r, r[1] == best) for r in rows], "k int, silhouette double, cost double, is_best boolean")
 
