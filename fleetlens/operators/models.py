@@ -7,6 +7,7 @@ are used.
 from __future__ import annotations
 
 import json
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,25 @@ from .enrichment import ORDER
 FEATURES = ["engine_stress", "efficiency_ma", "efficiency_degradation", "rpm_variance", "brake_wear_indicator", "fault_history", "hour_of_day", "day_of_week", "trip_intensity", "driver_impact"]
 READING_FEATURES = ["speed_kmh", "engine_temperature_c", "fuel_level_percent", "rpm", "battery_voltage", "fuel_consumption_lph"]
 TREES, SAMPLE = 100, 256
+#: Tasks of a core in each round of the learners over the maintenance frame, and files that it is stored in.
+TASKS = 4
+
+
+def in_even_tasks(learn):
+    """Learners read a stored frame in each round; by Spark's default its files would be packed into little more tasks than cores, and most cores would wait for the last ones."""
+    @wraps(learn)
+    def run(df: DataFrame, *args, **given):
+        session, key = df.sparkSession, "spark.sql.files.minPartitionNum"
+        before = session.conf.get(key, None)
+        if before is None:
+            session.conf.set(key, TASKS * session.sparkContext.defaultParallelism)
+        try:
+            return learn(df, *args, **given)
+        finally:
+            if before is None:
+                session.conf.unset(key)
+
+    return run
 
 
 def assembled(df: DataFrame, columns: list[str], scale: bool = True) -> list:
@@ -44,7 +64,7 @@ def maintenance_frame(telemetry: DataFrame, vehicles: DataFrame) -> DataFrame:
     """
     keys = ["vehid", *ORDER.split(", ")]
     same = Window.partitionBy(*keys).orderBy(analysis.EFF).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    trips = telemetry.repartition("vehid").withColumn("label", F.max(F.col("maintenance_flag").cast("double")).over(same))
+    trips = telemetry.repartition(TASKS * telemetry.sparkSession.sparkContext.defaultParallelism, "vehid").withColumn("label", F.max(F.col("maintenance_flag").cast("double")).over(same))
     text = analysis.maintenance_text(SPARK, analysis.maintenance_base(SPARK), also=", label")
     out = compilable(telemetry.sparkSession).sql(bound(text, ("telemetry", "vehicles")), telemetry=trips, vehicles=vehicles)
     return write_shared(out.dropna(subset=keys).select("vehid", "ts", "nth", *FEATURES, "label").fillna(0, FEATURES), "maintenance")
@@ -55,6 +75,7 @@ def held_out(df: DataFrame, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(5)) == 0
 
 
+@in_even_tasks
 def train_maintenance_model(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42):
     """A balanced random forest on four fifths; (model, one-row metrics, importances)."""
     train, test = df.filter(~held_out(df, seed)), df.filter(held_out(df, seed))
@@ -221,18 +242,20 @@ def pca(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return df.sparkSession.createDataFrame([(i + 1, float(a), float(b), b >= 0.95) for i, (a, b) in enumerate(zip(shares, total))], "component int, variance double, cumulative double, enough boolean")
 
 
+@in_even_tasks
 def select_features(df: DataFrame, columns: list[str], target: str, k: int, bins: int = 10) -> DataFrame:
     """Columns by the mean of four scores, each scaled to 0-1: correlation, forest importance, mutual information of bins, elastic-net weight. df is read many times, so it should be stored."""
     data = Pipeline(stages=assembled(df, columns)).fit(df).transform(df.withColumn("label", F.col(target).cast("double")))
-    corr = df.agg(*(F.abs(F.covar_pop(c, F.col(target).cast("double")) / F.nullif(F.stddev_pop(c) * F.stddev_pop(F.col(target).cast("double")), F.lit(0.0))).alias(c) for c in columns)).first()
+    y = F.col(target).cast("double")
+    found = df.agg(*(F.abs(F.covar_pop(c, y) / F.nullif(F.stddev_pop(c) * F.stddev_pop(y), F.lit(0.0))).alias(c) for c in columns), *(F.min(c).alias(f"l_{c}") for c in columns), *(F.max(c).alias(f"h_{c}") for c in columns), F.count(F.lit(1)).alias("n rows")).first()
+    corr, n, info = found, found["n rows"], []
     forest = RandomForestClassifier(numTrees=20, seed=1).fit(data).featureImportances.toArray()
     lasso = np.abs(LogisticRegression(elasticNetParam=1.0, regParam=0.01).fit(data).coefficients.toArray())
-    bounds = df.agg(*(F.min(c).alias(f"l_{c}") for c in columns), *(F.max(c).alias(f"h_{c}") for c in columns)).first()
-    n, info = df.count(), []
-    for c in columns:
-        width = (bounds[f"h_{c}"] - bounds[f"l_{c}"]) / bins or 1.0
-        table = df.groupBy(F.floor((F.col(c) - bounds[f"l_{c}"]) / width).alias("bin"), F.col(target).cast("int").alias("y")).count().toPandas()  # bins by classes
-        joint = table.pivot_table(index="bin", columns="y", values="count", fill_value=0).to_numpy() / max(n, 1)
+    bins_of = [F.floor((F.col(c) - found[f"l_{c}"]) / ((found[f"h_{c}"] - found[f"l_{c}"]) / bins or 1.0)).alias("bin") for c in columns]
+    each_bin = df.select(F.col(target).cast("int").alias("y"), F.posexplode(F.array(*bins_of)).alias("place", "bin"))
+    tables = each_bin.groupBy("place", "bin", "y").count().toPandas()  # columns by bins by classes
+    for i in range(len(columns)):
+        joint = tables[tables["place"] == i].pivot_table(index="bin", columns="y", values="count", fill_value=0).to_numpy() / max(n, 1)
         each = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
         info.append(float((joint[joint > 0] * np.log(joint[joint > 0] / each[joint > 0])).sum()))
     scores = np.array([[corr[c] or 0.0 for c in columns], forest, info, lasso])
@@ -243,6 +266,7 @@ def select_features(df: DataFrame, columns: list[str], target: str, k: int, bins
     return df.sparkSession.createDataFrame(rows, "feature string, correlation double, importance double, mutual_information double, weight double, mean_score double, place int, selected boolean")
 
 
+@in_even_tasks
 def eliminate_features(df: DataFrame, columns: list[str], target: str, keep: int, trees: int = 10, seed: int = 1) -> DataFrame:
     """Backward elimination: a forest is fitted on what is left, the column that it needs least goes, until `keep` are left.
 
@@ -264,6 +288,7 @@ def eliminate_features(df: DataFrame, columns: list[str], target: str, keep: int
     return df.sparkSession.createDataFrame(rows, "feature string, round int, importance double, place int, selected boolean")
 
 
+@in_even_tasks
 def compare_models(df: DataFrame, columns: list[str], seed: int = 3) -> DataFrame:
     """Forest, boosted trees, logistic regression and their mean probability on a fifth held out. df is read many times, so it should be stored."""
     df = df.withColumn("held_out", held_out(df, seed))
