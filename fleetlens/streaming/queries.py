@@ -59,9 +59,10 @@ def replayed(spark: SparkSession, sf_dir: str, build, mode: str = "append") -> R
 
 
 def fault_join_run(spark: SparkSession, sf_dir: str) -> Run:
-    """Readings and faults as two streams, each with slices and delays of its own."""
+    """Readings and faults as two streams, each with slices and delays of its own, of the columns that the join takes."""
     rows = fleet_views(spark, sf_dir, ("readings",))["readings"]
-    sides = [Replay(arrivals(rows, SLICES, F.expr(LATE))), Replay(arrivals(rows.filter("event_type = 'error'"), SLICES, F.expr(LATE_FAULTS)))]
+    taken = ["vehicle_id", "event_id", "ts", "speed_kmh"]
+    sides = [Replay(arrivals(rows.select(*taken), SLICES, F.expr(LATE))), Replay(arrivals(rows.filter("event_type = 'error'").select(*taken), SLICES, F.expr(LATE_FAULTS)))]
     join = lambda r, f: windows.fault_join(windows.with_event_time(r, f"{HOURS} hours"), windows.with_event_time(f, f"{FAULT_HOURS} hours"), "30 minutes")
     return play(sides, join)
 

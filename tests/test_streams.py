@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import features
-from fleetlens.streaming import jobs, state, windows
+from fleetlens.streaming import jobs, queries, state, windows
 from fleetlens.streaming.replay import ROCKS, Replay, arrivals, play
 
 START = dt.datetime(2024, 1, 1)
@@ -231,3 +231,11 @@ def test_progress_by_listener(spark, tmp_path):
         spark.streams.removeListener(listener)
     told = listener.queries["told"]
     assert not told["active"] and told["error"] is None and told["input_rows"] == 60 and told["batches"] >= 1 and told["slowest_ms"] > 0 and told["state_rows"] >= 0
+
+
+def test_joined_streams_hold_only_what_the_join_takes(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(queries, "Replay", lambda rows: held.append(rows.columns))
+    monkeypatch.setattr(queries, "play", lambda sides, build: None)
+    queries.fault_join_run(spark, "/root/testdata/sf0.001")
+    assert held == [["vehicle_id", "event_id", "ts", "speed_kmh", "slice"]] * 2
