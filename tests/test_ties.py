@@ -3,6 +3,7 @@
 import itertools
 from datetime import date, datetime
 
+from fleetlens.operators import analysis
 from fleetlens.plans import analytics
 from fleetlens.plans.dialect import ORACLE
 
@@ -21,3 +22,22 @@ def test_a_deviation_of_the_limit_is_never_above_it(spark):
 
 def test_the_sql_of_maintenance_indicators_is_as_it_was():
     assert "OR sd > 3 THEN 'MEDIUM'" in analytics.maintenance_indicators.build(ORACLE)
+
+
+def test_a_mean_score_of_the_limit_is_never_below_it(spark):
+    """Scores with a mean of exactly 0.8, in many orders: whichever way they are added, the vehicle gets no course; a mean just below 0.8 does."""
+    scores, rows = [100, 60, 93, 67, 81, 79, 88, 72], []
+    for v, order in enumerate(itertools.islice(itertools.permutations(scores), 0, 40320, 200)):
+        rows += [(v, x / 100) for x in order]
+    low = len(rows) // len(scores)
+    rows += [(low, x / 100) for x in scores * 20000 if x != 81] + [(low, 0.81)] * 19999 + [(low, 0.8)]
+    trips = spark.createDataFrame(rows, "vehid int, driver_behavior_score double").coalesce(1)
+    trips = trips.selectExpr("*", "1D AS trip_distance_km", "0 AS harsh_acceleration_count", "0 AS harsh_braking_count", "0 AS speeding_count", "8D AS fuel_efficiency_kmpl", "1D AS fuel_consumed_l", "1D AS idle_time_min", "5D AS trip_duration_min")
+    got = {r["vehid"]: r for r in analysis.driver_rollup(telemetry=trips).collect()}
+    advice = [got[v]["recommendations"] for v in range(low)]
+    assert {got[v]["avg_driver_score"] for v in got} == {0.8} and set(advice) == {"No specific recommendations"}
+    assert got[low]["recommendations"] == "Consider defensive driving course"
+
+
+def test_the_sql_of_driver_rollup_is_as_it_was():
+    assert "CASE WHEN score < 0.8 THEN 'Consider defensive driving course' END" in analysis.driver_rollup.build(ORACLE)
