@@ -12,7 +12,7 @@ from functools import wraps
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from ..folders import write_shared
 from ..functions.quantiles import exact_quantiles
 from ..plans.dialect import SPARK, bound, compilable
-from . import analysis
+from . import analysis, forests
 from .enrichment import ORDER
+from .forests import RandomForestClassifier
 
 FEATURES = ["engine_stress", "efficiency_ma", "efficiency_degradation", "rpm_variance", "brake_wear_indicator", "fault_history", "hour_of_day", "day_of_week", "trip_intensity", "driver_impact"]
 READING_FEATURES = ["speed_kmh", "engine_temperature_c", "fuel_level_percent", "rpm", "battery_voltage", "fuel_consumption_lph"]
@@ -271,13 +272,13 @@ def eliminate_features(df: DataFrame, columns: list[str], target: str, keep: int
     """Backward elimination: a forest is fitted on what is left, the column that it needs least goes, until `keep` are left.
 
     feature, round (in which it went; null: it stays), importance (when it went, or at the end), place (1: the most important), selected.
-    df is read many times, so it should be stored.
+    The bins of all columns are stored once, and each forest reads those of the columns that are left.
     """
-    data = df.select(*columns, F.col(target).cast("double").alias("label"))
+    data = df.withColumn("label", F.col(target).cast("double"))
+    rows = forests.binned(data, columns, *forests.measured(data, columns))
     left, gone = list(columns), []
     while True:
-        forest = RandomForestClassifier(numTrees=trees, seed=seed)
-        found = Pipeline(stages=[*assembled(data, left, scale=False), forest]).fit(data).stages[-1].featureImportances.toArray()
+        found = RandomForestClassifier(numTrees=trees, seed=seed).fit(rows.select(*left, "label", "draw")).featureImportances
         if len(left) <= keep:
             break
         worst = int(np.argmin(found))
