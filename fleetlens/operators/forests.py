@@ -265,6 +265,8 @@ def mean(stats: np.ndarray) -> float:
 
 def boost(rows: DataFrame, columns: list[str], rounds: int, depth: int = DEPTH, step: float = 0.1) -> Boosted:
     """Regression trees on the labels (-1 and 1), then on the slopes of the log loss; each row's sum so far is stored after each tree."""
+    if rows.schema["label"].metadata["classes"] != 2:
+        raise ValueError("boosted trees are for labels of 0 and 1")
     session, width, grown, spent, many = rows.sparkSession, len(columns), [], [], many_tasks(rows)
     rows = rows.select(*columns, "label", F.lit(bytearray()).alias("margin"))
     for turn in range(rounds):

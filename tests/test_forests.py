@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -89,6 +89,28 @@ def test_elimination_does_not_depend_on_tasks(spark):
     assert np.allclose([r["importance"] for r in one], [r["importance"] for r in many])
 
 
+def test_compared_models_do_not_depend_on_tasks(spark):
+    df, _, _ = table(spark)
+    df = df.withColumn("id", F.expr("xxhash64(a, b, c, label)"))
+    one, many = ({r["model"]: r for r in models.compare_models(d, ABC).collect()} for d in (df.coalesce(1), df.repartition(9)))
+    assert one == many and set(one) == {"random_forest", "boosted_trees", "logistic_regression", "ensemble"}
+    assert all(r["accuracy"] > 0.75 and r["rows"] == one["ensemble"]["rows"] for r in one.values())
+
+
+def test_held_out_rows_are_scored_by_each_model(spark, monkeypatch):
+    """The stored probabilities against MLlib's boosted trees and line on the same four fifths."""
+    df, _, _ = table(spark)
+    stored, write = [], models.write_shared
+    monkeypatch.setattr(models, "write_shared", lambda d, name: (stored.append(write(d, name)), stored[-1])[1])
+    models.compare_models(df, ABC, seed=3).collect()
+    got = sorted(map(tuple, stored[-1].select("label", "boosted_trees", "logistic_regression").collect()))
+    flagged = df.withColumn("held_out", models.held_out(df, 3))
+    fit = lambda learner: Pipeline(stages=[*models.assembled(df, ABC, scale=False), learner]).fit(flagged.filter("NOT held_out"))
+    p = lambda d, learner, name: fit(learner).transform(d).withColumn(name, F.element_at(vector_to_array("probability"), 2)).drop("raw", "features", "rawPrediction", "probability", "prediction")
+    want = p(p(flagged.filter("held_out"), GBTClassifier(maxIter=10, seed=3), "g"), LogisticRegression(), "l")
+    assert np.allclose(got, sorted(map(tuple, want.select("label", "g", "l").collect())), atol=1e-4)
+
+
 def test_a_rare_class_keeps_its_importances(spark):
     """Where no leaf predicts the rare class, the column that goes with it is still the one that stays."""
     df = spark.range(6000).selectExpr("CAST(pmod(xxhash64(id, 1), 20) AS DOUBLE) AS a", "CAST(pmod(xxhash64(id, 2), 20) AS DOUBLE) AS b", "CAST(pmod(xxhash64(id, 3), 20) AS DOUBLE) AS c", "id")
@@ -118,3 +140,5 @@ def test_settings_are_as_before_and_wrong_labels_stop(spark):
             forests.measured(df.withColumn("label", F.expr(label)), ABC)
     with pytest.raises(ValueError):
         forests.measured(df.limit(0), ABC)
+    with pytest.raises(ValueError):
+        forests.boost(learnt(df.withColumn("label", F.col("a") % 3))[0], ABC, 2)
