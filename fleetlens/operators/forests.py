@@ -29,6 +29,8 @@ PARTS, TOGETHER = 256, 32
 #: How often a row is in a bag, by 16 bits of its draw (Poisson with mean 1).
 TIMES = np.searchsorted(np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 16)])), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
 LEAST_GAIN = 1e-12
+#: Rows that a task of a pass is started for.
+LEAST_ROWS = 1 << 17
 
 
 def cuts_of(points: np.ndarray) -> np.ndarray:
@@ -85,7 +87,8 @@ def binned(df: DataFrame, columns: list[str], cuts: list[np.ndarray], classes: i
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block], [*columns, "label", "draw"])
 
     names = ", ".join(f"{c} binary" for c in [*columns, "label", "draw"])
-    return write_shared(rows.mapInArrow(each, names), "bins").withMetadata("label", {"classes": classes})
+    stored = write_shared(rows.mapInArrow(each, names), "bins")
+    return stored.withMetadata("label", {"classes": classes, "rows": stored.agg(F.sum(F.length("label"))).first()[0]})
 
 
 @contextmanager
@@ -156,8 +159,11 @@ class Tree:
         return node - (2**depth - 1)
 
 
-def many_tasks(rows: DataFrame) -> bool:
-    return rows.rdd.getNumPartitions() > PARTS
+def in_tasks(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows in no more tasks than they are worth, as each pass starts them all, and whether these are too many for the driver to add up."""
+    tasks = rows.rdd.getNumPartitions()
+    worth = -(-rows.schema["label"].metadata["rows"] // LEAST_ROWS)
+    return (rows.coalesce(worth) if worth < tasks else rows), min(tasks, worth) > PARTS
 
 
 def summed(rows: DataFrame, many: bool, count, size: int) -> np.ndarray:
@@ -202,7 +208,8 @@ def grow_forest(rows: DataFrame, columns: list[str], trees: int, depth: int, see
     """Trees on bags of the rows; each node is split at the largest gain of Gini impurity among the bins of some columns that are drawn for it."""
     classes, width = rows.schema["label"].metadata["classes"], len(columns)
     tried = width if trees == 1 else int(np.ceil(np.sqrt(width)))
-    grown, many = [Tree(depth, classes) for _ in range(trees)], many_tasks(rows)
+    grown = [Tree(depth, classes) for _ in range(trees)]
+    rows, many = in_tasks(rows)
     for level in range(depth):
         first, nodes = 2**level - 1, 2**level
         drawn = np.array([[np.random.default_rng([seed, t, first + i]).permutation(width)[:tried] for i in range(nodes)] for t in range(trees)])
@@ -267,7 +274,8 @@ def boost(rows: DataFrame, columns: list[str], rounds: int, depth: int = DEPTH,
     """Regression trees on the labels (-1 and 1), then on the slopes of the log loss; each row's sum so far is stored after each tree."""
     if rows.schema["label"].metadata["classes"] != 2:
         raise ValueError("boosted trees are for labels of 0 and 1")
-    session, width, grown, spent, many = rows.sparkSession, len(columns), [], [], many_tasks(rows)
+    session, width, grown, spent = rows.sparkSession, len(columns), [], []
+    rows, many = in_tasks(rows)
     rows = rows.select(*columns, "label", F.lit(bytearray()).alias("margin"))
     for turn in range(rounds):
         tree = Tree(depth, 2)

@@ -49,6 +49,12 @@ def test_many_values_get_bins_of_equal_shares(spark):
     assert counts.sum() == 20000 and counts.min() > 400 and counts.max() < 850
 
 
+def test_few_rows_are_read_in_one_task(spark):
+    rows, _ = learnt(table(spark)[0].repartition(6))
+    small, many = forests.in_tasks(rows)
+    assert rows.rdd.getNumPartitions() > 1 and small.rdd.getNumPartitions() == 1 and not many
+
+
 def test_a_split_is_the_best_of_all(spark):
     """The first split of one tree on its bag, against every cut of every column."""
     df, x, y = table(spark)
@@ -124,6 +130,8 @@ def test_partial_sums_can_be_added_up_in_tasks(spark, monkeypatch):
     rows, _ = learnt(df.repartition(6))
     want = forests.grow_forest(rows, ABC, 3, 3, 5).featureImportances
     monkeypatch.setattr(forests, "PARTS", 1)
+    monkeypatch.setattr(forests, "LEAST_ROWS", 300)
+    assert forests.in_tasks(rows)[0].rdd.getNumPartitions() > 1 and forests.in_tasks(rows)[1]
     monkeypatch.setattr(forests, "TOGETHER", 3)
     assert np.allclose(forests.grow_forest(rows, ABC, 3, 3, 5).featureImportances, want)
 
